@@ -2,10 +2,18 @@
 
 from __future__ import annotations
 
-from reportlake.operators import nested
+from reportlake.operators import nested, units
 from reportlake.session import read
 
 
+def p2_found(spark, sf_dir):
+    return units.wrong_sizes(read(spark, sf_dir, "records"))
+
+
+def p2_sizes(spark, sf_dir):
+    return units.in_millimetres(read(spark, sf_dir, "records"))
+
+
 def p5_found(spark, sf_dir):
     return nested.child_rows(nested.occurrences(read(spark, sf_dir, "structured_reports"), read(spark, sf_dir, "records")))
 
@@ -18,6 +26,6 @@ def p5_bridge(spark, sf_dir):
     return nested.occurrences(read(spark, sf_dir, "structured_reports"), read(spark, sf_dir, "records")).drop("node").distinct()
 
 
-QUERIES = {f.__name__: f for f in (p5_found, p5_subtrees, p5_bridge)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_sizes, p5_found, p5_subtrees, p5_bridge)}
 
 ORACLE: dict[str, str] = {}
