@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from reportlake.llm import bpe, mixing, names, neighbours, skeleton, terms
+from reportlake.llm import bpe, identifiers, mixing, names, neighbours, skeleton, terms
 from reportlake.session import read
 
 
@@ -14,6 +14,18 @@ def p3_terms(spark, sf_dir):
     return terms.term_frequencies(read(spark, sf_dir, "corpus_terms"))
 
 
+def _private(spark, sf_dir):
+    return [read(spark, sf_dir, t) for t in ("records", "transcriptions", "name_aliases", "referrers")]
+
+
+def p4_found(spark, sf_dir):
+    return identifiers.identifiers(*_private(spark, sf_dir))
+
+
+def p4_redacted(spark, sf_dir):
+    return identifiers.redacted(*_private(spark, sf_dir))
+
+
 def _vectors(spark, sf_dir):
     return neighbours.vector_rows(read(spark, sf_dir, "chunks"), read(spark, sf_dir, "memories"))
 
@@ -50,7 +62,7 @@ def p10_forms(spark, sf_dir):
     return skeleton.with_skeleton(read(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p3_found, p3_terms, p6_found, p7_found, p7_people, p8_ids, p9_mix, p9_shares, p10_found, p10_forms)}
+QUERIES = {f.__name__: f for f in (p3_found, p3_terms, p4_found, p4_redacted, p6_found, p7_found, p7_people, p8_ids, p9_mix, p9_shares, p10_found, p10_forms)}
 
 _SPACES = r"[\s\x{00A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+"
 _TERMS = rf"""
