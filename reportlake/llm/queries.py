@@ -2,10 +2,18 @@
 
 from __future__ import annotations
 
-from reportlake.llm import bpe, identifiers, mixing, names, neighbours, skeleton, terms
+from reportlake.llm import bpe, identifiers, mixing, names, neighbours, scans, skeleton, terms
 from reportlake.session import read
 
 
+def p1_found(spark, sf_dir):
+    return scans.found(read(spark, sf_dir, "ocr_results"))
+
+
+def p1_text(spark, sf_dir):
+    return scans.paragraphs(read(spark, sf_dir, "ocr_results"))
+
+
 def p3_found(spark, sf_dir):
     return terms.useless_terms(read(spark, sf_dir, "corpus_terms"))
 
@@ -62,7 +70,7 @@ def p10_forms(spark, sf_dir):
     return skeleton.with_skeleton(read(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p3_found, p3_terms, p4_found, p4_redacted, p6_found, p7_found, p7_people, p8_ids, p9_mix, p9_shares, p10_found, p10_forms)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_text, p3_found, p3_terms, p4_found, p4_redacted, p6_found, p7_found, p7_people, p8_ids, p9_mix, p9_shares, p10_found, p10_forms)}
 
 _SPACES = r"[\s\x{00A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+"
 _TERMS = rf"""
