@@ -33,6 +33,8 @@ MIN_SUPPORT = 2
 MIN_COVER = 0.40
 #: Given names and short forms at most (a list of common knowledge).
 MAX_LIST = 50_000
+#: Rows of scores that are broadcast at most.
+MAX_BROADCAST_ROWS = 100_000
 
 # Titles and degrees, which are not part of a name.
 TITLES = "mr mrs ms miss mister missus master shri smt dr prof doctor professor".split()
@@ -41,18 +43,23 @@ DEGREES = "mbbs md ms dm mch dnb phd frcr".split()
 _POSTAL = r"(?:\d{6}|\d{3} \d{3}|[A-Z]{1,2}\d{1,2} \d[A-Z]{2})(?![\w-])"
 _HOUSE = r"(?:(?:Flat|Plot|House|Door|H\.|P\.\s?O\.)\s?(?:No\.|Box)?\s*)?"
 _ADDRESS = (
-    rf"(?<![\w/.-]){_HOUSE}\d[\w/-]*,?\s+[A-Z][A-Za-z0-9 ,.'-]{{2,80}}?{_POSTAL}"
+    rf"(?<![\w/.-]){_HOUSE}\d[\w/-]*,? +[A-Z][A-Za-z0-9 ,.'-]{{2,80}}?{_POSTAL}"
     r"|\b[A-Z]\w+(?:strasse|straße|gasse|weg|platz)\s+\d+\w?,\s*\d{5}\s+[A-Z][\w-]+"
 )
 _MAIL = (
-    r"[\w.+-]+\s?(?:@|\(at\)|\[at\])\s?[\w-]+(?:(?:\.| \. )[\w-]+)+"
-    r"|\w[\w+-]*(?: dot \w+)* at \w+(?: dot \w+)+"
+    r"(?<![\w.+-])[\w.+-]+\s?(?:@|\(at\)|\[at\])\s?[\w-]+(?:(?:\.| \. )[\w-]+)+"
+    r"|\b\w[\w+-]*(?: dot \w+)* at \w+(?: dot \w+)+"
 )
 _NUMBER = (
     r"(?<![\w@.])(?:[A-Z]{1,3}[-/]?\d[\dA-Z]*(?:[-/][\dA-Z]+)*"
     r"|[+(]?\d{1,14}\)?(?:[ .-]\(?\d{2,6}\)?){0,4}(?:[-/][A-Z]\b)?)(?![\w@])"
 )
-_SPAN = re.compile(rf"(?P<addr>{_ADDRESS})|(?P<mail>{_MAIL})|(?P<num>{_NUMBER})")
+_SPAN = {
+    "addr": re.compile(_ADDRESS),
+    "mail": re.compile(_MAIL),
+    "num": re.compile(_NUMBER),
+}
+_HAS_POSTAL = re.compile(rf"{_POSTAL}|\d, ?\d{{5}} ")
 _WORD = re.compile(r"[^\W\d_](?:[\w'’-]*\w)?")
 
 CANDIDATES = (
@@ -68,6 +75,21 @@ def _shape(value: str) -> str:
     return re.sub(r"[a-z]", "a", re.sub(r"[A-Z]", "A", re.sub(r"\d", "9", value)))
 
 
+def _spans(text: str) -> Iterator[tuple[str, re.Match]]:
+    """Addresses, mail addresses and numbers, without overlaps; each pattern runs only
+    where the text holds what it needs."""
+    taken: list[tuple[int, int]] = []
+    kinds = ["addr"] if _HAS_POSTAL.search(text) else []
+    if "@" in text or "(at)" in text or "[at]" in text or " dot " in text:
+        kinds.append("mail")
+    for kind in (*kinds, "num"):
+        for m in _SPAN[kind].finditer(text):
+            s, e = m.span()
+            if all(e <= a or s >= b for a, b in taken):
+                taken.append((s, e))
+                yield kind, m
+
+
 def _left(text: str, at: int) -> tuple[str, str, str]:
     """(two words before, one word before, title) left of a place in its sentence."""
     words = text[max(0, at - 60) : at].rsplit("\n", 1)[-1].lower().split()
@@ -84,21 +106,25 @@ def _left(text: str, at: int) -> tuple[str, str, str]:
     return " ".join(words[-2:]) if words else "^", one, title
 
 
-def _names(text: str, common: frozenset, given: frozenset, own: frozenset, taken: list[tuple[int, int]]):
+def _names(text: str, common: frozenset, given: frozenset, skip: frozenset, own: frozenset, taken: list[tuple[int, int]]):
     """Runs of uncommon words: (value, short value, first words, left context, seed)."""
     words = [(m.group(), m.start(), m.end()) for m in _WORD.finditer(text)]
     n, i = len(words), 0
+    hits = [k for k, w in enumerate(words) if w[0].lower() not in skip]
+    at_hit = 0
 
     def plain(k: int) -> bool:
         w = words[k][0].lower()
         return w in common or w in TITLES or w in DEGREES
 
-    while i < n:
+    while True:
+        while at_hit < len(hits) and hits[at_hit] < i:
+            at_hit += 1
+        if at_hit == len(hits):
+            return
+        i = hits[at_hit]
         w, s, e = words[i]
         low = w.lower()
-        if low in NUMBER_WORDS:
-            i += 1
-            continue
         initial = len(w) == 1 and (w.isupper() or text[e : e + 1] == "." or (i and words[i - 1][0].lower() in TITLES) or text[s - 2 : s] in (": ", ". ", "- "))
         if (low in common and low not in given and not initial) or low in TITLES or low in DEGREES or any(a <= s < b for a, b in taken):
             i += 1
@@ -169,7 +195,7 @@ def common_words(texts: DataFrame, given: list[str], share: float = COMMON_SHARE
             c: Counter = Counter()
             named: Counter = Counter()
             for t in b["text"]:
-                low = [w.lower() for w in _WORD.findall(t)]
+                low = _WORD.findall(t.lower())
                 c.update(set(low))
                 named.update({y for x, y in zip(low, low[1:]) if x in beside or len(x) == 1})
             yield pd.DataFrame({"word": list(c), "n": list(c.values()), "named": [named[w] for w in c]})
@@ -208,13 +234,14 @@ def candidates(texts: DataFrame, common: list[str], given: list[str]) -> DataFra
 
     def find(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         words, first = known.value
+        skip = frozenset(w for w in words if len(w) > 1 and w not in first) | frozenset([*TITLES, *DEGREES, *NUMBER_WORDS])
         seeds = [(re.compile(p), kind) for ps, kind in ((PHONE_SEEDS, "phone"), (IDENTITY_SEEDS, "identity")) for p in ps]
         for b in batches:
             out = []
             for place, key, text, own in zip(b["place"], b["key"], b["text"], b["own"], strict=True):
                 taken: list[tuple[int, int]] = []
-                for m in _SPAN.finditer(text):
-                    value, kind = m.group(), m.lastgroup
+                for kind, m in _spans(text):
+                    value = m.group()
                     if kind == "num":
                         value = value.rstrip("-. (")
                         if value[0] == "(" and (")" not in value or value[-1] == ")"):
@@ -233,7 +260,7 @@ def candidates(texts: DataFrame, common: list[str], given: list[str]) -> DataFra
                 if place == "patient":
                     cue = re.search(r"\S*/\S*|[\d(]", text)
                     own_end = cue.end() if cue else len(text)
-                for at, full, two, one, is_two, seed in _names(text, words, first, own_words, taken):
+                for at, full, two, one, is_two, seed in _names(text, words, first, skip, own_words, taken):
                     p2, p1, title = _left(text, at)
                     if at < own_end:
                         continue
@@ -294,6 +321,13 @@ def score_names(found: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     return patterns
 
 
+def _small(df: DataFrame) -> DataFrame:
+    """The table for a broadcast if a count finds it small, else as it is (skewed keys
+    are then split by adaptive execution)."""
+    df = cut(df)
+    return F.broadcast(df) if df.count() <= MAX_BROADCAST_ROWS else df
+
+
 def identifiers(records: DataFrame, transcriptions: DataFrame, aliases: DataFrame, directory: DataFrame) -> DataFrame:
     """``place, key, kind, value``: one row per distinct value in a text.
 
@@ -305,10 +339,11 @@ def identifiers(records: DataFrame, transcriptions: DataFrame, aliases: DataFram
         | set(_list_of(F.regexp_extract("full_name", r"^(?:Dr\.?\s+)?(\p{L}+)", 1), directory))
     )
     found = cut(candidates(texts, common_words(texts.where("place <> 'patient'"), given), given))
-    shapes, patterns = score_numbers(found), score_names(found)
+    shapes, patterns = _small(score_numbers(found)), score_names(found)
     numbers = found.where("type = 'num'").join(shapes, "shape").select("place", "key", "kind", "value")
     spans = found.where("type in ('addr', 'mail')").select("place", "key", F.col("seed").alias("kind"), "value")
-    side = lambda level: patterns.where(F.col("pattern").startswith(f"{level}:")).select(
+    # a pattern of two words that is known to hold no names must still keep the one-word pattern out
+    side = lambda level: _small(patterns.where(F.col("pattern").startswith(f"{level}:") & ((F.col("n") >= 3) | (F.col("share") >= MIN_NAME_SHARE)))).select(
         F.substring("pattern", 3, 10_000).alias(f"p{level}"), F.col("share").alias(f"share{level}"), F.col("n").alias(f"n{level}"), F.col("two").alias(f"two{level}")
     )
     named = found.where("type = 'name'").join(side(2), "p2", "left").join(side(1), "p1", "left")
