@@ -59,7 +59,8 @@ _SPAN = {
     "mail": re.compile(_MAIL),
     "num": re.compile(_NUMBER),
 }
-_HAS_POSTAL = re.compile(rf"{_POSTAL}|\d, ?\d{{5}} ")
+_HAS_POSTAL = re.compile(r"\d{3}[\d ]\d\d|\d \d[A-Z]|\d, \d{5}")
+_NON_WORD = {c: " " for c in range(128) if not (chr(c).isalnum() or chr(c) in "'-_")}
 _WORD = re.compile(r"[^\W\d_](?:[\w'’-]*\w)?")
 
 CANDIDATES = (
@@ -71,8 +72,11 @@ PHONE_SEEDS = (r"\+9+([ -]9+)+", r"\(999\) 999-9999", r"999-999-9999", r"99999 9
 IDENTITY_SEEDS = (r"A{2}9{6,8}", r"9999-9999-9999", r"A{2}99/9{5}", r"A{2}-99-9{5}-A")
 
 
+_SHAPES = {c: "9" if chr(c).isdigit() else "A" if chr(c).isupper() else "a" for c in range(128) if chr(c).isalnum()}
+
+
 def _shape(value: str) -> str:
-    return re.sub(r"[a-z]", "a", re.sub(r"[A-Z]", "A", re.sub(r"\d", "9", value)))
+    return value.translate(_SHAPES)
 
 
 def _spans(text: str) -> Iterator[tuple[str, re.Match]]:
@@ -90,28 +94,37 @@ def _spans(text: str) -> Iterator[tuple[str, re.Match]]:
                 yield kind, m
 
 
+_TITLE_SET = frozenset(TITLES)
+_DOCTOR = frozenset(("dr", "prof", "doctor", "professor"))
+_GLUED = re.compile(r"(?:dr|prof|mr|mrs)\.")
+_DIGIT = re.compile(r"\d")
+
+
 def _left(text: str, at: int) -> tuple[str, str, str]:
     """(two words before, one word before, title) left of a place in its sentence."""
     words = text[max(0, at - 60) : at].rsplit("\n", 1)[-1].lower().split()
     title = ""
-    while words and words[-1].strip(".") in TITLES:
-        title = "dr" if words[-1].strip(".") in ("dr", "prof", "doctor", "professor") else "mr"
+    while words:
+        last = words[-1].strip(".")
+        if last not in _TITLE_SET:
+            break
+        title = "dr" if last in _DOCTOR else "mr"
         words.pop()
-    if words and re.fullmatch(r"(?:dr|prof|mr|mrs)\.?", words[-1].split(".")[0] or "-"):
+    if words and _GLUED.match(words[-1]):
         words.pop()
     if words and words[-1][-1] in ".;!?" and len(words[-1]) > 4:
         words = []
-    words = [re.sub(r"\d", "9", w.strip("([/,")).rstrip(":.") or w for w in words[-2:]]
-    one = words[-1] if words else "^"
-    return " ".join(words[-2:]) if words else "^", one, title
+    if not words:
+        return "^", "^", title
+    words = [_DIGIT.sub("9", w.strip("([/,")).rstrip(":.") or w for w in words[-2:]]
+    return " ".join(words), words[-1], title
 
 
 def _names(text: str, common: frozenset, given: frozenset, skip: frozenset, own: frozenset, taken: list[tuple[int, int]]):
     """Runs of uncommon words: (value, short value, first words, left context, seed)."""
     words = [(m.group(), m.start(), m.end()) for m in _WORD.finditer(text)]
-    n, i = len(words), 0
     hits = [k for k, w in enumerate(words) if w[0].lower() not in skip]
-    at_hit = 0
+    n, i, at_hit = len(words), 0, 0
 
     def plain(k: int) -> bool:
         w = words[k][0].lower()
@@ -195,7 +208,7 @@ def common_words(texts: DataFrame, given: list[str], share: float = COMMON_SHARE
             c: Counter = Counter()
             named: Counter = Counter()
             for t in b["text"]:
-                low = _WORD.findall(t.lower())
+                low = t.lower().translate(_NON_WORD).split()
                 c.update(set(low))
                 named.update({y for x, y in zip(low, low[1:]) if x in beside or len(x) == 1})
             yield pd.DataFrame({"word": list(c), "n": list(c.values()), "named": [named[w] for w in c]})
@@ -214,7 +227,8 @@ def texts_of(records: DataFrame, transcriptions: DataFrame) -> DataFrame:
     itself gives for patient and referrer.  Null keys and null or empty texts are left out."""
     own = F.concat_ws(" ", "patient", "referrer")
     report = records.select(F.lit("report_text").alias("place"), F.col("id").alias("key"), F.col("report_text").alias("text"), own.alias("own"))
-    patient = records.select(F.lit("patient").alias("place"), F.col("id").alias("key"), F.col("patient").alias("text"), F.lit("").alias("own"))
+    # a patient field can hold more than the name only where it holds one of these
+    patient = records.where(r"patient rlike '[0-9/(]'").select(F.lit("patient").alias("place"), F.col("id").alias("key"), F.col("patient").alias("text"), F.lit("").alias("own"))
     spoken = transcriptions.select(F.lit("transcript").alias("place"), F.col("transcript_id").cast("string").alias("key"), "text", F.lit("").alias("own"))
     return report.unionByName(patient).unionByName(spoken).where("key is not null and text <> ''")
 
