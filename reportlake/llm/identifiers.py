@@ -51,8 +51,8 @@ _MAIL = (
     r"|\b\w[\w+-]*(?: dot \w+)* at \w+(?: dot \w+)+"
 )
 _NUMBER = (
-    r"(?<![\w@.])(?:[A-Z]{1,3}[-/]?\d[\dA-Z]*(?:[-/][\dA-Z]+)*"
-    r"|[+(]?\d{1,14}\)?(?:[ .-]\(?\d{2,6}\)?){0,4}(?:[-/][A-Z]\b)?)(?![\w@])"
+    r"(?<![\w@.])(?:[A-Z]{1,3}[-/]?\d\d[\dA-Z]*(?:[-/][\dA-Z]+)*"
+    r"|(?:\+\d{1,3}(?=[ -]\d)|\(?\d{3,14}\)?)(?:[ .-]\(?\d{2,6}\)?){0,4}(?:[-/][A-Z]\b)?)(?![\w@])"
 )
 _SPAN = {
     "addr": re.compile(_ADDRESS),
@@ -89,7 +89,7 @@ def _spans(text: str) -> Iterator[tuple[str, re.Match]]:
     for kind in (*kinds, "num"):
         for m in _SPAN[kind].finditer(text):
             s, e = m.span()
-            if all(e <= a or s >= b for a, b in taken):
+            if e - s >= 6 and all(e <= a or s >= b for a, b in taken):
                 taken.append((s, e))
                 yield kind, m
 
@@ -120,11 +120,26 @@ def _left(text: str, at: int) -> tuple[str, str, str]:
     return " ".join(words), words[-1], title
 
 
+class _Words:
+    """(word, start, end) by number, taken from the matches when asked for."""
+
+    def __init__(self, found: Iterator[re.Match]) -> None:
+        self.found = list(found)
+        self.read: dict[int, tuple[str, int, int]] = {}
+
+    def __getitem__(self, k: int) -> tuple[str, int, int]:
+        got = self.read.get(k)
+        if got is None:
+            m = self.found[k]
+            got = self.read[k] = (m.group(), m.start(), m.end())
+        return got
+
+
 def _names(text: str, common: frozenset, given: frozenset, skip: frozenset, own: frozenset, taken: list[tuple[int, int]]):
     """Runs of uncommon words: (value, short value, first words, left context, seed)."""
-    words = [(m.group(), m.start(), m.end()) for m in _WORD.finditer(text)]
-    hits = [k for k, w in enumerate(words) if w[0].lower() not in skip]
-    n, i, at_hit = len(words), 0, 0
+    words = _Words(_WORD.finditer(text))
+    hits = [k for k, m in enumerate(words.found) if m.group().lower() not in skip]
+    n, i, at_hit = len(words.found), 0, 0
 
     def plain(k: int) -> bool:
         w = words[k][0].lower()
@@ -240,10 +255,8 @@ def _list_of(words: Column, df: DataFrame) -> list[str]:
     return [r.w for r in got]
 
 
-def candidates(texts: DataFrame, common: list[str], given: list[str]) -> DataFrame:
-    """Candidate instances with their contexts (see ``CANDIDATES``)."""
-    spark = texts.sparkSession
-    known = spark.sparkContext.broadcast((frozenset(common), frozenset(given)))
+def _finder(known):
+    """The pass over the texts; ``known.value`` holds common words and given names."""
     columns = [c.split()[0] for c in CANDIDATES.split(", ")]
 
     def find(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -281,7 +294,13 @@ def candidates(texts: DataFrame, common: list[str], given: list[str]) -> DataFra
                     out.append((place, key, "name", full if place != "transcript" else two, one, "2" if is_two else "1", f"{p2}|{title}{spoken}", f"{p1}|{title}{spoken}", "name" if seed else ""))
             yield pd.DataFrame(out, columns=columns)
 
-    return texts.mapInPandas(find, CANDIDATES)
+    return find
+
+
+def candidates(texts: DataFrame, common: list[str], given: list[str]) -> DataFrame:
+    """Candidate instances with their contexts (see ``CANDIDATES``)."""
+    known = texts.sparkSession.sparkContext.broadcast((frozenset(common), frozenset(given)))
+    return texts.mapInPandas(_finder(known), CANDIDATES)
 
 
 def score_numbers(found: DataFrame, rounds: int = ROUNDS) -> DataFrame:
