@@ -2,8 +2,17 @@
 
 from __future__ import annotations
 
-from reportlake.operators import nested, units
+import tempfile
+import uuid
+
+from pyspark.sql import functions as F
+
+from reportlake.functions import crypto, text
+from reportlake.operators import audit, clinical, corpus, nested, store, units
+from reportlake.oracle import ORACLE  # noqa: F401
 from reportlake.session import read
+from reportlake.sources import intake
+from reportlake.streaming import replay
 
 
 def p2_found(spark, sf_dir):
@@ -26,6 +35,238 @@ def p5_bridge(spark, sf_dir):
     return nested.occurrences(read(spark, sf_dir, "structured_reports"), read(spark, sf_dir, "records")).drop("node").distinct()
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_sizes, p5_found, p5_subtrees, p5_bridge)}
+def latest_records(spark, sf_dir):
+    return store.latest(read(spark, sf_dir, "records")).select("id", store.minute_of(F.col("updated")).alias("updated"), F.coalesce(F.size("trail"), F.lit(-1)).cast("bigint").alias("steps"))
+
+
+def event_tail(spark, sf_dir):
+    return read(spark, sf_dir, "events").orderBy(F.desc("ts"), F.desc("event_id")).limit(100).select("event_id", "event_type", "user_id")
+
+
+def commits_accepted(spark, sf_dir):
+    e = read(spark, sf_dir, "events").select("user_id", F.to_date("ts").alias("base"), "event_id")
+    return store.commit(e, ["user_id"], "base", "event_id").groupBy("user_id").agg(
+        F.count_if("accepted").alias("accepted"), F.count_if(~F.col("accepted")).alias("conflicts")
+    )
+
+
+def capped_history(spark, sf_dir):
+    return store.capped(read(spark, sf_dir, "events").select("user_id", "event_id"), ["user_id"], "event_id", 10)
+
+
+def imported_once(spark, sf_dir):
+    return store.imported_once(read(spark, sf_dir, "documents"), "text", "doc_id")
+
+
+def without_deleted(spark, sf_dir):
+    d = read(spark, sf_dir, "documents")
+    return store.without(d.select("doc_id", "source"), d.where("text is null or trim(text) = ''"), "doc_id")
+
+
+def tenants(spark, sf_dir):
+    return store.tenants(read(spark, sf_dir, "records"))
+
+
+def trail_transitions(spark, sf_dir):
+    return store.transitions(read(spark, sf_dir, "records"))
+
+
+def urgency_counts(spark, sf_dir):
+    return store.latest(read(spark, sf_dir, "records")).groupBy(F.coalesce(F.nullif("urgency", F.lit("")), F.lit("routine")).alias("urgency"), "status").agg(F.count(F.lit(1)).alias("n"))
+
+
+def urgency_rollup(spark, sf_dir):
+    r = store.latest(read(spark, sf_dir, "records")).select(F.lower("modality").alias("modality"), "status")
+    return r.rollup("modality", "status").agg(F.count(F.lit(1)).alias("n"), F.grouping_id().alias("level"))
+
+
+def worklist(spark, sf_dir):
+    return clinical.worklist(read(spark, sf_dir, "records"))
+
+
+def priors(spark, sf_dir):
+    return clinical.priors(read(spark, sf_dir, "records"))
+
+
+def measure_compare(spark, sf_dir):
+    return clinical.compare_with_prior(read(spark, sf_dir, "records"))
+
+
+def delta_summary(spark, sf_dir):
+    return clinical.compare_with_prior(read(spark, sf_dir, "records")).groupBy("kind").agg(F.count(F.lit(1)).alias("n"))
+
+
+def triage_levels(spark, sf_dir):
+    r = store.latest(read(spark, sf_dir, "records")).select("id", F.coalesce("report_text", F.lit("")).alias("report_text"))
+    return clinical.triage(r)
+
+
+def negation_polarity(spark, sf_dir):
+    return clinical.polarity(store.latest(read(spark, sf_dir, "records")).where("report_text is not null"))
+
+
+def quality_findings(spark, sf_dir):
+    return clinical.quality_findings(read(spark, sf_dir, "records"))
+
+
+def quality_histogram(spark, sf_dir):
+    return clinical.quality_findings(read(spark, sf_dir, "records")).groupBy("severity").agg(F.count(F.lit(1)).alias("n"))
+
+
+def impression_proposals(spark, sf_dir):
+    return clinical.impression_proposals(read(spark, sf_dir, "records"))
+
+
+def token_counts(spark, sf_dir):
+    return audit.bag(read(spark, sf_dir, "documents"), "doc_id", "text")
+
+
+def _text_pairs(spark, sf_dir):
+    d = read(spark, sf_dir, "documents").select("doc_id", "text")
+    return d, d.select((F.col("doc_id") - 1).alias("doc_id"), "text")
+
+
+def bag_difference(spark, sf_dir):
+    return audit.bag_difference(*_text_pairs(spark, sf_dir), "doc_id", "text")
+
+
+def missing_numbers(spark, sf_dir):
+    return audit.missing_numbers(*_text_pairs(spark, sf_dir), "doc_id", "text")
+
+
+def sentence_counts(spark, sf_dir):
+    d = read(spark, sf_dir, "documents").where("text is not null")
+    return d.select("doc_id", *(F.size(text.sentences(F.col("text"), s)).cast("bigint").alias(f"style_{s}") for s in "abc"))
+
+
+def sentence_contexts(spark, sf_dir):
+    d = read(spark, sf_dir, "documents").where("text is not null").select(F.explode(text.sentences(F.col("text"), "b")).alias("s"))
+    return d.groupBy(clinical.sentence_context(F.col("s")).alias("context")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def patient_slugs(spark, sf_dir):
+    return read(spark, sf_dir, "records").select("patient", "age_sex").distinct().select("patient", "age_sex", text.patient_slug(F.col("patient"), F.col("age_sex")).alias("slug"))
+
+
+def modalities(spark, sf_dir):
+    return read(spark, sf_dir, "records").groupBy(text.modality(F.col("study")).alias("modality")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def sound_keys(spark, sf_dir):
+    return read(spark, sf_dir, "corpus_terms").where("term is not null").select("term").distinct().select("term", text.sound_key(F.col("term")).alias("key"))
+
+
+def hl7_names(spark, sf_dir):
+    return read(spark, sf_dir, "records").where("patient is not null").select("patient").distinct().select("patient", text.hl7_name(F.col("patient")).alias("name"))
+
+
+def unit_style(spark, sf_dir):
+    t = read(spark, sf_dir, "transcriptions").where("text is not null").select("transcript_id", "text").distinct()
+    return t.select("transcript_id", F.md5(text.roman_grades(text.iso_units(F.col("text")))).alias("digest"))
+
+
+def bigrams(spark, sf_dir):
+    return corpus.ngrams(read(spark, sf_dir, "chunks").dropDuplicates(["chunk_id"]), "text", 2, 5)
+
+
+def trigrams(spark, sf_dir):
+    return corpus.ngrams(read(spark, sf_dir, "chunks").dropDuplicates(["chunk_id"]), "text", 3, 5)
+
+
+def packed_chunks(spark, sf_dir):
+    return corpus.pack_chunks(read(spark, sf_dir, "documents"), "doc_id", "text")
+
+
+def hash_vectors(spark, sf_dir):
+    v = corpus.hash_vectors(read(spark, sf_dir, "documents"), "doc_id", "text")
+    return v.select("doc_id", F.col("bucket").cast("bigint").alias("bucket"), F.round("weight", 4).alias("weight"))
+
+
+def vector_search(spark, sf_dir):
+    e = read(spark, sf_dir, "embeddings")
+    return corpus.nearest(e.where("vec_id % 100 = 0"), e, "vec_id", "embedding", 5)
+
+
+def memory_strength(spark, sf_dir):
+    return corpus.memory_strength(read(spark, sf_dir, "memories"), "2026-01-01")
+
+
+def memory_superseded(spark, sf_dir):
+    return corpus.superseded(read(spark, sf_dir, "memories"))
+
+
+def profile_stats(spark, sf_dir):
+    m = read(spark, sf_dir, "memories").dropDuplicates(["memory_id"])
+    return m.groupBy("tenant", "doctor").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("concept").alias("concepts"), F.sum("uses").alias("uses"))
+
+
+def chain_status(spark, sf_dir):
+    e = read(spark, sf_dir, "events").select("user_id", "event_id", "event_type")
+    link = crypto.chain_link(F.lit("x"), F.col("event_id").cast("string"), F.col("event_type"))
+    return store.verify_chain(e.withColumn("link", link), "user_id", "event_id", "event_id", "event_type")
+
+
+def keyed_hashes(spark, sf_dir):
+    return read(spark, sf_dir, "customer").select("c_custkey", crypto.hmac_sha256(b"demo key", F.col("c_name")).alias("mac"))
+
+
+def sealed_round_trip(spark, sf_dir):
+    s = read(spark, sf_dir, "documents").select("doc_id", "text").withColumn("sealed", crypto.seal(F.col("text"), b"demo key"))
+    return s.select("doc_id", F.length(crypto.unseal(F.col("sealed"), b"demo key")).cast("bigint").alias("chars"), crypto.unseal(F.col("sealed"), b"other").isNull().alias("wrong_key_null"))
+
+
+def pasted_parts(spark, sf_dir):
+    d = read(spark, sf_dir, "documents").where("text is not null").select("doc_id", F.replace("text", F.lit("\n\n"), F.lit("\n----\n")).alias("text"))
+    return intake.split_pasted(d, "doc_id", "text").groupBy("doc_id").agg(F.count(F.lit(1)).alias("parts"))
+
+
+def oru_messages(spark, sf_dir):
+    r = store.latest(read(spark, sf_dir, "records")).where("report_text is not null")
+    return r.select("id", intake.oru_message().alias("m")).select("id", intake.hl7_field(F.col("m"), "MSH", 10).alias("control_id"), F.size(F.split("m", "\r")).cast("bigint").alias("segments"))
+
+
+def fhir_reports(spark, sf_dir):
+    r = store.latest(read(spark, sf_dir, "records")).where("report_text is not null")
+    j = r.select("id", intake.fhir_report().alias("j"))
+    return j.select("id", F.get_json_object("j", "$.status").alias("status"), F.length(F.decode(F.unbase64(F.get_json_object("j", "$.presentedForm[0].data")), "UTF-8")).cast("bigint").alias("chars"))
+
+
+def unique_filenames(spark, sf_dir):
+    return intake.unique_names(read(spark, sf_dir, "supplier").select("s_suppkey", F.left("s_name", F.lit(14)).alias("label")), "label", "s_suppkey").select("s_suppkey", "filename")
+
+
+def routed_reports(spark, sf_dir):
+    r = store.latest(read(spark, sf_dir, "records"))
+    return intake.route(r, read(spark, sf_dir, "referrers"), "id", "report_text")
+
+
+def event_windows(spark, sf_dir):
+    return replay.event_counts(read(spark, sf_dir, "events")).withColumn("day", F.date_format("day", "yyyy-MM-dd"))
+
+
+def stream_replay(spark, sf_dir):
+    e = read(spark, sf_dir, "events")
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="reportlake-")
+    name = f"events_{uuid.uuid4().hex}"
+    return replay.replay(spark, f"{sf_dir}/events.parquet", e.schema, f"{base}/{name}", name).withColumn("day", F.date_format("day", "yyyy-MM-dd"))
+
+
+def confidence_by_engine(spark, sf_dir):
+    o = read(spark, sf_dir, "ocr_results").dropDuplicates(["page_id"])
+    return o.groupBy("engine").agg(F.count(F.lit(1)).alias("pages"), F.round(F.avg(F.when(F.col("confidence") > 0, F.col("confidence"))), 4).alias("confidence"))
+
+
+def critical_impressions(spark, sf_dir):
+    s = read(spark, sf_dir, "structured_reports").dropDuplicates(["report_id"]).select("tenant", "report_id", F.explode("impression").alias("i")).where("i is not null")
+    return s.groupBy("tenant").agg(F.count_if("i.is_critical").alias("critical"), F.count(F.lit(1)).alias("n"))
+
+
+_EXTRA = (
+    latest_records, event_tail, commits_accepted, capped_history, imported_once, without_deleted, tenants, trail_transitions, urgency_counts, urgency_rollup,
+    worklist, priors, measure_compare, delta_summary, triage_levels, negation_polarity, quality_findings, quality_histogram, impression_proposals, token_counts,
+    bag_difference, missing_numbers, sentence_counts, sentence_contexts, patient_slugs, modalities, sound_keys, hl7_names, unit_style, bigrams, trigrams,
+    packed_chunks, hash_vectors, vector_search, memory_strength, memory_superseded, profile_stats, chain_status, keyed_hashes, sealed_round_trip, pasted_parts,
+    oru_messages, fhir_reports, unique_filenames, routed_reports, event_windows, stream_replay, confidence_by_engine, critical_impressions,
+)
 
-ORACLE: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (p2_found, p2_sizes, p5_found, p5_subtrees, p5_bridge, *_EXTRA)}

@@ -21,8 +21,8 @@ def oracle(sf_dir: str):
 
 def canonical(df):
     df = df[sorted(df.columns)]
-    rows = sorted(map(repr, df.astype(object).where(df.notna(), None).itertuples(index=False, name=None)))
-    return rows
+    plain = lambda v: int(v) if isinstance(v, float) and v.is_integer() else v
+    return sorted(repr(tuple(map(plain, r))) for r in df.astype(object).where(df.notna(), None).itertuples(index=False, name=None))
 
 
 def main(sf: str, names: list[str]) -> None:
