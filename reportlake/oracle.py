@@ -125,6 +125,6 @@ select s_suppkey, case when n = 1 then safe else safe || '_' || n end as filenam
     "stream_replay": "select strftime(ts, '%Y-%m-%d') as day, event_type, count(*) as n, round(sum(value), 4) as total from events group by 1, 2",
     "confidence_by_engine": """select engine, count(*) as pages, round(avg(case when confidence > 0 then confidence end), 4) as confidence
 from (select distinct on (page_id) engine, confidence from ocr_results) group by 1""",
-    "critical_impressions": """select tenant, count_if(i.is_critical) as critical, count(*) as n from (select tenant, unnest(impression) as i
+    "critical_impressions": """select tenant, count(*) filter (where i.is_critical) as critical, count(*) as n from (select tenant, unnest(impression) as i
 from (select distinct on (report_id) tenant, impression from structured_reports)) where i is not null group by 1""",
 }

@@ -248,7 +248,7 @@ def stream_replay(spark, sf_dir):
     e = read(spark, sf_dir, "events")
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="reportlake-")
     name = f"events_{uuid.uuid4().hex}"
-    return replay.replay(spark, f"{sf_dir}/events.parquet", e.schema, f"{base}/{name}", name).withColumn("day", F.date_format("day", "yyyy-MM-dd"))
+    return replay.replay(spark, f"{sf_dir}/events.parque[t]", e.schema, f"{base}/{name}", name).withColumn("day", F.date_format("day", "yyyy-MM-dd"))
 
 
 def confidence_by_engine(spark, sf_dir):

@@ -19,7 +19,7 @@ def event_counts(events: DataFrame, watermark: str = "1 hour", window: str = "1
 
 
 def replay(spark: SparkSession, folder: str, schema, checkpoint: str, name: str) -> DataFrame:
-    """All files of a folder through the stream, once, into a memory table."""
+    """All files of a folder or glob through the stream, once, into a memory table."""
     stream = spark.readStream.schema(schema).parquet(folder)
     query = event_counts(stream).writeStream.format("memory").queryName(name).outputMode("complete").option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     query.awaitTermination()
