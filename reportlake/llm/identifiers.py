@@ -225,7 +225,7 @@ def common_words(texts: DataFrame, given: list[str], share: float = COMMON_SHARE
             for t in b["text"]:
                 low = t.lower().translate(_NON_WORD).split()
                 c.update(set(low))
-                named.update({y for x, y in zip(low, low[1:]) if x in beside or (len(x) == 1 and x not in "ax")})
+                named.update({y for x, y in zip(low, low[1:]) if x in beside or (len(x) == 1 and x.isalpha() and x not in "ax")})
             yield pd.DataFrame({"word": list(c), "n": list(c.values()), "named": [named[w] for w in c]})
 
     counted = (
