@@ -157,7 +157,11 @@ _BAD_NUMBER = (
 
 
 def skip_gram(lined: DataFrame) -> DataFrame:
-    """``word, vec`` of all words that occur ``MIN_VECTOR_COUNT`` times, learned on all lines."""
+    """``word, vec`` of all words that occur ``MIN_VECTOR_COUNT`` times, learned on all
+    lines; no rows where no word is as frequent."""
+    enough = lined.where("size(toks) > 2").select(F.explode("toks").alias("w")).groupBy("w").count().where(F.col("count") >= MIN_VECTOR_COUNT)
+    if enough.isEmpty():
+        return lined.sparkSession.createDataFrame([], "word string, vec array<double>")
     parts = max(2, lined.sparkSession.sparkContext.defaultParallelism)
     model = Word2Vec(
         vectorSize=VECTOR_SIZE, minCount=MIN_VECTOR_COUNT, windowSize=3, maxIter=1, numPartitions=parts, seed=SEED, inputCol="toks", outputCol="v"
