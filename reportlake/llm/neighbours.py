@@ -300,3 +300,66 @@ def mutual_neighbours(rows: DataFrame, k: int = 10, min_sim: float = 0.8) -> Dat
         forth.join(back, ["space", "a", "b"])
         .select(F.element_at(F.array(*map(F.lit, tables)), F.col("space") + 1).alias("src"), F.col("a").alias("id_a"), F.col("b").alias("id_b"))
     )
+
+
+#: Greedy search: candidates kept for a query, of which so many are expanded a hop, and hops.
+BEAM = 40
+EXPAND = 8
+HOPS = 4
+#: Entry nodes of a space for queries that are no rows of the collection.
+ENTRIES = 32
+
+
+def greedy_search(queries: DataFrame, graph: DataFrame, nodes: DataFrame, k: int = 10) -> DataFrame:
+    """``space, query, node, sim``: the k best nodes found from each query's entry by
+    following the graph.
+
+    ``queries``: space, query, vec and entry (a node, or null).  Each hop expands the
+    best candidates not yet expanded, over edges in both directions, and keeps the
+    ``BEAM`` best; a hop moves (query, candidate) pairs, never the collection."""
+    both = cut(
+        graph.select("space", "src", "dst").unionByName(graph.select("space", F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct()
+    )
+    firsts = nodes.withColumn("r", F.row_number().over(Window.partitionBy("space").orderBy(F.xxhash64("node", F.lit(SEED))))).where(F.col("r") <= ENTRIES)
+    asked = queries.select("space", "query", F.col("vec").alias("qv"))
+    start = queries.where("entry is not null").select("space", "query", F.col("entry").alias("node")).unionByName(
+        queries.where("entry is null").select("space", "query").join(firsts.select("space", "node"), "space")
+    )
+
+    def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            sims = [float(np.frombuffer(q, np.float32) @ np.frombuffer(v, np.float32)) for q, v in zip(b["qv"], b["vec"], strict=True)]
+            yield pd.DataFrame({"space": b["space"], "query": b["query"], "node": b["node"], "sim": sims})
+
+    def scored(pairs: DataFrame) -> DataFrame:
+        ready = pairs.join(nodes, ["space", "node"]).join(asked, ["space", "query"]).select("space", "query", "node", "vec", "qv")
+        return ready.mapInPandas(score, "space int, query bigint, node bigint, sim double").withColumn("done", F.lit(False))
+
+    best = Window.partitionBy("space", "query").orderBy(F.desc("sim"), "node")
+    beam = cut(scored(start))
+    for _ in range(HOPS):
+        ranked = beam.withColumn("turn", F.when(~F.col("done"), F.row_number().over(Window.partitionBy("space", "query", "done").orderBy(F.desc("sim"), "node"))))
+        ranked = cut(ranked.withColumn("now", F.coalesce(F.col("turn") <= EXPAND, F.lit(False))))
+        near = ranked.where("now").select("space", "query", F.col("node").alias("src")).join(both, ["space", "src"]).select("space", "query", F.col("dst").alias("node")).distinct()
+        fresh = scored(near.join(ranked.select("space", "query", "node"), ["space", "query", "node"], "left_anti"))
+        held = ranked.select("space", "query", "node", "sim", (F.col("done") | F.col("now")).alias("done"))
+        beam = cut(held.unionByName(fresh).withColumn("r", F.row_number().over(best)).where(F.col("r") <= BEAM).drop("r"))
+    return beam.withColumn("r", F.row_number().over(best)).where(F.col("r") <= k + 1).select("space", "query", "node", "sim")
+
+
+def search_rows(rows: DataFrame, every: int = 100, k: int = 10) -> DataFrame:
+    """``src, query, rank, id, sim``: for every row whose id is divisible by ``every``,
+    its k most similar rows of all rows, by greedy search from its own node.
+
+    Rows without a usable vector ask nothing and are found by nobody."""
+    nodes, members, spaces = classes(rows)
+    if not spaces:
+        return rows.sparkSession.createDataFrame([], "src string, query bigint, rank bigint, id bigint, sim double")
+    graph = neighbour_graph(nodes, spaces)
+    asking = members.where(F.col("id") % every == 0).join(nodes, ["space", "node"]).select("space", F.col("id").alias("query"), "vec", F.col("node").alias("entry"))
+    found = greedy_search(cut(asking), graph, nodes, k)
+    few = members.withColumn("r", F.row_number().over(Window.partitionBy("space", "node").orderBy("id"))).where(F.col("r") <= k + 1).drop("r")
+    order = Window.partitionBy("space", "query").orderBy(F.desc("sim"), "id")
+    ids = found.join(few, ["space", "node"]).where("id <> query").withColumn("sim", F.round("sim", 6)).withColumn("rank", F.row_number().over(order).cast("bigint"))
+    tables = [key.split("|", 1)[0] for key, _ in sorted(spaces.values())]
+    return ids.where(F.col("rank") <= k).select(F.element_at(F.array(*map(F.lit, tables)), F.col("space") + 1).alias("src"), "query", "rank", "id", "sim")

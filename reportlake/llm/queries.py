@@ -42,6 +42,10 @@ def p6_found(spark, sf_dir):
     return neighbours.mutual_neighbours(_vectors(spark, sf_dir))
 
 
+def p6_search(spark, sf_dir):
+    return neighbours.search_rows(_vectors(spark, sf_dir))
+
+
 def p7_found(spark, sf_dir):
     return names.linked_names(read(spark, sf_dir, "records"), read(spark, sf_dir, "referrers"), read(spark, sf_dir, "name_aliases"))
 
@@ -70,7 +74,7 @@ def p10_forms(spark, sf_dir):
     return skeleton.with_skeleton(read(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_text, p3_found, p3_terms, p4_found, p4_redacted, p6_found, p7_found, p7_people, p8_ids, p9_mix, p9_shares, p10_found, p10_forms)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_text, p3_found, p3_terms, p4_found, p4_redacted, p6_found, p6_search, p7_found, p7_people, p8_ids, p9_mix, p9_shares, p10_found, p10_forms)}
 
 _SPACES = r"[\s\x{00A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+"
 _TERMS = rf"""

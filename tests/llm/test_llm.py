@@ -153,6 +153,17 @@ def test_graph_recall(spark):
     assert recall >= 0.9, recall
 
 
+def test_greedy_search_recall(spark):
+    m = np.abs(np.random.default_rng(6).standard_normal((2000, 24)))
+    u = m / np.linalg.norm(m, axis=1, keepdims=True)
+    got = neighbours.search_rows(vectors(spark, m), every=40).toPandas()
+    assert got.groupby("query").size().eq(10).all() and got["query"].nunique() == 50
+    s = u @ u.T
+    np.fill_diagonal(s, -2)
+    recall = np.mean([len(set(g.id) & set(np.argsort(-s[q])[:10])) / 10 for q, g in got.groupby("query")])
+    assert recall >= 0.9, recall
+
+
 def test_neighbours_edges(spark):
     assert neighbours.mutual_neighbours(vectors(spark, [])).count() == 0
     bad = vectors(spark, [None, [0.0, 0.0], [1.0, float("nan")], [1.0, 1.0], [2.0, 2.0], [1.0, 1.0], []], [1, 2, 3, 4, 5, 4, 9])
