@@ -58,6 +58,60 @@ _CONTEXT = r"""case when regexp_matches(s, '(?i)\bfamily history\b|\bf/h\b') the
  when regexp_matches(s, '(?i)\bdifferentials?\b|\bpossibilit(?:y|ies)\b|\bconsider\b|\bversus\b|\bmay represent\b|\bcould represent\b') then 'differential'
  else 'current' end"""
 
+_HEADINGS = (
+    "DATE OF EXAMINATION|CLINICAL HISTORY|CLINICAL DETAILS|NAME OF PATIENT|RECOMMENDATION|PATIENT NAME|OBSERVATIONS|REFERRED BY|EXAMINATION|LIMITATIONS|"
+    "INDICATION|COMPARISON|IMPRESSION|CONCLUSION|PROCEDURE|TECHNIQUE|PROTOCOL|CONTRAST|FINDINGS|AGE/SEX|HISTORY|OPINION|COMMENT|ADVICE|NOTE"
+)
+_SECTIONS = rf"""with l as (select id, unnest(string_split(replace(report_text, chr(13) || chr(10), chr(10)), chr(10))) as line,
+  unnest(range(0, len(string_split(replace(report_text, chr(13) || chr(10), chr(10)), chr(10))))) as no from {_LATEST} where report_text is not null),
+h as (select *, nullif(upper(regexp_extract(line, '(?i)^\s*({_HEADINGS})\s*(?:[:–-]|$)', 1)), '') as head from l where trim(line) <> ''),
+s as (select id, coalesce(last_value(head ignore nulls) over (partition by id order by no rows between unbounded preceding and current row), '') as section from h)
+select section, count(*) as lines, count(distinct id) as reports from s group by 1"""
+
+
+def _sentence_rows(style: str) -> str:
+    split = _split(style)
+    return f"""(select id, unnest(ss) as s, unnest(range(0, len(ss))) as pos from (select id, {split} as ss from (select id, report_text as text from {_LATEST} where report_text is not null)))"""
+
+
+_REGIONS = {
+    "ABDOMEN": "liver gallbladder pancreas spleen kidney ureter bladder appendix bowel stomach aorta adrenal", "PELVIS": "uterus endometrium ovary adnexa prostate cervix",
+    "CHEST": "lung pleura heart mediastinum trachea diaphragm rib", "BRAIN": "cerebrum cerebellum brainstem ventricle sella pituitary",
+    "MSK": "spine disc vertebra shoulder knee hip femur humerus", "BREAST": "breast axilla",
+}
+_ORGANS = "|".join(sorted([*" ".join(_REGIONS.values()).split(), "thyroid", "parotid", "submandibular", "lymph node"], key=len, reverse=True))
+_REGION_OF = " ".join(f"when organ in ({', '.join(repr(o) for o in v.split())}) then '{k}'" for k, v in _REGIONS.items())
+_ANATOMY = rf"""with s as (select *, nullif(lower(regexp_extract(s, '(?i)\b({_ORGANS})s?\b', 1)), '') as own from {_sentence_rows('b')}),
+o as (select coalesce(own, case when regexp_matches(s, '(?i)^\s*(?:it|this|these|there)\b') then
+  last_value(own ignore nulls) over (partition by id order by pos rows between unbounded preceding and 1 preceding) end) as organ from s)
+select case {_REGION_OF} when organ in ('thyroid', 'parotid', 'submandibular', 'lymph node') then 'NECK' else 'UNASSIGNED' end as region,
+  coalesce(organ, '') as organ, count(*) as n from o group by all"""
+_TARGETS = (
+    "liver|spleen|gallbladder|pancreas|kidney|ureter|bladder|prostate|uterus|endometrium|ovary|cervix|thyroid|aorta|portal vein|common bile duct|appendix|lymph node|"
+    "nodule|cyst|mass|lesion|fibroid|polyp|calculus|stone|collection|abscess|aneurysm|hernia|effusion"
+)
+_DIMS = r"(?i)(\d+(?:\.\d+)?(?:\s*[x×*]\s*\d+(?:\.\d+)?){0,2})\s*(mm|cm)\b"
+_MEASURES = rf"""with s as (select id, pos, lower(regexp_extract(s, '(?i)\b(?:(right|left|rt|lt)\.?\s+)?({_TARGETS})s?\b', 1)) as side,
+  lower(regexp_extract(s, '(?i)\b(?:(right|left|rt|lt)\.?\s+)?({_TARGETS})s?\b', 2)) as organ,
+  list_max(list_transform(regexp_extract_all(regexp_extract(s, '{_DIMS}', 1), '(\d+(?:\.\d+)?)'), lambda x: cast(x as double)))
+    * case when lower(regexp_extract(s, '{_DIMS}', 2)) = 'cm' then 10.0 else 1.0 end as mm from {_sentence_rows('a')}),
+t as (select *, case when organ <> '' then trim(case when side in ('rt', 'right') then 'right' when side in ('lt', 'left') then 'left' else '' end || ' ' || organ) end as own from s),
+c as (select *, last_value(own ignore nulls) over (partition by id order by pos rows between unbounded preceding and current row) as target from t),
+f as (select *, row_number() over (partition by id, target order by pos) as n from c where target is not null and mm is not null)
+select id, target, round_even(mm, 1) as size_mm, case when own is null then 'anaphora' else 'stated' end as via from f where n = 1"""
+
+_SUFFIXES = "itis osis iasis oma ectomy otomy ostomy plasty graphy gram scopy pathy megaly penia emia uria cele lysis stenosis sclerosis plasia trophy ectasia algia oedema edema genesis echoic".split()
+_PREFIXES = "chole nephro hepato spleno pneumo hydro osteo chondro arthro cardio broncho gastro entero encephalo myelo angio arterio adeno thoraco pleuro lympho haemato spondylo".split()
+_REASON = (
+    "case when length(w) < 4 then '' " + " ".join(f"when w like '%{x}' or w like '%{x}s' then 'suffix -{x}'" for x in _SUFFIXES) + " "
+    + " ".join(f"when w like '{p}%' then 'prefix {p}-'" for p in _PREFIXES) + " when length(w) >= 10 and regexp_full_match(w, '[a-z]+') then 'rare long word' else '' end"
+)
+_NODULES = rf"""with s as (select s, try_cast(regexp_extract(s, '(\d+(?:\.\d+)?) ?mm', 1) as double) as mm from {_sentence_rows('b')} where regexp_matches(s, '(?i)\bnodules?\b'))
+select case when regexp_matches(s, '(?i)part[- ]?solid|semi[- ]?solid') then 'part-solid'
+ when regexp_matches(s, '(?i)ground[- ]?glass|\bggo\b') then case when mm < 6 then 'ground-glass, none' else 'ground-glass, 6-12 months' end
+ when regexp_matches(s, '(?i)\bnodules\b|\bmultiple\b|\bseveral\b') and mm >= 6 then 'multiple, 3-6 months'
+ when mm is null then 'size not stated' when mm < 6 then 'none' when mm <= 8 then '6-12 months' else '3 months' end as advice, count(*) as n from s group by 1"""
+
 ORACLE = {
     "latest_records": f"select id, {_MINUTE.format(c='updated')} as updated, cast(coalesce(len(trail), -1) as bigint) as steps from {_LATEST}",
     "event_tail": "select event_id, event_type, user_id from events order by ts desc, event_id desc limit 100",
@@ -127,4 +181,10 @@ select s_suppkey, case when n = 1 then safe else safe || '_' || n end as filenam
 from (select distinct on (page_id) engine, confidence from ocr_results) group by 1""",
     "critical_impressions": """select tenant, count(*) filter (where i.is_critical) as critical, count(*) as n from (select tenant, unnest(impression) as i
 from (select distinct on (report_id) tenant, impression from structured_reports)) where i is not null group by 1""",
+    "deid_round_trip": f"select id, md5(report_text) as digest from {_LATEST} where report_text is not null",
+    "section_lines": _SECTIONS,
+    "term_reasons": f"""select {_REASON} as reason, count(*) as n from (select distinct doc_id, w from (select doc_id, unnest({_TOKENS}) as w from documents where text is not null)) group by 1""",
+    "nodule_advice": _NODULES,
+    "anatomy_counts": _ANATOMY,
+    "report_measurements": _MEASURES,
 }

@@ -8,7 +8,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from reportlake.functions import crypto, text
-from reportlake.operators import audit, clinical, corpus, nested, store, units
+from reportlake.operators import audit, clinical, corpus, documents, nested, store, units
 from reportlake.oracle import ORACLE  # noqa: F401
 from reportlake.session import read
 from reportlake.sources import intake
@@ -261,7 +261,49 @@ def critical_impressions(spark, sf_dir):
     return s.groupBy("tenant").agg(F.count_if("i.is_critical").alias("critical"), F.count(F.lit(1)).alias("n"))
 
 
+def section_lines(spark, sf_dir):
+    s = documents.sectioned(store.latest(read(spark, sf_dir, "records")))
+    return s.groupBy("section").agg(F.count(F.lit(1)).alias("lines"), F.countDistinct("id").alias("reports"))
+
+
+def report_measurements(spark, sf_dir):
+    return documents.measurements(store.latest(read(spark, sf_dir, "records")))
+
+
+def anatomy_counts(spark, sf_dir):
+    return documents.anatomy(store.latest(read(spark, sf_dir, "records"))).groupBy("region", "organ").agg(F.count(F.lit(1)).alias("n"))
+
+
+def term_reasons(spark, sf_dir):
+    w = read(spark, sf_dir, "documents").where("text is not null").select(F.explode(F.array_distinct(text.tokens(F.col("text")))).alias("word"))
+    return w.select(documents.term_reason(F.col("word")).alias("reason")).groupBy("reason").agg(F.count(F.lit(1)).alias("n"))
+
+
+def nodule_advice(spark, sf_dir):
+    s = store.latest(read(spark, sf_dir, "records")).where("report_text is not null").select(F.explode(text.sentences(F.col("report_text"), "b")).alias("s"))
+    mm = F.regexp_extract("s", r"(\d+(?:\.\d+)?) ?mm", 1).try_cast("double")
+    return s.select(documents.nodule_class(F.col("s"), mm).alias("advice")).where("advice is not null").groupBy("advice").agg(F.count(F.lit(1)).alias("n"))
+
+
+def deid_round_trip(spark, sf_dir):
+    r = store.latest(read(spark, sf_dir, "records")).where("report_text is not null").select("id", "report_text")
+    return documents.reidentified(documents.deidentified(r, "id", "report_text"), "id").select("id", F.md5("text").alias("digest"))
+
+
+def deid_counts(spark, sf_dir):
+    r = store.latest(read(spark, sf_dir, "records")).where("report_text is not null").select("id", "report_text")
+    p = documents.deidentified(r, "id", "report_text").select(F.explode("places").alias("p"))
+    return p.groupBy(F.regexp_extract("p.mark", r"\[(\w+)-", 1).alias("label")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def near_terms(spark, sf_dir):
+    v = read(spark, sf_dir, "corpus_terms").select(F.trim("term").alias("term")).where(r"term rlike '^[a-z]{5,}$'")
+    w = read(spark, sf_dir, "ocr_results").where("text is not null").select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit("([a-z]{5,})"), 1)).alias("word"))
+    return documents.near_terms(w, v)
+
+
 _EXTRA = (
+    section_lines, report_measurements, anatomy_counts, term_reasons, nodule_advice, deid_round_trip, deid_counts, near_terms,
     latest_records, event_tail, commits_accepted, capped_history, imported_once, without_deleted, tenants, trail_transitions, urgency_counts, urgency_rollup,
     worklist, priors, measure_compare, delta_summary, triage_levels, negation_polarity, quality_findings, quality_histogram, impression_proposals, token_counts,
     bag_difference, missing_numbers, sentence_counts, sentence_contexts, patient_slugs, modalities, sound_keys, hl7_names, unit_style, bigrams, trigrams,

@@ -159,3 +159,33 @@ def test_routing(spark):
     docs = spark.createDataFrame([("Dr. A Shah",), ("Dr. Meena K. Rao",), ("Dr. Anil Sen",)], "full_name string")
     reps = spark.createDataFrame([("1", "signed Meena Rao"), ("2", "none"), ("3", "Anil Sen and Meena Rao"), ("4", None)], "id string, t string")
     assert rows(intake.route(reps, docs, "id", "t")) == [("1", "Dr. Meena K. Rao"), ("2", None), ("3", None), ("4", None)]
+
+
+def test_measurements(spark):
+    from reportlake.operators import documents
+
+    said = [
+        ("a", "Liver measures 16.2 cm. A cyst is seen in the left kidney. It measures 2.5 cm."), ("b", "Mass of 4.2 x 3.1 cm. Mass of 9 cm."),
+        ("c", "It measures 3 cm."), ("d", None), ("e", ""),
+    ]
+    got = rows(documents.measurements(spark.createDataFrame(said, "id string, report_text string")))
+    assert got == [("a", "cyst", 25.0, "anaphora"), ("a", "liver", 162.0, "stated"), ("b", "mass", 42.0, "stated")]
+
+
+def test_deid_round_trip(spark):
+    from reportlake.operators import documents
+
+    t = "MRN: H/123456 called 98765 43210 and a@b.example on 01/02/2024, again 98765 43210 (H/123456)."
+    d = documents.deidentified(spark.createDataFrame([(1, t), (2, ""), (3, None)], "k int, t string"), "k", "t")
+    clean = {r.k: r.clean for r in d.collect()}
+    assert clean == {1: "MRN: [ID-1] called [PHONE-1] and [EMAIL-1] on [DATE-1], again [PHONE-1] ([ID-1]).", 2: ""}
+    assert rows(documents.reidentified(d, "k")) == [(1, t), (2, "")]
+
+
+def test_near_terms(spark):
+    from reportlake.operators import documents
+
+    w = spark.createDataFrame([("cholelithisis",), ("hidronefrosis",), ("hydronephrosis",), ("table",), (None,)], "word string")
+    v = spark.createDataFrame([("Cholelithiasis",), ("hydronephrosis",), ("hydrocele",)], "term string")
+    assert [(x, y) for x, y, _ in rows(documents.near_terms(w, v))][0] == ("cholelithisis", "cholelithiasis")
+    assert "table" not in {r.word for r in documents.near_terms(w, v).collect()}
