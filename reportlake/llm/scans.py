@@ -11,6 +11,7 @@ Furniture lines are those whose fold keeps to the edges of pages.
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
 
@@ -40,7 +41,10 @@ MIN_TARGET = 3
 SURE_RATIO = 40.0
 MIN_SIMILAR = 0.25
 VECTOR_SIZE = 24
+#: Words get a vector from this many occurrences and this part of all words on, so at
+#: most 1 / MIN_VECTOR_SHARE vectors come to the driver.
 MIN_VECTOR_COUNT = 5
+MIN_VECTOR_SHARE = 5e-7
 SEED = 3
 
 
@@ -157,14 +161,16 @@ _BAD_NUMBER = (
 
 
 def skip_gram(lined: DataFrame) -> DataFrame:
-    """``word, vec`` of all words that occur ``MIN_VECTOR_COUNT`` times, learned on all
-    lines; no rows where no word is as frequent."""
-    enough = lined.where("size(toks) > 2").select(F.explode("toks").alias("w")).groupBy("w").count().where(F.col("count") >= MIN_VECTOR_COUNT)
-    if enough.isEmpty():
+    """``word, vec`` of all frequent words, learned on all lines; no rows where no word
+    is frequent enough."""
+    seen = lined.where("size(toks) > 2").select(F.explode("toks").alias("w")).groupBy("w").count()
+    most = seen.agg(F.sum("count").alias("all"), F.max("count").alias("top")).first()
+    least = max(MIN_VECTOR_COUNT, math.ceil(MIN_VECTOR_SHARE * (most["all"] or 0)))
+    if (most["top"] or 0) < least:
         return lined.sparkSession.createDataFrame([], "word string, vec array<double>")
     parts = max(2, lined.sparkSession.sparkContext.defaultParallelism)
     model = Word2Vec(
-        vectorSize=VECTOR_SIZE, minCount=MIN_VECTOR_COUNT, windowSize=3, maxIter=1, numPartitions=parts, seed=SEED, inputCol="toks", outputCol="v"
+        vectorSize=VECTOR_SIZE, minCount=least, windowSize=3, maxIter=1, numPartitions=parts, seed=SEED, inputCol="toks", outputCol="v"
     ).fit(lined.where("size(toks) > 2").select("toks"))
     return model.getVectors().select("word", vector_to_array("vector").alias("vec"))
 
