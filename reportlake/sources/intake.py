@@ -95,9 +95,9 @@ def route(reports: DataFrame, doctors: DataFrame, key: str, text: str) -> DataFr
     directory in an equality join, so no report is held against every name.  Several
     different doctors, or none, give null."""
     tail = F.lower(F.right(F.coalesce(text, F.lit("")), F.lit(400)))
-    w = F.regexp_extract_all(tail, F.lit(r"([\p{L}]+)"), 1)
-    pairs = F.when(F.size(w) > 1, F.transform(F.sequence(F.lit(0), F.size(w) - 2), lambda i: F.concat_ws(" ", F.get(w, i), F.get(w, i + 1))))
-    asked = reports.select(key, F.explode_outer(F.array_distinct(pairs)).alias("pair"))
+    split = reports.select(key, F.regexp_extract_all(tail, F.lit(r"([\p{L}]+)"), 1).alias("w"))
+    pairs = F.zip_with(F.slice("w", F.lit(1), F.greatest(F.size("w") - 1, F.lit(0))), F.slice("w", F.lit(2), F.size("w")), lambda a, b: F.concat_ws(" ", a, b))
+    asked = split.select(key, F.explode_outer(F.array_distinct(pairs)).alias("pair"))
     named = F.regexp_extract_all(F.lower("full_name"), F.lit(r"([\p{L}]{2,})"), 1)
     known = doctors.select("full_name", F.array_join(F.slice(F.filter(named, lambda x: x != "dr"), 1, 2), " ").alias("pair")).distinct()
     return asked.join(known, "pair", "left").groupBy(key).agg(
