@@ -1,11 +1,9 @@
-"""Variant spellings of names linked by n-gram cosine and average linkage.
-
-A name is reduced to a bag of words and initials; its vector holds the character
-trigrams of the words, weighted by squared inverse document frequency and cut to
-the heaviest ones.  Vectors meet in a join on (block, trigram); the sum over shared
-trigrams is their cosine.  Pairs above the threshold are scored word by word, and
-average linkage groups each connected component, so that a spelling which fits two
-people does not make them one.
+"""Variant spellings of names linked by shared n-grams and average linkage.
+
+A name is reduced to a bag of words and initials.  Names meet in a join on (block, key),
+with keys such that any two names ``word_score`` accepts share one.  Pairs are scored
+word by word, and average linkage groups each connected component, so that a spelling
+which fits two people does not make them one.
 """
 
 from __future__ import annotations
@@ -31,13 +29,8 @@ LABELS = (
 
 #: Entries of a list of short forms or places at most.
 MAX_LIST = 20_000
-#: Part of a vector's squared length that its heaviest trigrams must hold.
-KEPT_MASS = 0.85
-MIN_COSINE = 0.30
-#: Threshold against the directory, which is short, so that more pairs may be scored.
-MIN_COSINE_DIRECTORY = 0.15
-#: Added to every document frequency.
-SMOOTHING = 5
+#: Letters from which a word may have one edit, and two.
+ONE_EDIT, TWO_EDITS = 4, 6
 MIN_LINK = 0.45
 #: Years by which birth dates worked out from two records of a person may differ.
 AGE_SLACK = 2.0
@@ -112,44 +105,11 @@ def _bounded(rows: DataFrame) -> list:
     return got
 
 
-def vectors(nodes: DataFrame, kept_mass: float = KEPT_MASS, power: float = 2.0) -> DataFrame:
-    """``node, block, gram, w``: unit vectors over the heaviest trigrams of ``words``.
-
-    Document frequencies are counted over all nodes, and smoothed so that a trigram
-    made by one typing error does not outweigh the name.  ``nodes``: node, block, words."""
-    closed = F.transform("words", lambda w: F.concat(F.lit("^"), w, F.lit("$")))
-    grams = F.array_distinct(
-        F.flatten(
-            F.transform(closed, lambda w: F.transform(F.sequence(F.lit(1), F.greatest(F.length(w) - 2, F.lit(1))), lambda i: F.substring(w, i, F.lit(3))))
-        )
-    )
-    rows = nodes.where("size(words) > 0").select("node", "block", F.explode(grams).alias("gram"))
-    total = nodes.agg(F.count(F.lit(1)).alias("n")).scalar()
-    idf = rows.groupBy("gram").agg(F.pow(F.log(1 + total / (F.count(F.lit(1)) + SMOOTHING)), F.lit(power)).alias("w"))
-    weighted = (
-        rows.join(idf, "gram").groupBy("node", "block")
-        .agg(F.sort_array(F.collect_list(F.struct("w", "gram")), asc=False).alias("v"))
-    )
-    mass = lambda v: F.aggregate(v, F.lit(0.0), lambda acc, x: acc + x.w * x.w)
-    step = lambda acc, x: F.when(
-        acc.m < F.col("mass") * kept_mass, F.struct((acc.m + x.w * x.w).alias("m"), (acc.n + 1).alias("n"))
-    ).otherwise(acc)
-    counted = weighted.withColumn("mass", mass(F.col("v"))).withColumn(
-        "keep", F.aggregate("v", F.struct(F.lit(0.0).alias("m"), F.lit(0).alias("n")), step, lambda acc: acc.n)
-    )
-    kept = counted.select("node", "block", F.slice("v", F.lit(1), F.col("keep")).alias("v"))
-    return (
-        kept.withColumn("norm", F.sqrt(mass(F.col("v"))))
-        .select("node", "block", "norm", F.explode("v").alias("x"))
-        .select("node", "block", F.col("x.gram").alias("gram"), (F.col("x.w") / F.col("norm")).alias("w"))
-    )
-
-
 def _same_word(x: Column, y: Column) -> Column:
     """Edits between two words if they may be one, else null."""
     short = F.least(F.length(x), F.length(y))
     e = F.levenshtein(x, y)
-    return F.when(x == y, F.lit(0)).when((e <= F.when(short >= 6, 2).when(short >= 4, 1).otherwise(0)), e)
+    return F.when(x == y, F.lit(0)).when((e <= F.when(short >= TWO_EDITS, 2).when(short >= ONE_EDIT, 1).otherwise(0)), e)
 
 
 def _readings(words: Column) -> Column:
@@ -201,6 +161,55 @@ def word_score(a_words: Column, a_init: Column, b_words: Column, b_init: Column)
     return F.array_max(scores)
 
 
+def _marks(word: Column) -> Column:
+    """Numbers of which two words that ``_same_word`` accepts share one.
+
+    An edit touches two of a word's bigrams, so of the first 2e + 1 in any fixed order
+    one is left by e edits.  Repeated bigrams are counted up; short words stand whole."""
+    whole = F.concat(F.lit("^"), word, F.lit("$"))
+    pairs = F.transform(F.sequence(F.lit(1), F.length(word) + 1), lambda i: F.substring(whole, i, F.lit(2)))
+    counted = F.transform(pairs, lambda g, i: F.xxhash64(g, F.size(F.filter(F.slice(pairs, F.lit(1), i + 1), lambda x: x == g))))
+    n = F.when(F.length(word) >= TWO_EDITS, 5).otherwise(3)
+    return F.when(F.length(word) >= ONE_EDIT, F.slice(F.array_sort(counted), F.lit(1), n)).otherwise(F.array(F.xxhash64(word)))
+
+
+def _halves(word: Column) -> Column:
+    """Starts and ends of which two words one edit apart share one: the edit leaves half
+    of the shorter word before or behind it."""
+    n = F.length(word)
+    sizes = F.array((n / 2).cast("int"), ((n - 1) / 2).cast("int"))
+    return F.array_distinct(F.flatten(F.transform(sizes, lambda m: F.array(F.concat(F.lit("^"), F.left(word, m)), F.concat(F.right(word, m), F.lit("$"))))))
+
+
+def with_keys(names: DataFrame) -> DataFrame:
+    """Adds ``full_keys``, ``short_keys`` and ``one``: names that ``word_score`` accepts
+    share a full key, or a short key where one of them has a single word (``one``).
+
+    A full key is a word with a mark of the other, or halves of both; a short key is the
+    initial of a word with a mark of the other."""
+    hashed = lambda kind, word: lambda g: F.xxhash64(F.lit(kind), word, g)
+
+    def full(r: Column) -> Column:
+        halves = F.flatten(F.transform(_halves(r.p), lambda x: F.transform(_halves(r.q), lambda y: F.xxhash64(F.lit("h"), F.least(x, y), F.greatest(x, y)))))
+        both = F.when((F.length(r.p) >= ONE_EDIT) & (F.length(r.q) >= ONE_EDIT), halves).otherwise(F.array().cast("array<bigint>"))
+        return F.concat(F.transform(_marks(r.q), hashed("e", r.p)), F.transform(_marks(r.p), hashed("e", r.q)), both)
+
+    def short(r: Column) -> Column:
+        first = lambda w: F.substring(w, 1, 1)
+        return F.concat(F.transform(_marks(r.q), hashed("i", first(r.p))), F.transform(_marks(r.p), hashed("i", first(r.q))))
+
+    one = F.size("words") == 1
+    own = F.flatten(F.transform("initials", lambda i: F.transform(_marks(F.get("words", F.lit(0))), hashed("i", i))))
+    each = lambda f: F.array_distinct(F.flatten(F.transform(_readings(F.col("words")), f)))
+    return names.withColumns(
+        {
+            "one": one,
+            "full_keys": F.when(one, F.array().cast("array<bigint>")).otherwise(each(full)),
+            "short_keys": F.when(one, F.array_distinct(own)).otherwise(each(short)),
+        }
+    )
+
+
 def _linkage(rows: list[tuple[int, int, float]], min_link: float) -> list[tuple[int, int]]:
     """(node, cluster) by average linkage of one component's edges."""
     near: dict[int, dict[int, float]] = defaultdict(dict)
@@ -306,28 +315,35 @@ def people_nodes(mentions: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def linked_people(nodes: DataFrame) -> DataFrame:
-    """Scored pairs ``a, b, score`` of nodes of one tenant that may be one person."""
+    """Scored pairs ``a, b, score`` of nodes of one tenant that may be one person.
+
+    Names of two words do not meet each other by short keys: these are stored for names
+    of one word, and for full names without age, which only those ask for."""
     mid = (F.col("lo") + F.col("hi")) / 2
     slot = F.when(F.col("lo").isNull(), F.lit(-1)).otherwise(F.floor(mid / BLOCK_YEARS).cast("int"))
-    v = cut(vectors(nodes.withColumn("block", F.struct(F.xxhash64("tenant").alias("tenant"), slot.alias("slot")))))
-    # block and trigram travel as one number; tenants are compared again below
-    place = lambda slot: F.xxhash64(F.col("block.tenant"), slot, "gram")
-    undated = F.col("block.slot") == -1
-    stored = v.select(F.col("node").alias("b"), place(F.col("block.slot")).alias("at"), F.col("w").cast("float").alias("wb"), undated.alias("b_open"))
-    near = F.when(undated, F.array(F.lit(-1))).otherwise(
-        F.array(F.lit(-1), F.col("block.slot") - 1, F.col("block.slot"), F.col("block.slot") + 1)
+    keyed = cut(
+        with_keys(nodes).select("node", "tenant", slot.alias("slot"), "one", "full_keys", "short_keys").withColumn("open", F.col("slot") == -1)
     )
-    asked = v.select(F.col("node").alias("a"), F.col("w").cast("float").alias("wa"), undated.alias("a_open"), "block", "gram", F.explode(near).alias("slot")).select(
-        "a", "wa", "a_open", place(F.col("slot")).alias("at")
-    )
-    cosines = (
+    # tenant, slot and key travel as one number; tenants are compared again below
+    place = lambda kind: lambda k: F.xxhash64("tenant", "slot", F.lit(kind), k)
+    full, short = F.transform("full_keys", place("full")), F.transform("short_keys", place("to one"))
+    of_full = F.transform("short_keys", place("to full"))
+    stored = keyed.select(
+        F.col("node").alias("b"), F.col("open").alias("b_open"), F.col("one").alias("b_one"),
+        F.explode(F.when(F.col("one"), short).when(F.col("open"), F.concat(full, of_full)).otherwise(full)).alias("at"),
+    )
+    near = F.when(F.col("open"), F.array(F.lit(-1))).otherwise(F.array(F.lit(-1), F.col("slot") - 1, F.col("slot"), F.col("slot") + 1))
+    asked = keyed.withColumn("slot", F.explode(near)).select(
+        F.col("node").alias("a"), F.col("open").alias("a_open"), F.col("one").alias("a_one"),
+        F.explode(F.when(F.col("one"), F.concat(short, of_full)).otherwise(F.concat(full, short))).alias("at"),
+    )
+    met = (
         asked.join(stored, "at")
-        .where("a < b or (b_open and not a_open)")
-        .groupBy("a", "b").agg(F.sum(F.col("wa") * F.col("wb")).alias("cosine"))
-        .where(F.col("cosine") >= MIN_COSINE)
+        .where("a < b or (b_open and not a_open) or a_one <> b_one")
+        .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     )
     side = lambda s: nodes.select(*(F.col(c).alias(c if c == s else f"{s}_{c}") for c in ("tenant", "words", "initials", "lo", "hi", "sex")), F.col("node").alias(s))
-    pairs = cosines.join(side("a"), "a").join(side("b"), "b").where("a_tenant <=> b_tenant")
+    pairs = met.join(side("a"), "a").join(side("b"), "b").where("a_tenant <=> b_tenant")
     ages_fit = F.coalesce(
         (F.greatest("a_hi", "b_hi") - F.least("a_lo", "b_lo")) <= AGE_SLACK + F.greatest(F.col("a_hi") - F.col("a_lo"), F.col("b_hi") - F.col("b_lo")),
         F.lit(True),
@@ -388,17 +404,23 @@ def referrer_links(records: DataFrame, directory: DataFrame, aliases: DataFrame
     bags = spellings.groupBy("key").agg(F.first("words").alias("words"), F.first("initials").alias("initials")).withColumn(
         "node", F.xxhash64(F.lit("typed"), "key")
     )
-    every = bags.select("node", "words").unionByName(doctors.select("node", "words")).withColumn("block", F.lit(0))
-    v = vectors(every, kept_mass=0.95, power=1.0).drop("block")
-    a = v.join(bags.select("node"), "node", "left_semi").select(F.col("node").alias("a"), "gram", F.col("w").alias("wa"))
-    b = v.join(doctors.select("node"), "node", "left_semi").select(F.col("node").alias("b"), "gram", F.col("w").alias("wb"))
-    cosines = a.join(b, "gram").groupBy("a", "b").agg(F.sum(F.col("wa") * F.col("wb")).alias("cosine")).where(F.col("cosine") >= MIN_COSINE_DIRECTORY)
+    surname = F.regexp_extract(F.lower("full_name"), r"(\p{L}+)\s*$", 1)
+    kind = lambda name, keys: F.transform(keys, lambda k: F.xxhash64(F.lit(name), k))
+    asks_one, asks_full = kind("to one", F.col("short_keys")), kind("to full", F.col("short_keys"))
+    lone = F.when(F.size("initials") == 0, kind("surname", _marks(F.get("words", F.lit(0))))).otherwise(F.array().cast("array<bigint>"))
+    a = with_keys(bags).select(
+        F.col("node").alias("a"), F.explode(F.when(F.col("one"), F.concat(asks_one, asks_full, lone)).otherwise(F.concat("full_keys", asks_one))).alias("at")
+    )
+    b = with_keys(doctors).select(
+        F.col("node").alias("b"),
+        F.explode(F.concat(F.when(F.col("one"), asks_one).otherwise(F.concat("full_keys", asks_full)), kind("surname", _marks(surname)))).alias("at"),
+    )
+    met = a.join(b, "at").select("a", "b").distinct()
     left = bags.select(F.col("node").alias("a"), "key", F.col("words").alias("aw"), F.col("initials").alias("ai"))
     right = doctors.select(F.col("node").alias("b"), "referrer_id", "full_name", F.col("words").alias("bw"), F.col("initials").alias("bi"))
-    surname = F.regexp_extract(F.lower("full_name"), r"(\p{L}+)\s*$", 1)
     alone = F.when((F.size("aw") == 1) & (F.size("ai") == 0), 0.7 - 0.08 * _same_word(F.get("aw", F.lit(0)), surname))
     initials_fit = (F.size("aw") < 2) | (F.size("ai") == 0) | (F.size("bi") == 0) | F.arrays_overlap("ai", "bi")
-    scored = cosines.join(left, "a").join(right, "b").withColumn(
+    scored = met.join(left, "a").join(right, "b").withColumn(
         "score", F.coalesce(word_score(F.col("aw"), F.col("ai"), F.col("bw"), F.col("bi")), alone) - F.when(initials_fit, 0.0).otherwise(0.2)
     ).where("score is not null")
     best = scored.groupBy("key").agg(

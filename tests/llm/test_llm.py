@@ -187,6 +187,40 @@ def test_names(spark, table):
     assert not any(x in ("c1", "d1", "d2", "x1") for pair in got for x in pair)
 
 
+def name_nodes(spark, data):
+    """Nodes of (words, initials, lo, hi) in one tenant."""
+    schema = "node bigint, tenant string, sex string, words array<string>, initials array<string>, lo double, hi double"
+    return spark.createDataFrame([(n, "t", None, sorted(w), sorted(i), lo, hi) for n, (w, i, lo, hi) in enumerate(data)], schema)
+
+
+def name_pairs(nodes):
+    """Brute force: every pair of nodes that ``word_score`` accepts."""
+    a, b = (nodes.select(F.col("node").alias(s), F.col("words").alias(f"w{s}"), F.col("initials").alias(f"i{s}")) for s in "ab")
+    score = names.word_score(F.col("wa"), F.col("ia"), F.col("wb"), F.col("ib"))
+    return rows(a.crossJoin(b).where("a < b").select("a", "b", score.alias("score")).where("score is not null").select("a", "b"))
+
+
+@pytest.mark.parametrize("size", [60, 240])
+def test_names_reach_every_pair(spark, size):
+    rng = random.Random(size)
+    letters = lambda k: "".join(rng.choice("aeiknrst") for _ in range(k))
+
+    def typed(w, edits):
+        for _ in range(edits):
+            at, c = rng.randrange(len(w)), rng.choice("aeioxyz")
+            w = rng.choice([w[:at] + w[at + 1 :], w[:at] + c + w[at:], w[:at] + c + w[at + 1 :]])
+        return w
+
+    data = []
+    for _ in range(size):
+        p, q = letters(rng.randint(3, 9)), letters(rng.randint(4, 10))
+        at = lambda: rng.choice([(1980.0, 1981.0), (None, None)])
+        data += [([p, q], [], *at()), ([p, typed(q, 2)], [], *at()), ([typed(p, 1), typed(q, 1)], [], *at()), ([typed(q, 2)], [p[0]], *at()), ([p, q[:3], q[3:]], [], *at())]
+    nodes = name_nodes(spark, [(list(filter(lambda w: len(w) > 1, w)) or ["none"], i, lo, hi) for w, i, lo, hi in data])
+    want = name_pairs(nodes)
+    assert len(want) > size and rows(names.linked_people(nodes).select(F.least("a", "b"), F.greatest("a", "b"))) == want
+
+
 def test_names_edges(spark, table, nulls):
     none = names.linked_names(table("records").limit(0), table("referrers"), table("name_aliases"))
     assert none.count() == 0
