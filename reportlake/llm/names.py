@@ -34,7 +34,7 @@ ONE_EDIT, TWO_EDITS = 4, 6
 MIN_LINK = 0.45
 #: Years by which birth dates worked out from two records of a person may differ.
 AGE_SLACK = 2.0
-#: Years of a birth block; neighbours are searched too, so it must exceed the slack.
+#: Years of a birth block; a node stands in all that its births touch.
 BLOCK_YEARS = 4
 
 
@@ -289,14 +289,22 @@ def patient_mentions(records: DataFrame, aliases: DataFrame | None = None) -> Da
 
 def people_nodes(mentions: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(nodes, mention -> node): equal bags of one tenant, split where birth dates do
-    not fit.  Windows run over distinct (name, tenth of a year), which no number of
-    records of one patient makes larger."""
+    not fit: a node's births lie within ``AGE_SLACK`` of its first.  Lists of births hold
+    distinct tenths of a year, which no number of records makes longer."""
     seen = cut(mentions.groupBy("tenant", "key", "born").agg(F.min("sex").alias("sex"), F.first("words").alias("words"), F.first("initials").alias("initials")))
-    by_age = Window.partitionBy("tenant", "key").orderBy("born")
-    dated = seen.where("born is not null").withColumn(
-        "run", F.sum((F.col("born") - F.lag("born").over(by_age) > AGE_SLACK).cast("int")).over(by_age)
-    ).withColumn("run", F.coalesce("run", F.lit(0)))
-    dated = cut(dated)
+    named = seen.where("born is not null").groupBy("tenant", "key").agg(
+        F.first("words").alias("words"), F.first("initials").alias("initials"), F.sort_array(F.collect_list(F.struct("born", "sex"))).alias("births")
+    )
+    last = lambda starts: F.get(starts, F.size(starts) - 1)
+    starts = F.aggregate(
+        "births.born", F.array().cast("array<double>"),
+        lambda acc, b: F.when((F.size(acc) == 0) | (F.round(b - last(acc), 1) > AGE_SLACK), F.concat(acc, F.array(b))).otherwise(acc),
+    )
+    dated = named.withColumn("starts", starts).withColumn("x", F.explode("births")).select(
+        "tenant", "key", "words", "initials", F.col("x.born").alias("born"), F.col("x.sex").alias("sex"),
+        F.size(F.filter("starts", lambda s: s <= F.col("x.born"))).alias("run"),
+    )
+    dated = cut(dated.withColumn("run", F.col("run") - 1))
     people = dated.groupBy("tenant", "key", "run").agg(
         F.min("sex").alias("sex"), F.first("words").alias("words"), F.first("initials").alias("initials"),
         F.min("born").alias("lo"), F.max("born").alias("hi"),
@@ -319,29 +327,25 @@ def linked_people(nodes: DataFrame) -> DataFrame:
 
     Names of two words do not meet each other by short keys: these are stored for names
     of one word, and for full names without age, which only those ask for."""
-    mid = (F.col("lo") + F.col("hi")) / 2
-    slot = F.when(F.col("lo").isNull(), F.lit(-1)).otherwise(F.floor(mid / BLOCK_YEARS).cast("int"))
-    keyed = cut(
-        with_keys(nodes).select("node", "tenant", slot.alias("slot"), "one", "full_keys", "short_keys").withColumn("open", F.col("slot") == -1)
-    )
+    keyed = cut(with_keys(nodes).select("node", "tenant", "lo", "hi", "one", "full_keys", "short_keys", F.col("lo").isNull().alias("open")))
+    # births of nodes that fit lie within the slack of each other; of two full names the
+    # earlier one asks for the later
+    place_of = lambda year: F.floor(year / BLOCK_YEARS).cast("int")
+    slots = lambda slack: F.sequence(place_of(F.col("lo") - slack), place_of(F.col("hi") + slack))
+    here = F.when(F.col("open"), F.array(F.lit(-1))).otherwise(slots(0.0))
+    near = F.when(F.col("open"), F.array(F.lit(-1))).otherwise(F.concat(F.array(F.lit(-1)), slots(AGE_SLACK)))
     # tenant, slot and key travel as one number; tenants are compared again below
     place = lambda kind: lambda k: F.xxhash64("tenant", "slot", F.lit(kind), k)
     full, short = F.transform("full_keys", place("full")), F.transform("short_keys", place("to one"))
     of_full = F.transform("short_keys", place("to full"))
-    stored = keyed.select(
-        F.col("node").alias("b"), F.col("open").alias("b_open"), F.col("one").alias("b_one"),
-        F.explode(F.when(F.col("one"), short).when(F.col("open"), F.concat(full, of_full)).otherwise(full)).alias("at"),
-    )
-    near = F.when(F.col("open"), F.array(F.lit(-1))).otherwise(F.array(F.lit(-1), F.col("slot") - 1, F.col("slot"), F.col("slot") + 1))
+    stored = keyed.withColumn("slot", F.explode(here)).select(
+        F.col("node").alias("b"), F.explode(F.when(F.col("one"), short).when(F.col("open"), F.concat(full, of_full)).otherwise(full)).alias("at")
+    )
+    before = (F.col("slot") >= 0) & (F.col("slot") < place_of(F.col("lo")))
     asked = keyed.withColumn("slot", F.explode(near)).select(
-        F.col("node").alias("a"), F.col("open").alias("a_open"), F.col("one").alias("a_one"),
-        F.explode(F.when(F.col("one"), F.concat(short, of_full)).otherwise(F.concat(full, short))).alias("at"),
-    )
-    met = (
-        asked.join(stored, "at")
-        .where("a < b or (b_open and not a_open) or a_one <> b_one")
-        .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        F.col("node").alias("a"), F.explode(F.when(F.col("one"), F.concat(short, of_full)).when(before, short).otherwise(F.concat(full, short))).alias("at")
     )
+    met = asked.join(stored, "at").where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     side = lambda s: nodes.select(*(F.col(c).alias(c if c == s else f"{s}_{c}") for c in ("tenant", "words", "initials", "lo", "hi", "sex")), F.col("node").alias(s))
     pairs = met.join(side("a"), "a").join(side("b"), "b").where("a_tenant <=> b_tenant")
     ages_fit = F.coalesce(

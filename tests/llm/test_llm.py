@@ -221,6 +221,18 @@ def test_names_reach_every_pair(spark, size):
     assert len(want) > size and rows(names.linked_people(nodes).select(F.least("a", "b"), F.greatest("a", "b"))) == want
 
 
+def test_names_of_many_ages(spark, table):
+    schema = table("records").schema
+    rec = lambda i, p, born: {f.name: None for f in schema.fields} | {"id": i, "tenant": "t", "patient": p, "age_sex": f"{2020 - born} / F", "created": "2020-01-01T00:00:00"}
+    hot = [rec(f"y{y}", "Kushamila Devirastogi", y) for y in range(1930, 2011)]
+    recs = spark.createDataFrame([*hot, rec("v", "Kushamila Devirastgoi", 1934), rec("w", "Kushamila Devirastgoi", 2006)], schema)
+    nodes, _ = names.people_nodes(names.patient_mentions(recs))
+    assert nodes.where(F.col("hi") - F.col("lo") > names.AGE_SLACK).count() == 0
+    got = set(rows(names.patient_pairs(recs)))
+    # the runs on both sides fit too; linkage takes one of them
+    assert {a for a, _ in got} == {"v", "w"} and all(abs(int(b[1:]) - {"v": 1934, "w": 2006}[a]) <= 2 * names.AGE_SLACK for a, b in got)
+
+
 def test_names_edges(spark, table, nulls):
     none = names.linked_names(table("records").limit(0), table("referrers"), table("name_aliases"))
     assert none.count() == 0
