@@ -74,37 +74,38 @@ def _walk(doc_id: str, text: str, out: list[tuple]) -> None:
     if not isinstance(root, list):
         return
     known = _identities(root)
-    stack = [(root, ())]
+    out.append((doc_id, "finding", "", 0, "root", None, *_identity(root, known)))
+    stack = [(root, (), "")]
     while stack:
-        value, path = stack.pop()
+        value, path, inner = stack.pop()
         here = known[id(value)][0]
         below = []
         if isinstance(value, _Pairs):
+            rows = []
             for n, (key, sub) in enumerate(value):
                 at = (*path, key)
                 if isinstance(sub, str):
-                    rows = [(at, 0, "element", sub)]
+                    rows.append((at, 0, "element", sub))
                 elif isinstance(sub, list):
-                    rows = [(at, n, "object" if isinstance(sub, _Pairs) else "array", sub)]
-                    below.append((sub, at))
+                    rows.append((at, n, "object" if isinstance(sub, _Pairs) else "array", sub))
+                    below.append((sub, at, inner))
                 else:
-                    continue
-                out += [(doc_id, "finding", " > ".join(p), i, kind, here, *_identity(v, known)) for p, i, kind, v in rows]
+                    rows.append((at, n, "member", sub))
         else:
-            out += [
-                (doc_id, "finding", " > ".join(path), n, "element", here, *_identity(v, known))
-                for n, v in enumerate(value)
-                if v is not None
-            ]
+            rows = [(path, n, "null" if v is None else "element", v) for n, v in enumerate(value)]
+            below = [(v, (*path, f"[{n}]"), "inner ") for n, v in enumerate(value) if isinstance(v, list)]
+        out += [(doc_id, "finding", " > ".join(p), i, inner + kind, here, *_identity(v, known)) for p, i, kind, v in rows]
         stack += reversed(below)
 
 
 def json_occurrences(reports: DataFrame, id_col: str = "report_id", json_col: str = "findings_tree") -> DataFrame:
-    """Bridge rows of a JSON column (see ``OCCURRENCES``), one per object, array and
-    array element; a text in place of an array is an element at 0.
+    """Bridge rows of a JSON column (see ``OCCURRENCES``), one per value; a text in place
+    of an array is an element at 0.
 
-    Null, empty and broken JSON give no rows.  Null elements give no row but keep
-    their ordinal.  Rows without id are left out, as nothing could lead back to them."""
+    ``kind`` is ``root``, ``object``, ``array``, ``element``, ``null`` (in an array) or
+    ``member`` (number, boolean or null of an object); what lies within an array element
+    has ``inner`` before it and the element's ordinal in the path.  Null, empty and broken
+    JSON give no rows.  Rows without id are left out, as nothing could lead back to them."""
 
     def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         names = [x.split()[0] for x in OCCURRENCES.split(", ")]

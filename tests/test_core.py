@@ -71,6 +71,32 @@ def test_nested_against_recursion(spark, table):
     assert len({r.node_hash for r in store_}) == len(store_) and all(r.uses % 2 == 0 for r in store_)
 
 
+def test_nested_documents_rebuilt(spark):
+    tree = {"A": {"B": ["x", None, {"text": "y", "negated": False, "sizes": [{"v": 1.5, "u": "mm"}, [[]]]}], "C": "z", "D": {}, "E": None}, "F": [], "G": 3}
+    docs = {"r0": tree, "r1": [1, {"a": [None, {"b": True}]}], "r2": {}}
+    df = spark.createDataFrame([(i, json.dumps(t)) for i, t in docs.items()], "report_id string, findings_tree string")
+    bridge = nested.json_occurrences(df)
+    store_ = {r.node_hash: r.node for r in nested.subtree_store(bridge).collect()}
+
+    def build(h):
+        body = store_[h]
+        if body[0] == "[":
+            return [build(x) for x in body[1:-1].split(",") if x]
+        if body[0] != "{":
+            return json.loads(body)
+        out, at = {}, 1
+        while at < len(body) - 1:
+            name, at = json.JSONDecoder().raw_decode(body, at)
+            out[name], at = build(body[at + 1 : at + 1 + nested.HASH_HEX]), at + 2 + nested.HASH_HEX
+        return out
+
+    got = bridge.collect()
+    assert {r.parent_id: build(r.node_hash) for r in got if r.kind == "root"} == docs
+    places = {(r.path, r.pos): build(r.node_hash) for r in got if r.parent_id == "r0"}
+    assert places["A > B > [2] > negated", 1] is False and places["A > B > [2] > sizes > [0] > v", 0] == 1.5
+    assert {r.path for r in nested.child_rows(bridge.where("parent_id = 'r0'")).collect()} == {"A > B", "A > C"}
+
+
 def test_nested_arrays_keep_ordinals(spark, table, nulls):
     schema = table("records").schema
     step = {"when_": "t", "what": "w", "user_": None}
