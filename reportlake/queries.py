@@ -237,7 +237,7 @@ def unique_filenames(spark, sf_dir):
 
 def routed_reports(spark, sf_dir):
     r = store.latest(read(spark, sf_dir, "records"))
-    return intake.route(r, read(spark, sf_dir, "referrers"), "id", "report_text")
+    return intake.routed(r, read(spark, sf_dir, "referrers"), "id", "report_text")
 
 
 def event_windows(spark, sf_dir):

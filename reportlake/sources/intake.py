@@ -88,18 +88,31 @@ def unique_names(rows: DataFrame, name: str, order: str) -> DataFrame:
     return rows.withColumn("__safe", safe).withColumn("filename", F.when(n == 1, F.col("__safe")).otherwise(F.concat("__safe", F.lit("_"), n.cast("string")))).drop("__safe")
 
 
-def route(reports: DataFrame, doctors: DataFrame, key: str, text: str) -> DataFrame:
-    """``key, doctor``: the one doctor whose name stands in the last 400 characters.
+def routed(reports: DataFrame, doctors: DataFrame, key: str, text: str) -> DataFrame:
+    """``key, doctor, how``: the one doctor whose name stands in the last 400 characters
+    (``signature``), or, where no name stands there, in the whole text (``mention``).
 
-    Names are looked up by their words: each two neighbouring words of the tail meet the
+    Names are looked up by their words: each two neighbouring words of the text meet the
     directory in an equality join, so no report is held against every name.  Several
-    different doctors, or none, give null."""
-    tail = F.lower(F.right(F.coalesce(text, F.lit("")), F.lit(400)))
-    split = reports.select(key, F.regexp_extract_all(tail, F.lit(r"([\p{L}]+)"), 1).alias("w"))
-    pairs = F.zip_with(F.slice("w", F.lit(1), F.greatest(F.size("w") - 1, F.lit(0))), F.slice("w", F.lit(2), F.size("w")), lambda a, b: F.concat_ws(" ", a, b))
-    asked = split.select(key, F.explode_outer(F.array_distinct(pairs)).alias("pair"))
+    different doctors (``ambiguous``), or none (``none``), give null."""
+    whole = F.lower(F.coalesce(text, F.lit("")))
+
+    def pairs(part: Column, signed: bool) -> Column:
+        w = F.regexp_extract_all(part, F.lit(r"([\p{L}]+)"), 1)
+        both = F.zip_with(F.slice(w, F.lit(1), F.greatest(F.size(w) - 1, F.lit(0))), F.slice(w, F.lit(2), F.size(w)), lambda a, b: F.concat_ws(" ", a, b))
+        return F.transform(F.array_distinct(both), lambda p: F.struct(p.alias("pair"), F.lit(signed).alias("signed")))
+
+    asked = reports.select(key, F.explode_outer(F.concat(pairs(F.right(whole, F.lit(400)), True), pairs(whole, False))).alias("p")).select(key, "p.*")
     named = F.regexp_extract_all(F.lower("full_name"), F.lit(r"([\p{L}]{2,})"), 1)
     known = doctors.select("full_name", F.array_join(F.slice(F.filter(named, lambda x: x != "dr"), 1, 2), " ").alias("pair")).distinct()
-    return asked.join(known, "pair", "left").groupBy(key).agg(
-        F.when(F.countDistinct("full_name") == 1, F.max("full_name")).alias("doctor")
+    found = asked.join(known, "pair", "left").groupBy(key).agg(
+        F.collect_set(F.when(F.col("signed"), F.col("full_name"))).alias("signed"), F.collect_set("full_name").alias("named")
     )
+    pool = F.when(F.size("signed") > 0, F.col("signed")).otherwise(F.col("named"))
+    how = F.when(F.size(pool) == 0, "none").when(F.size(pool) > 1, "ambiguous").when(F.size("signed") > 0, "signature").otherwise("mention")
+    return found.select(key, F.when(F.size(pool) == 1, F.get(pool, F.lit(0))).alias("doctor"), how.alias("how"))
+
+
+def route(reports: DataFrame, doctors: DataFrame, key: str, text: str) -> DataFrame:
+    """``key, doctor`` of ``routed``."""
+    return routed(reports, doctors, key, text).select(key, "doctor")

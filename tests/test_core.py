@@ -187,6 +187,15 @@ def test_routing(spark):
     assert rows(intake.route(reps, docs, "id", "t")) == [("1", "Dr. Meena K. Rao"), ("2", None), ("3", None), ("4", None)]
 
 
+def test_routing_by_mention(spark):
+    docs = spark.createDataFrame([("Dr. A Shah",), ("Dr. Meena K. Rao",), ("Dr. Anil Sen",)], "full_name string")
+    far = " x" * 300
+    reps = spark.createDataFrame(
+        [("1", "seen by Meena Rao" + far), ("2", "seen by Anil Sen" + far + " Meena Rao"), ("3", "Anil Sen, Meena Rao" + far), ("4", far)], "id string, t string"
+    )
+    assert rows(intake.routed(reps, docs, "id", "t")) == [("1", "Dr. Meena K. Rao", "mention"), ("2", "Dr. Meena K. Rao", "signature"), ("3", None, "ambiguous"), ("4", None, "none")]
+
+
 def test_measurements(spark):
     from reportlake.operators import documents
 
