@@ -1,18 +1,27 @@
-"""Variant spellings of names linked by shared n-grams and average linkage.
+"""Variant spellings of names linked by n-gram cosines and average linkage.
 
-A name is reduced to a bag of words and initials.  Names meet in a join on (block, key),
-with keys such that any two names ``word_score`` accepts share one.  Pairs are scored
-word by word, and average linkage groups each connected component, so that a spelling
-which fits two people does not make them one.
+A name is reduced to a bag of words and initials, and the bag to a sparse vector of
+character bigrams weighted by their rarity.  The similarity join runs over an inverted
+index of prefix features: parts of the vectors (bigrams of one word next to the other
+word) chosen so that any two names which may be one entity share one.  Pairs get their
+cosine, those below the threshold fall out, an exact comparison word by word follows, and
+average linkage over the remaining strengths groups each connected component.
+
+Lists of partners are not cut at a fixed n: all partners above the threshold stay, since
+a cut would lose links.
 """
 
 from __future__ import annotations
 
 import heapq
-from collections import defaultdict
+import math
+import re
+from collections import Counter, defaultdict
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pandas as pd
+import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -20,10 +29,10 @@ from reportlake.operators.graph import components
 from reportlake.session import cut
 
 # Words around a name that are not part of it.
-TITLES = "mr mrs ms miss master mister missus shri smt sri dr prof doctor professor kumari baby".split()
-PLACEHOLDERS = "unknown unnamed anonymous test self opd casualty none nil na".split()
+TITLES = frozenset("mr mrs ms miss master mister missus shri smt sri dr prof doctor professor kumari baby".split())
+PLACEHOLDERS = frozenset("unknown unnamed anonymous test self opd casualty none nil na".split())
 LABELS = (
-    r"mrn|uhid|reg|ip no|op no|opd no|ip|op|opd|hosp|hospital|identity|national|passport|health id|insurance|resident|id proof|"
+    r"mrn|uhid|reg|ip no|op|opd no|ip|opd|hosp|hospital|identity|national|passport|health id|insurance|resident|id proof|"
     r"file|ph|tel|mob|mobile|contact|phone"
 )
 
@@ -31,69 +40,21 @@ LABELS = (
 MAX_LIST = 20_000
 #: Letters from which a word may have one edit, and two.
 ONE_EDIT, TWO_EDITS = 4, 6
-MIN_LINK = 0.45
+#: Cosine below which two names are no candidates, and strength that average linkage needs.
+MIN_COSINE = 0.35
+MIN_LINK = 0.40
+#: Bigrams in less than this part of all names weigh alike, so at most (bigrams of a
+#: name) / RARE_SHARE of them have a weight of their own.
+RARE_SHARE = 0.002
 #: Years by which birth dates worked out from two records of a person may differ.
 AGE_SLACK = 2.0
-#: Years of a birth block; a node stands in all that its births touch.
+#: Years of a birth block: two nodes that fit begin within it of each other.
 BLOCK_YEARS = 4
+#: Links of a component that one task groups in memory; larger ones are grouped by Spark.
+MAX_LOCAL_LINKS = 200_000
 
 
-def name_part(text: Column) -> Column:
-    """Lower-case name without numbers, labels, relatives and brackets behind it."""
-    low = F.regexp_replace(F.lower(text), r"(?U)\s+", " ")
-    cut_off = rf"(?U)(?:\s(?:{LABELS})\b[\s.:#-].*|\s[wsdc]/o\b.*|\s*[(/+\d].*)$"
-    return F.regexp_replace(low, cut_off, "")
-
-
-def words_of(name: Column, drop: list[str] | None = None) -> Column:
-    """Words and initials of a name, marks inside a word closed up, titles dropped."""
-    plain = F.regexp_replace(F.regexp_replace(name, r"(?<=\p{L})[-'’](?=\p{L})", ""), r"[^\p{L}]+", " ")
-    out = F.filter(F.split(F.trim(plain), " "), lambda w: (w != "") & ~w.isin(TITLES))
-    return F.filter(out, lambda w: ~w.isin(drop)) if drop else out
-
-
-def _bag(df: DataFrame, words: Column) -> DataFrame:
-    """Adds ``words`` (two letters or more), ``initials`` and their joint ``key``."""
-    return (
-        df.withColumn("__w", words)
-        .withColumns(
-            {
-                "words": F.array_sort(F.filter("__w", lambda w: F.length(w) > 1)),
-                "initials": F.array_sort(F.filter("__w", lambda w: F.length(w) == 1)),
-            }
-        )
-        .drop("__w")
-        .withColumn("key", F.concat_ws(" ", F.array_join("words", " "), F.array_join("initials", " ")))
-    )
-
-
-def with_given_names(df: DataFrame, aliases: DataFrame | None) -> DataFrame:
-    """Short forms among ``words`` replaced by the given name they stand for.
-
-    One that stands for several names becomes the initial they share."""
-    if aliases is None:
-        return df
-    rows = (
-        aliases.where("given_name is not null and short_name is not null")
-        .groupBy(F.lower(F.trim("short_name")).alias("short"))
-        .agg(F.min(F.lower(F.trim("given_name"))).alias("given"), F.countDistinct(F.lower(F.trim("given_name"))).alias("n"))
-    )
-    listed = _bounded(rows)
-    clear = [x for r in listed if r.n == 1 for x in (r.short, r.given)]
-    vague = [x for r in listed if r.n > 1 for x in (r.short, r.given[:1])]
-    if clear:
-        table = F.create_map(*map(F.lit, clear))
-        df = df.withColumn("words", F.array_sort(F.transform("words", lambda w: F.coalesce(F.try_element_at(table, w), w))))
-    if vague:
-        firsts = F.create_map(*map(F.lit, vague))
-        found = F.filter(F.transform("words", lambda w: F.try_element_at(firsts, w)), lambda x: x.isNotNull())
-        df = df.withColumns(
-            {
-                "initials": F.array_sort(F.concat("initials", found)),
-                "words": F.filter("words", lambda w: F.try_element_at(firsts, w).isNull()),
-            }
-        )
-    return df.withColumn("key", F.concat_ws(" ", F.array_join("words", " "), F.array_join("initials", " ")))
+# names as bags of words
 
 
 def _bounded(rows: DataFrame) -> list:
@@ -105,126 +66,363 @@ def _bounded(rows: DataFrame) -> list:
     return got
 
 
-def _same_word(x: Column, y: Column) -> Column:
-    """Edits between two words if they may be one, else null."""
-    short = F.least(F.length(x), F.length(y))
-    e = F.levenshtein(x, y)
-    return F.when(x == y, F.lit(0)).when((e <= F.when(short >= TWO_EDITS, 2).when(short >= ONE_EDIT, 1).otherwise(0)), e)
-
-
-def _readings(words: Column) -> Column:
-    """The ways to read a bag of words as two: three words may be two with one split."""
-    w = lambda i: F.get(words, F.lit(i))
-    pair = lambda a, b: F.struct(a.alias("p"), b.alias("q"))
-    none = F.lit(None).cast("string")
-    orders = [(0, 1, 2), (0, 2, 1), (1, 0, 2), (1, 2, 0), (2, 0, 1), (2, 1, 0)]
-    return (
-        F.when(F.size(words) == 1, F.array(pair(w(0), none)))
-        .when(F.size(words) == 2, F.array(pair(w(0), w(1))))
-        .when(F.size(words) == 3, F.array(*(pair(w(a), F.concat(w(b), w(c))) for a, b, c in orders)))
-        .otherwise(F.array(pair(w(0), F.array_join(F.slice(words, 2, 99), ""))))
+def short_forms(aliases: DataFrame | None) -> dict[str, tuple[str, ...]]:
+    """Short form -> given names it stands for."""
+    if aliases is None:
+        return {}
+    pairs = aliases.where("given_name is not null and short_name is not null").select(
+        F.lower(F.trim("short_name")).alias("short"), F.lower(F.trim("given_name")).alias("given")
     )
+    out: dict[str, set[str]] = defaultdict(set)
+    for r in _bounded(pairs.distinct()):
+        out[r.short].add(r.given)
+    return {s: tuple(sorted(g)) for s, g in out.items()}
+
+
+_CUT_OFF = re.compile(rf"(?:\s(?:{LABELS})\b[\s.:#-].*|\s[wsdc]/o\b.*|\s*[(/+\d].*)$", re.S)
+_INNER_MARK = re.compile(r"(?<=[^\W\d_])[-'’](?=[^\W\d_])")
+_LETTERS = re.compile(r"[^\W\d_]+")
+
+
+def bag_of(name: str, short: dict[str, tuple[str, ...]], drop: frozenset = frozenset()) -> tuple[list[str], list[str]]:
+    """(words, initials) of a typed name, both sorted.
+
+    Numbers, labels, relatives and brackets behind the name are cut off, titles dropped,
+    short forms replaced by the given name; one that stands for several names becomes
+    the initial they share."""
+    plain = _CUT_OFF.sub("", " ".join(name.lower().split()), count=1)
+    found = [w for w in _LETTERS.findall(_INNER_MARK.sub("", plain)) if w not in TITLES and w not in drop]
+    words, initials = [], []
+    for w in found:
+        given = short.get(w, (w,))
+        if len(w) == 1 or len(given) > 1:
+            initials.append(given[0][:1])
+        else:
+            words.append(given[0])
+    return sorted(words), sorted(initials)
+
+
+def with_bags(rows: DataFrame, name: str, short: dict, drop: frozenset = frozenset()) -> DataFrame:
+    """Adds ``words``, ``initials`` and their joint ``key``; rows without words, and
+    those that hold a placeholder, are left out."""
+    kept = list(rows.columns)
+    known = rows.sparkSession.sparkContext.broadcast((short, drop))
+
+    def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        read = lru_cache(50_000)(lambda t: bag_of(t, *known.value))
+        for b in batches:
+            bags = [read(t) for t in b[name]]
+            ok = [bool(w) and PLACEHOLDERS.isdisjoint(w) for w, _ in bags]
+            out = b[ok].copy()
+            bags = [x for x, good in zip(bags, ok, strict=True) if good]
+            out["words"], out["initials"] = [w for w, _ in bags], [i for _, i in bags]
+            out["key"] = [" ".join([*w, *i]) for w, i in bags]
+            yield out
+
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields)
+    return rows.select(*kept).mapInPandas(parse, f"{schema}, words array<string>, initials array<string>, key string")
+
+
+# the vectors and their index
+
+
+def _bigrams(word: str) -> list[str]:
+    whole = f"^{word}$"
+    return [whole[i : i + 2] for i in range(len(word) + 1)]
+
+
+def bigram_weights(nodes: DataFrame, share: float = RARE_SHARE) -> tuple[dict[str, float], float]:
+    """(weight of each bigram that stands in at least ``share`` of all names, weight of
+    all others): the log of how rare it is, counted over all names."""
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            seen: Counter = Counter()
+            for words, initials in zip(b["words"], b["initials"], strict=True):
+                seen.update({g for w in words for g in _bigrams(w)} | {f"^{i}" for i in initials})
+            yield pd.DataFrame({"g": list(seen), "n": list(seen.values())})
+
+    total = nodes.count()
+    counted = nodes.select("words", "initials").mapInPandas(count, "g string, n bigint").groupBy("g").agg(F.sum("n").alias("n"))
+    common = counted.where(F.col("n") >= max(2.0, share * total)).collect()
+    return {r.g: math.log(1 + total / r.n) for r in common}, math.log(1 + min(total, 1 / share))
+
+
+def _readings(words: list[str]) -> list[tuple[str, str | None]]:
+    """The ways to read a bag as two words: three words may be two with one split."""
+    if len(words) == 1:
+        return [(words[0], None)]
+    if len(words) == 3:
+        orders = ((0, 1, 2), (0, 2, 1), (1, 0, 2), (1, 2, 0), (2, 0, 1), (2, 1, 0))
+        return [(words[a], words[b] + words[c]) for a, b, c in orders]
+    return [(words[0], "".join(words[1:]))]
+
+
+class Vectors:
+    """Weighted bigram vectors of bags, their cosines, prefix features and comparison."""
+
+    def __init__(self, weights: dict[str, float], rare: float) -> None:
+        self.weights, self.rare = weights, rare
+        self.marks = lru_cache(100_000)(self._marks)
+        self.halves = lru_cache(100_000)(self._halves)
+        self.edits = lru_cache(500_000)(same_word)
+
+    def vector(self, words: list[str], initials: list[str]) -> tuple[dict[str, float], float]:
+        v: dict[str, float] = {}
+        for g in [g for w in words for g in _bigrams(w)] + [f"^{i}" for i in initials]:
+            v[g] = v.get(g, 0.0) + self.weights.get(g, self.rare)
+        return v, math.sqrt(sum(x * x for x in v.values()))
+
+    @staticmethod
+    def cosine(a: tuple[dict[str, float], float], b: tuple[dict[str, float], float]) -> float:
+        (va, na), (vb, nb) = a, b
+        if len(va) > len(vb):
+            va, vb = vb, va
+        return sum(x * vb[g] for g, x in va.items() if g in vb) / (na * nb) if na and nb else 0.0
+
+    def _marks(self, word: str) -> list[str]:
+        """The rarest bigrams of a word, one of which any word within its edits has too:
+        an edit touches two bigrams, so of 2e + 1 in a fixed order one is left."""
+        if len(word) < ONE_EDIT:
+            return [word]
+        seen: Counter = Counter()
+        counted = []
+        for g in _bigrams(word):
+            seen[g] += 1
+            counted.append((-self.weights.get(g, self.rare), f"{g}{seen[g]}"))
+        return [g for _, g in sorted(counted)[: 5 if len(word) >= TWO_EDITS else 3]]
+
+    @staticmethod
+    def _halves(word: str) -> list[str]:
+        """Starts and ends of which two words one edit apart share one."""
+        n = len(word)
+        return sorted({x for m in (n // 2, (n - 1) // 2) for x in (f"^{word[:m]}", f"{word[n - m:]}$")})
+
+    def features(self, words: list[str], initials: list[str]) -> tuple[list[int], list[int], bool]:
+        """(full, short, one): names that ``strength`` accepts share a full feature, or a
+        short one where one of them has a single word (``one``).  A full feature is a
+        word with a mark of the other, or halves of both; a short one the initial of a
+        word with a mark of the other."""
+        full, short = set(), set()
+        if len(words) == 1:
+            short = {f"i {i} {m}" for i in initials for m in self.marks(words[0])}
+        else:
+            for p, q in _readings(words):
+                short.update(f"i {a[0]} {m}" for a, b in ((p, q), (q, p)) for m in self.marks(b))
+                full.update(f"e {a} {m}" for a, b in ((p, q), (q, p)) for m in self.marks(b))
+                if min(len(p), len(q)) >= ONE_EDIT:
+                    full.update(f"h {min(x, y)} {max(x, y)}" for x in self.halves(p) for y in self.halves(q))
+        return [_hash(x) for x in sorted(full)], [_hash(x) for x in sorted(short)], len(words) == 1
+
+    def agreement(self, a: tuple[list[str], list[str]], b: tuple[list[str], list[str]]) -> float | None:
+        """1 for equal names, less for each edit or abbreviation, None for different ones.
+
+        Both words must be found in the other name (as such, with few edits, or as an
+        initial); a name of one word without initial fits nothing here."""
+        best = None
+        for p, q in _readings(a[0]):
+            for r, s in _readings(b[0]):
+                if q and s:
+                    got = max(filter(None, (self._two(p, r, q, s), self._two(p, s, q, r))), default=None)
+                elif q or s:
+                    long, one, init = ((p, q), r, b[1]) if q else ((r, s), p, a[1])
+                    got = max(filter(None, (self._short(long[0], long[1], one, init), self._short(long[1], long[0], one, init))), default=None)
+                else:
+                    e = self.edits(p, r)
+                    got = 0.8 - 0.08 * e if e is not None and not set(a[1]).isdisjoint(b[1]) else None
+                if got is not None and (best is None or got > best):
+                    best = got
+        return best
+
+    def _two(self, p: str, r: str, q: str, s: str) -> float | None:
+        e = self.edits(p, r)
+        if e is None:
+            return None
+        f = self.edits(q, s)
+        if f is None or (min(e, f) > 0 and max(e, f) > 1):
+            return None
+        return 1.0 - 0.08 * (e + f)
+
+    def _short(self, word: str, other: str, one: str, initials: list[str]) -> float | None:
+        if other[0] not in initials:
+            return None
+        e = self.edits(word, one)
+        return None if e is None else 0.85 - 0.08 * e
+
+
+def same_word(x: str, y: str) -> int | None:
+    """Edits between two words if they may be one, else None."""
+    if x == y:
+        return 0
+    if len(x) > len(y):
+        x, y = y, x
+    most = 2 if len(x) >= TWO_EDITS else 1 if len(x) >= ONE_EDIT else 0
+    if len(y) - len(x) > most:
+        return None
+    i, n = 0, len(x)
+    while i < n and x[i] == y[i]:
+        i += 1
+    j = 0
+    while j < n - i and x[-1 - j] == y[-1 - j]:
+        j += 1
+    x, y = x[i : n - j], y[i : len(y) - j]
+    if len(y) <= 1:
+        return len(y) if len(y) <= most else None
+    if most < 2:
+        return None
+    row = list(range(len(x) + 1))
+    for k, c in enumerate(y, 1):
+        last, row[0] = row[0], k
+        for m, d in enumerate(x, 1):
+            last, row[m] = row[m], min(last + (c != d), row[m] + 1, row[m - 1] + 1)
+        if min(row) > most:
+            return None
+    return row[-1] if row[-1] <= most else None
+
+
+def _hash(text: str) -> int:
+    h = xxhash.xxh64_intdigest(text.encode("utf-8", "surrogatepass"))
+    return h - (1 << 64) if h >= 1 << 63 else h
+
+
+def with_features(nodes: DataFrame, weights) -> DataFrame:
+    """``node, space, lo, hi, one, full, short`` (see ``Vectors.features``)."""
+
+    def make(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        vectors = Vectors(*weights.value)
+        for b in batches:
+            got = [vectors.features(list(w), list(i)) for w, i in zip(b["words"], b["initials"], strict=True)]
+            out = b[["node", "space", "lo", "hi"]].copy()
+            out["one"], out["full"], out["short"] = [g[2] for g in got], [g[0] for g in got], [g[1] for g in got]
+            yield out
+
+    src = nodes.select("node", "space", "lo", "hi", "words", "initials")
+    return src.mapInPandas(make, "node bigint, space string, lo double, hi double, one boolean, full array<bigint>, short array<bigint>")
+
+
+def _sided(nodes: DataFrame, side: str) -> DataFrame:
+    return nodes.select(F.col("node").alias(side), *(F.col(c).alias(f"{side}_{c}") for c in nodes.columns if c != "node"))
+
+
+def candidates(nodes: DataFrame, weights) -> DataFrame:
+    """``a, b``: nodes of one space that share an index feature and whose births may fit.
+
+    Two nodes that fit begin within ``BLOCK_YEARS`` of each other (their runs and the
+    slack are two years each), so the earlier one asks its own block and the next.  Nodes
+    without birth meet all of their space.  Names of two words do not meet each other by
+    short features: these are stored for names of one word, and for full names without
+    birth, which only those ask for."""
+    keyed = cut(with_features(nodes, weights))
+    open_ = F.col("lo").isNull()
+    slot = F.floor(F.col("lo") / BLOCK_YEARS).cast("int")
+    # space, block and feature travel as one number; spaces are compared again with the pair
+    at = lambda features, kind: F.transform(features, lambda k: F.xxhash64("space", "slot", F.lit(kind), k))
+    nothing = F.array().cast("array<bigint>")
+    full, to_one, to_full = at("full", "full"), at("short", "one"), at("short", "two")
+    placed = keyed.withColumn("slot", F.coalesce(slot, F.lit(-1)))
+    stored = placed.select(F.col("node").alias("b"), F.explode(F.when(F.col("one"), to_one).when(open_, F.concat(full, to_full)).otherwise(full)).alias("at"))
+    # two dated names of one and two words: the one that begins earlier asks, so names of two words store theirs for those of one, too
+    lent = placed.where(~F.col("one") & ~open_).select(F.col("node").alias("b"), F.explode(to_full).alias("at"))
+    asking = keyed.withColumn("slot", F.explode(F.when(open_, F.array(F.lit(-1))).otherwise(F.array(F.lit(-1), slot, slot + 1))))
+    asked = asking.select(
+        F.col("node").alias("a"), F.explode(F.when(F.col("one"), F.concat(to_one, to_full)).otherwise(F.concat(full, to_one))).alias("at")
+    )
+    return asked.join(stored.unionByName(lent), "at").where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
-def word_score(a_words: Column, a_init: Column, b_words: Column, b_init: Column) -> Column:
-    """1 for equal names, less for each edit or abbreviation, null for different ones.
-
-    Both words must be found in the other name (as such, with few edits, or as an
-    initial); a name of one word without initial fits nothing here."""
-
-    def two(x: Column, y: Column) -> Column:
-        straight = (_same_word(x.p, y.p), _same_word(x.q, y.q))
-        crossed = (_same_word(x.p, y.q), _same_word(x.q, y.p))
-
-        def edits(e: tuple[Column, Column]) -> Column:
-            ok = (F.least(*e) == 0) | ((e[0] <= 1) & (e[1] <= 1))
-            return F.when(ok, 1.0 - 0.08 * (e[0] + e[1]))
-
-        return F.coalesce(F.greatest(edits(straight), edits(crossed)), edits(straight), edits(crossed))
-
-    def short(long: Column, one: Column, init: Column) -> Column:
-        """``one``: a reading with a single word, the other word given by an initial."""
-        fits = lambda word, other: F.when(
-            (F.size(init) > 0) & F.array_contains(init, F.substring(other, 1, 1)), 0.85 - 0.08 * _same_word(word, one.p)
-        )
-        return F.coalesce(F.greatest(fits(long.p, long.q), fits(long.q, long.p)), fits(long.p, long.q), fits(long.q, long.p))
-
-    def read(x: Column, y: Column) -> Column:
-        return (
-            F.when(x.q.isNotNull() & y.q.isNotNull(), two(x, y))
-            .when(x.q.isNotNull(), short(x, y, b_init))
-            .when(y.q.isNotNull(), short(y, x, a_init))
-            .otherwise(F.when(F.arrays_overlap(a_init, b_init), 0.8 - 0.08 * _same_word(x.p, y.p)))
-        )
-
-    scores = F.flatten(F.transform(_readings(a_words), lambda x: F.transform(_readings(b_words), lambda y: read(x, y))))
-    return F.array_max(scores)
-
-
-def _marks(word: Column) -> Column:
-    """Numbers of which two words that ``_same_word`` accepts share one.
-
-    An edit touches two of a word's bigrams, so of the first 2e + 1 in any fixed order
-    one is left by e edits.  Repeated bigrams are counted up; short words stand whole."""
-    whole = F.concat(F.lit("^"), word, F.lit("$"))
-    pairs = F.transform(F.sequence(F.lit(1), F.length(word) + 1), lambda i: F.substring(whole, i, F.lit(2)))
-    counted = F.transform(pairs, lambda g, i: F.xxhash64(g, F.size(F.filter(F.slice(pairs, F.lit(1), i + 1), lambda x: x == g))))
-    n = F.when(F.length(word) >= TWO_EDITS, 5).otherwise(3)
-    return F.when(F.length(word) >= ONE_EDIT, F.slice(F.array_sort(counted), F.lit(1), n)).otherwise(F.array(F.xxhash64(word)))
-
-
-def _halves(word: Column) -> Column:
-    """Starts and ends of which two words one edit apart share one: the edit leaves half
-    of the shorter word before or behind it."""
-    n = F.length(word)
-    sizes = F.array((n / 2).cast("int"), ((n - 1) / 2).cast("int"))
-    return F.array_distinct(F.flatten(F.transform(sizes, lambda m: F.array(F.concat(F.lit("^"), F.left(word, m)), F.concat(F.right(word, m), F.lit("$"))))))
-
+def linked(nodes: DataFrame, lone_words: bool = False) -> DataFrame:
+    """``a, b, cosine, agreement, strength, a_weight, b_weight``: the similarity join of
+    the nodes ``node, space, words, initials, lo, hi, sex, weight``.
 
-def with_keys(names: DataFrame) -> DataFrame:
-    """Adds ``full_keys``, ``short_keys`` and ``one``: names that ``word_score`` accepts
-    share a full key, or a short key where one of them has a single word (``one``).
+    Pairs of one space whose ages and sexes fit, with a cosine of ``MIN_COSINE`` and an
+    agreement word by word; the strength is their mean.  With ``lone_words``, a word
+    standing alone agrees with a name that ends with it (nodes then have ``last``)."""
+    weights = nodes.sparkSession.sparkContext.broadcast(bigram_weights(nodes))
+    met = candidates(nodes, weights)
+    if lone_words:
+        met = met.unionByName(_lone_candidates(nodes)).distinct()
+    pairs = met.join(_sided(nodes, "a"), "a").join(_sided(nodes, "b"), "b").where("a_space <=> b_space")
+    ages_fit = F.coalesce(
+        (F.greatest("a_hi", "b_hi") - F.least("a_lo", "b_lo")) <= AGE_SLACK + F.greatest(F.col("a_hi") - F.col("a_lo"), F.col("b_hi") - F.col("b_lo")),
+        F.lit(True),
+    )
+    sexes_fit = F.coalesce(F.col("a_sex") == F.col("b_sex"), F.lit(True))
+    last = ["a_last", "b_last"] if lone_words else []
 
-    A full key is a word with a mark of the other, or halves of both; a short key is the
-    initial of a word with a mark of the other."""
-    hashed = lambda kind, word: lambda g: F.xxhash64(F.lit(kind), word, g)
+    def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        vectors = Vectors(*weights.value)
+        known = lru_cache(100_000)(vectors.vector)
+        for b in batches:
+            out = []
+            bags = [[tuple(x) for x in b[c]] for c in ("a_words", "a_initials", "b_words", "b_initials")]
+            for k, (a, o, na, nb, wa, ia, wb, ib) in enumerate(zip(*(b[c].tolist() for c in ("a", "b", "a_weight", "b_weight")), *bags, strict=True)):
+                cosine = vectors.cosine(known(wa, ia), known(wb, ib))
+                if cosine < MIN_COSINE:
+                    continue
+                agrees = vectors.agreement((wa, ia), (wb, ib))
+                if lone_words:
+                    if agrees is None and len(wa) == 1 and not ia:
+                        agrees = _lone(vectors, wa[0], b["b_last"].iat[k])
+                    elif agrees is None and len(wb) == 1 and not ib:
+                        agrees = _lone(vectors, wb[0], b["a_last"].iat[k])
+                    elif agrees is not None and len(wa) > 1 and len(wb) > 1 and ia and ib and set(ia).isdisjoint(ib):
+                        agrees -= 0.2
+                if agrees is not None:
+                    out.append((a, o, cosine, agrees, (cosine + agrees) / 2, na, nb))
+            yield pd.DataFrame(out, columns=["a", "b", "cosine", "agreement", "strength", "a_weight", "b_weight"])
+
+    src = pairs.where(ages_fit & sexes_fit).select("a", "b", "a_weight", "b_weight", "a_words", "a_initials", "b_words", "b_initials", *last)
+    return src.mapInPandas(compare, "a bigint, b bigint, cosine double, agreement double, strength double, a_weight bigint, b_weight bigint")
+
+
+def _lone(vectors: Vectors, word: str, last: list[str]) -> float | None:
+    got = [0.7 - 0.08 * e for w in (last if last is not None else ()) if (e := vectors.edits(word, w)) is not None]
+    return max(got, default=None)
+
+
+def _lone_candidates(nodes: DataFrame) -> DataFrame:
+    """``a, b``: words standing alone with the names whose last words share a mark."""
+
+    def marks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        vectors = Vectors({}, 1.0)
+        for b in batches:
+            out = []
+            for n, s, words, initials, last in zip(b["node"], b["space"], b["words"], b["initials"], b["last"], strict=True):
+                if len(words) == 1 and not len(initials):
+                    out += [(n, s, m, True) for m in vectors.marks(words[0])]
+                else:
+                    out += [(n, s, m, False) for w in last for m in vectors.marks(w)]
+            yield pd.DataFrame(out, columns=["node", "space", "mark", "lone"])
 
-    def full(r: Column) -> Column:
-        halves = F.flatten(F.transform(_halves(r.p), lambda x: F.transform(_halves(r.q), lambda y: F.xxhash64(F.lit("h"), F.least(x, y), F.greatest(x, y)))))
-        both = F.when((F.length(r.p) >= ONE_EDIT) & (F.length(r.q) >= ONE_EDIT), halves).otherwise(F.array().cast("array<bigint>"))
-        return F.concat(F.transform(_marks(r.q), hashed("e", r.p)), F.transform(_marks(r.p), hashed("e", r.q)), both)
+    m = nodes.select("node", "space", "words", "initials", "last").mapInPandas(marks, "node bigint, space string, mark string, lone boolean")
+    one, other = m.where("lone").select(F.col("node").alias("x"), "space", "mark"), m.where("not lone").select(F.col("node").alias("y"), "space", "mark")
+    return one.join(other, ["space", "mark"]).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
-    def short(r: Column) -> Column:
-        first = lambda w: F.substring(w, 1, 1)
-        return F.concat(F.transform(_marks(r.q), hashed("i", first(r.p))), F.transform(_marks(r.p), hashed("i", first(r.q))))
 
-    one = F.size("words") == 1
-    own = F.flatten(F.transform("initials", lambda i: F.transform(_marks(F.get("words", F.lit(0))), hashed("i", i))))
-    each = lambda f: F.array_distinct(F.flatten(F.transform(_readings(F.col("words")), f)))
-    return names.withColumns(
-        {
-            "one": one,
-            "full_keys": F.when(one, F.array().cast("array<bigint>")).otherwise(each(full)),
-            "short_keys": F.when(one, F.array_distinct(own)).otherwise(each(short)),
-        }
-    )
+# average linkage
 
 
-def _linkage(rows: list[tuple[int, int, float]], min_link: float) -> list[tuple[int, int]]:
-    """(node, cluster) by average linkage of one component's edges."""
+def _linkage(rows: list[tuple[int, int, float, int, int]], min_link: float, apart: frozenset = frozenset()) -> list[tuple[int, int]]:
+    """(node, cluster) by average linkage of one component's edges (a, b, strength and
+    weights); clusters that both hold a node of ``apart`` stay apart."""
     near: dict[int, dict[int, float]] = defaultdict(dict)
-    for a, b, s in rows:
-        near[a][b] = near[b][a] = max(s, near[a].get(b, 0.0))
+    weight: dict[int, int] = {}
+    for a, b, s, na, nb in rows:
+        weight[a], weight[b] = na, nb
+        near[a][b] = near[b][a] = max(s * na * nb, near[a].get(b, 0.0))
     members = {n: [n] for n in near}
-    heap = [(-s, a, b, 1, 1) for a in near for b, s in near[a].items() if a < b]
+    heap = [(-s / (weight[a] * weight[b]), a, b, weight[a], weight[b]) for a in near for b, s in near[a].items() if a < b]
     heapq.heapify(heap)
     while heap:
         s, a, b, na, nb = heapq.heappop(heap)
         if -s < min_link:
             break
-        if a not in members or b not in members or len(members[a]) != na or len(members[b]) != nb:
+        if a not in members or b not in members or weight[a] != na or weight[b] != nb:
+            continue
+        if apart and not apart.isdisjoint(members[a]) and not apart.isdisjoint(members[b]):
             continue
         members[a] += members.pop(b)
+        weight[a] += nb
         sums = near[a]
         for c, total in near.pop(b).items():
             if c != a:
@@ -234,32 +432,82 @@ def _linkage(rows: list[tuple[int, int, float]], min_link: float) -> list[tuple[
         for c, total in sums.items():
             near[c][a] = total
             x, y = min(a, c), max(a, c)
-            heapq.heappush(heap, (-total / (len(members[a]) * len(members[c])), x, y, len(members[x]), len(members[y])))
+            heapq.heappush(heap, (-total / (weight[a] * weight[c]), x, y, weight[x], weight[y]))
     return [(n, min(ns)) for ns in members.values() for n in ns]
 
 
-def average_linkage(edges: DataFrame, min_link: float = MIN_LINK) -> DataFrame:
-    """``node, cluster``: each connected component of the edges ``a, b, score`` grouped
-    by average linkage; pairs without an edge count 0.
+def linkage_by_rounds(edges: DataFrame, min_link: float = MIN_LINK) -> DataFrame:
+    """``node, cluster`` by average linkage, for components of any size: in each round,
+    clusters that are each other's nearest merge.
+
+    Average linkage merges reciprocal nearest neighbours in any order to the same tree,
+    so this equals the one-by-one order up to ties; ties go to the smaller numbers."""
+    edges = edges.where("a <> b")
+    links = cut(
+        edges.groupBy(F.least("a", "b").alias("x"), F.greatest("a", "b").alias("y"))
+        .agg(F.max(F.col("strength") * F.col("a_weight") * F.col("b_weight")).alias("total")).toDF("a", "b", "total")
+    )
+    ends = edges.select("a", F.col("a_weight").alias("weight")).unionByName(edges.select(F.col("b").alias("a"), F.col("b_weight").alias("weight"))).distinct()
+    placed = cut(ends.select(F.col("a").alias("node"), F.col("a").alias("cluster"), "weight"))
+    while True:
+        size = placed.groupBy("cluster").agg(F.sum("weight").alias("n"))
+        named = lambda c: size.select(F.col("cluster").alias(c), F.col("n").alias(f"n_{c}"))
+        near = links.join(named("a"), "a").join(named("b"), "b").select("a", "b", (F.col("total") / (F.col("n_a") * F.col("n_b"))).alias("s")).where(F.col("s") >= min_link)
+        rank = F.struct("s", (-F.least("a", "b")).alias("x"), (-F.greatest("a", "b")).alias("y"))
+        best = (
+            near.unionByName(near.select(F.col("b").alias("a"), F.col("a").alias("b"), "s"))
+            .groupBy("a").agg(F.max_by("b", rank).alias("b"))
+        )
+        merges = cut(best.join(best.select(F.col("a").alias("b"), F.col("b").alias("a")), ["a", "b"]).where("a < b"))
+        if merges.isEmpty():
+            return placed.join(placed.groupBy("cluster").agg(F.min("node").alias("least")), "cluster").select("node", F.col("least").alias("cluster"))
+        to = merges.select(F.col("b").alias("cluster"), F.col("a").alias("into"))
+        placed = cut(placed.join(to, "cluster", "left").select("node", F.coalesce("into", "cluster").alias("cluster"), "weight"))
+        moved = lambda c: to.select(F.col("cluster").alias(c), F.col("into").alias(f"to_{c}"))
+        a, b = F.coalesce("to_a", "a"), F.coalesce("to_b", "b")
+        links = cut(
+            links.join(moved("a"), "a", "left").join(moved("b"), "b", "left").select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b"), "total")
+            .where("a <> b").groupBy("a", "b").agg(F.sum("total").alias("total"))
+        )
+
 
-    Components stream through one Python worker per task; the work and memory for each
-    follow its edges, which the threshold keeps few."""
+def average_linkage(edges: DataFrame, min_link: float = MIN_LINK, apart: DataFrame | None = None, most: int = MAX_LOCAL_LINKS) -> DataFrame:
+    """``node, cluster``: each connected component of the edges ``a, b, strength,
+    a_weight, b_weight`` grouped by average linkage; pairs without an edge count 0, and a
+    node counts as often as its weight says (equal spellings are one node).
+
+    Components of up to ``most`` edges stream through one Python worker per task, larger
+    ones go through ``linkage_by_rounds``.  Nodes of ``apart`` (a bounded list, see
+    ``_bounded``) never share a cluster."""
     comps = components(edges)
-    placed = edges.join(comps.withColumnRenamed("node", "a"), "a").select("component", "a", "b", "score")
+    placed = edges.join(comps.withColumnRenamed("node", "a"), "a").select("component", "a", "b", "strength", "a_weight", "b_weight")
+    placed = cut(placed)
+    large = placed.groupBy("component").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > most).select("component")
+    large = cut(large)
+    lone = edges.sparkSession.sparkContext.broadcast(frozenset(r[0] for r in _bounded(apart)) if apart is not None else frozenset())
 
     def group(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         now, rows, out = None, [], []
         for batch in batches:
-            for c, a, b, s in zip(*(batch[k].tolist() for k in ("component", "a", "b", "score")), strict=True):
+            for c, *row in zip(*(batch[k].tolist() for k in ("component", "a", "b", "strength", "a_weight", "b_weight")), strict=True):
                 if c != now:
-                    out += _linkage(rows, min_link)
+                    out += _linkage(rows, min_link, lone.value)
                     now, rows = c, []
-                rows.append((a, b, s))
+                rows.append(tuple(row))
             yield pd.DataFrame(out, columns=["node", "cluster"])
             out = []
-        yield pd.DataFrame(_linkage(rows, min_link), columns=["node", "cluster"])
+        yield pd.DataFrame(_linkage(rows, min_link, lone.value), columns=["node", "cluster"])
+
+    small = placed if large.isEmpty() else placed.join(large, "component", "left_anti")
+    out = small.repartition("component").sortWithinPartitions("component").mapInPandas(group, "node bigint, cluster bigint")
+    if large.isEmpty():
+        return out
+    if apart is not None:
+        raise ValueError("a component around nodes that stay apart is too large")
+    return out.unionByName(linkage_by_rounds(placed.join(large, "component", "left_semi"), min_link))
 
-    return placed.repartition("component").sortWithinPartitions("component").mapInPandas(group, "node bigint, cluster bigint")
+
+# patients
 
 
 def patient_mentions(records: DataFrame, aliases: DataFrame | None = None) -> DataFrame:
@@ -283,89 +531,42 @@ def patient_mentions(records: DataFrame, aliases: DataFrame | None = None) -> Da
         .select("tenant", "id", "patient", sex.alias("sex"), F.round(year - age, 1).alias("born"))
         .distinct()
     )
-    bagged = with_given_names(_bag(rows, words_of(name_part(F.col("patient")))), aliases)
-    return bagged.where((F.size("words") > 0) & ~F.arrays_overlap("words", F.array(*map(F.lit, PLACEHOLDERS))))
+    return with_bags(rows, "patient", short_forms(aliases))
 
 
 def people_nodes(mentions: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(nodes, mention -> node): equal bags of one tenant, split where birth dates do
     not fit: a node's births lie within ``AGE_SLACK`` of its first.  Lists of births hold
     distinct tenths of a year, which no number of records makes longer."""
-    seen = cut(mentions.groupBy("tenant", "key", "born").agg(F.min("sex").alias("sex"), F.first("words").alias("words"), F.first("initials").alias("initials")))
-    named = seen.where("born is not null").groupBy("tenant", "key").agg(
-        F.first("words").alias("words"), F.first("initials").alias("initials"), F.sort_array(F.collect_list(F.struct("born", "sex"))).alias("births")
-    )
+    bag = (F.first("words").alias("words"), F.first("initials").alias("initials"))
+    seen = cut(mentions.groupBy("tenant", "key", "born").agg(F.min("sex").alias("sex"), F.count(F.lit(1)).alias("weight"), *bag))
+    named = seen.where("born is not null").groupBy("tenant", "key").agg(F.sort_array(F.collect_list("born")).alias("births"))
     last = lambda starts: F.get(starts, F.size(starts) - 1)
     starts = F.aggregate(
-        "births.born", F.array().cast("array<double>"),
+        "births", F.array().cast("array<double>"),
         lambda acc, b: F.when((F.size(acc) == 0) | (F.round(b - last(acc), 1) > AGE_SLACK), F.concat(acc, F.array(b))).otherwise(acc),
     )
-    dated = named.withColumn("starts", starts).withColumn("x", F.explode("births")).select(
-        "tenant", "key", "words", "initials", F.col("x.born").alias("born"), F.col("x.sex").alias("sex"),
-        F.size(F.filter("starts", lambda s: s <= F.col("x.born"))).alias("run"),
-    )
-    dated = cut(dated.withColumn("run", F.col("run") - 1))
-    people = dated.groupBy("tenant", "key", "run").agg(
-        F.min("sex").alias("sex"), F.first("words").alias("words"), F.first("initials").alias("initials"),
-        F.min("born").alias("lo"), F.max("born").alias("hi"),
-    )
-    runs = people.groupBy("tenant", "key").agg(F.count(F.lit(1)).alias("runs"))
-    undated = seen.where("born is null").join(runs, ["tenant", "key"], "left").withColumn(
-        "run", F.when(F.col("runs") == 1, 0).otherwise(-1)
-    )
-    lone = undated.where("run = -1").select("tenant", "key", "run", "sex", "words", "initials", *(F.lit(None).cast("double").alias(c) for c in ("lo", "hi")))
-    node = F.xxhash64("tenant", "key", "run")
-    nodes = people.unionByName(lone).withColumn("node", node)
-    where_to = (
-        dated.select("tenant", "key", "born", node.alias("node")).unionByName(undated.select("tenant", "key", "born", node.alias("node")))
-    )
-    return nodes, where_to
-
-
-def linked_people(nodes: DataFrame) -> DataFrame:
-    """Scored pairs ``a, b, score`` of nodes of one tenant that may be one person.
-
-    Names of two words do not meet each other by short keys: these are stored for names
-    of one word, and for full names without age, which only those ask for."""
-    keyed = cut(with_keys(nodes).select("node", "tenant", "lo", "hi", "one", "full_keys", "short_keys", F.col("lo").isNull().alias("open")))
-    # births of nodes that fit lie within the slack of each other; of two full names the
-    # earlier one asks for the later
-    place_of = lambda year: F.floor(year / BLOCK_YEARS).cast("int")
-    slots = lambda slack: F.sequence(place_of(F.col("lo") - slack), place_of(F.col("hi") + slack))
-    here = F.when(F.col("open"), F.array(F.lit(-1))).otherwise(slots(0.0))
-    near = F.when(F.col("open"), F.array(F.lit(-1))).otherwise(F.concat(F.array(F.lit(-1)), slots(AGE_SLACK)))
-    # tenant, slot and key travel as one number; tenants are compared again below
-    place = lambda kind: lambda k: F.xxhash64("tenant", "slot", F.lit(kind), k)
-    full, short = F.transform("full_keys", place("full")), F.transform("short_keys", place("to one"))
-    of_full = F.transform("short_keys", place("to full"))
-    stored = keyed.withColumn("slot", F.explode(here)).select(
-        F.col("node").alias("b"), F.explode(F.when(F.col("one"), short).when(F.col("open"), F.concat(full, of_full)).otherwise(full)).alias("at")
-    )
-    before = (F.col("slot") >= 0) & (F.col("slot") < place_of(F.col("lo")))
-    asked = keyed.withColumn("slot", F.explode(near)).select(
-        F.col("node").alias("a"), F.explode(F.when(F.col("one"), F.concat(short, of_full)).when(before, short).otherwise(F.concat(full, short))).alias("at")
-    )
-    met = asked.join(stored, "at").where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    side = lambda s: nodes.select(*(F.col(c).alias(c if c == s else f"{s}_{c}") for c in ("tenant", "words", "initials", "lo", "hi", "sex")), F.col("node").alias(s))
-    pairs = met.join(side("a"), "a").join(side("b"), "b").where("a_tenant <=> b_tenant")
-    ages_fit = F.coalesce(
-        (F.greatest("a_hi", "b_hi") - F.least("a_lo", "b_lo")) <= AGE_SLACK + F.greatest(F.col("a_hi") - F.col("a_lo"), F.col("b_hi") - F.col("b_lo")),
-        F.lit(True),
-    )
-    sexes_fit = F.coalesce(F.col("a_sex") == F.col("b_sex"), F.lit(True))
-    return (
-        pairs.where(ages_fit & sexes_fit)
-        .select("a", "b", word_score(F.col("a_words"), F.col("a_initials"), F.col("b_words"), F.col("b_initials")).alias("score"))
-        .where("score is not null")
+    runs = named.select("tenant", "key", starts.alias("starts"))
+    same = (F.col("tenant").eqNullSafe(F.col("r_tenant"))) & (F.col("key") == F.col("r_key"))
+    known = seen.join(runs.toDF("r_tenant", "r_key", "starts"), same, "left")
+    # without birth: to the only run of the name, or a run of its own
+    run = (
+        F.when(F.col("born").isNotNull(), F.size(F.filter("starts", lambda s: s <= F.col("born"))) - 1)
+        .when(F.size("starts") == 1, 0).otherwise(-1)
     )
+    placed = cut(known.withColumn("node", F.xxhash64("tenant", "key", run)).select("tenant", "key", "born", "sex", "words", "initials", "weight", "node"))
+    nodes = placed.groupBy("node").agg(
+        F.first("tenant").alias("space"), *bag, F.min("born").alias("lo"), F.max("born").alias("hi"),
+        F.coalesce(F.min(F.when(F.col("born").isNotNull(), F.col("sex"))), F.min("sex")).alias("sex"), F.sum("weight").alias("weight"),
+    )
+    return nodes, placed.select("tenant", "key", "born", "node")
 
 
 def patients(records: DataFrame, aliases: DataFrame | None = None) -> DataFrame:
     """``tenant, id, patient, person``: person is one number for all spellings of a patient."""
     mentions = cut(patient_mentions(records, aliases))
     nodes, where_to = people_nodes(mentions)
-    nodes = cut(nodes)
-    clusters = average_linkage(cut(linked_people(nodes)))
+    clusters = average_linkage(cut(linked(cut(nodes)).drop("cosine", "agreement")))
     where_to = where_to.toDF("t", "k", "y", "node")
     placed = mentions.join(
         where_to, F.col("tenant").eqNullSafe(F.col("t")) & (F.col("key") == F.col("k")) & F.col("born").eqNullSafe(F.col("y"))
@@ -375,66 +576,70 @@ def patients(records: DataFrame, aliases: DataFrame | None = None) -> DataFrame:
 
 def patient_pairs(records: DataFrame, aliases: DataFrame | None = None) -> DataFrame:
     """``key_a, key_b``: two records of one person, one tenant, differently typed."""
-    people = patients(records, aliases)
+    people = cut(patients(records, aliases))
     several = people.groupBy("tenant", "person").agg(F.min("patient").alias("x"), F.max("patient").alias("y")).where("x <> y").select("tenant", "person")
-    members = cut(people.join(several, ["tenant", "person"], "left_semi"))
+    members = people.join(several, ["tenant", "person"], "left_semi")
     a = members.select("tenant", "person", F.col("id").alias("key_a"), F.col("patient").alias("pa"))
     b = members.select("tenant", "person", F.col("id").alias("key_b"), F.col("patient").alias("pb"))
     return a.join(b, ["tenant", "person"]).where("key_a < key_b and pa <> pb").select("key_a", "key_b").distinct()
 
 
-def referrer_links(records: DataFrame, directory: DataFrame, aliases: DataFrame | None = None) -> DataFrame:
-    """``key_a, key_b``: record id and referrer_id, where the record names that doctor
-    in another way than the directory.
+# referring doctors
+
 
-    Each distinct spelling is compared with the directory once.  A spelling that fits
+def referrer_spellings(records: DataFrame, directory: DataFrame, aliases: DataFrame | None = None) -> DataFrame:
+    """``referrer, referrer_id``: spellings with the doctor of the directory they mean.
+
+    Distinct spellings and directory names are nodes of one space, joined and grouped
+    like patients, with two doctors never in one cluster.  A spelling that agrees with
     several doctors equally well (surname alone, say) is linked to none."""
-    places = [
+    places = frozenset(
         r.w
         for r in _bounded(
             directory.select(F.explode(F.split(F.lower(F.concat_ws(" ", "city", "qualification")), r"[^\p{L}]+")).alias("w"))
             .where("w <> ''").distinct()
         )
-    ]
-    clean = lambda c: F.regexp_replace(F.regexp_replace(F.lower(c), r"(?U)\s+", " "), r"\(.*$", "")
-    words = lambda c: words_of(clean(c), drop=places)
-    doctors = with_given_names(
-        _bag(directory.where("referrer_id is not null and full_name is not null").select("referrer_id", "full_name").distinct(), words(F.col("full_name"))), aliases
-    ).withColumn("node", F.xxhash64(F.lit("doctor"), "referrer_id"))
-    typed = records.where(r"id is not null and referrer rlike '\\p{L}'").select("id", "referrer").distinct()
-    spellings = with_given_names(_bag(typed.select("referrer").distinct(), words(F.col("referrer"))), aliases).where(
-        (F.size("words") > 0) & ~F.arrays_overlap("words", F.array(*map(F.lit, PLACEHOLDERS)))
-    )
-    bags = spellings.groupBy("key").agg(F.first("words").alias("words"), F.first("initials").alias("initials")).withColumn(
-        "node", F.xxhash64(F.lit("typed"), "key")
     )
-    surname = F.regexp_extract(F.lower("full_name"), r"(\p{L}+)\s*$", 1)
-    kind = lambda name, keys: F.transform(keys, lambda k: F.xxhash64(F.lit(name), k))
-    asks_one, asks_full = kind("to one", F.col("short_keys")), kind("to full", F.col("short_keys"))
-    lone = F.when(F.size("initials") == 0, kind("surname", _marks(F.get("words", F.lit(0))))).otherwise(F.array().cast("array<bigint>"))
-    a = with_keys(bags).select(
-        F.col("node").alias("a"), F.explode(F.when(F.col("one"), F.concat(asks_one, asks_full, lone)).otherwise(F.concat("full_keys", asks_one))).alias("at")
+    short = short_forms(aliases)
+    one = lambda df, c: with_bags(df.select(F.regexp_replace(c, r"\(.*$", "").alias("name"), *df.columns), "name", short, places)
+    listed = directory.where("referrer_id is not null and full_name is not null").select("referrer_id", "full_name").distinct()
+    doctors = cut(one(listed, "full_name").withColumn("node", F.xxhash64(F.lit("doctor"), "referrer_id")))
+    mentions = records.where(r"id is not null and referrer rlike '\\p{L}'").groupBy("referrer").agg(F.count(F.lit(1)).alias("weight"))
+    typed = cut(one(mentions, "referrer").withColumn("node", F.xxhash64(F.lit("typed"), "key")))
+    bags = typed.groupBy("node").agg(F.first("words").alias("words"), F.first("initials").alias("initials"), F.sum("weight").alias("weight"))
+    nobody = lambda t: F.lit(None).cast(t)
+    ends = F.array(F.regexp_extract(F.lower("full_name"), r"(\p{L}+)\s*$", 1))
+    shape = lambda df, last: df.select(
+        "node", F.lit("").alias("space"), "words", "initials", nobody("double").alias("lo"), nobody("double").alias("hi"), nobody("string").alias("sex"), last.alias("last"), "weight"
     )
-    b = with_keys(doctors).select(
-        F.col("node").alias("b"),
-        F.explode(F.concat(F.when(F.col("one"), asks_one).otherwise(F.concat("full_keys", asks_full)), kind("surname", _marks(surname)))).alias("at"),
+    nodes = cut(shape(doctors.withColumn("weight", F.lit(1).cast("bigint")), ends).unionByName(shape(bags, F.col("words"))))
+    edges = cut(linked(nodes, lone_words=True))
+    ids = doctors.select(F.col("node").alias("doctor"), "referrer_id")
+    touching = (
+        edges.join(ids.select(F.col("doctor").alias("a")), "a", "left_semi").select(F.col("a").alias("doctor"), F.col("b").alias("node"), "agreement")
+        .unionByName(edges.join(ids.select(F.col("doctor").alias("b")), "b", "left_semi").select(F.col("b").alias("doctor"), F.col("a").alias("node"), "agreement"))
+        .join(ids.select(F.col("doctor").alias("node")), "node", "left_anti")
     )
-    met = a.join(b, "at").select("a", "b").distinct()
-    left = bags.select(F.col("node").alias("a"), "key", F.col("words").alias("aw"), F.col("initials").alias("ai"))
-    right = doctors.select(F.col("node").alias("b"), "referrer_id", "full_name", F.col("words").alias("bw"), F.col("initials").alias("bi"))
-    alone = F.when((F.size("aw") == 1) & (F.size("ai") == 0), 0.7 - 0.08 * _same_word(F.get("aw", F.lit(0)), surname))
-    initials_fit = (F.size("aw") < 2) | (F.size("ai") == 0) | (F.size("bi") == 0) | F.arrays_overlap("ai", "bi")
-    scored = met.join(left, "a").join(right, "b").withColumn(
-        "score", F.coalesce(word_score(F.col("aw"), F.col("ai"), F.col("bw"), F.col("bi")), alone) - F.when(initials_fit, 0.0).otherwise(0.2)
-    ).where("score is not null")
-    best = scored.groupBy("key").agg(
-        F.max(F.struct("score", "referrer_id")).alias("first"), F.count(F.lit(1)).alias("n"), F.collect_list("score").alias("scores")
+    best = Window.partitionBy("node")
+    vague = (
+        touching.withColumn("top", F.max("agreement").over(best)).where(F.col("agreement") >= F.col("top") - 0.001)
+        .groupBy("node").agg(F.count_distinct("doctor").alias("n")).where("n > 1").select("node")
     )
-    clear = best.where("size(filter(scores, s -> s >= first.score - 0.001)) = 1").select("key", F.col("first.referrer_id").alias("key_b"))
-    linked = spellings.select("referrer", "key").join(clear, "key").join(
-        directory.select(F.col("referrer_id").alias("key_b"), "full_name").distinct(), "key_b"
-    ).where("referrer <> full_name").select("referrer", "key_b")
-    return typed.join(linked, "referrer").select(F.col("id").alias("key_a"), "key_b").distinct()
+    vague = cut(vague)
+    clear = edges.join(vague.withColumnRenamed("node", "a"), "a", "left_anti").join(vague.withColumnRenamed("node", "b"), "b", "left_anti")
+    clusters = cut(average_linkage(cut(clear.drop("cosine", "agreement")), apart=ids.select("doctor")))
+    owner = clusters.join(ids.withColumnRenamed("doctor", "node"), "node").select("cluster", "referrer_id")
+    return typed.select("referrer", "node").join(clusters, "node").join(owner, "cluster").select("referrer", "referrer_id").distinct()
+
+
+def referrer_links(records: DataFrame, directory: DataFrame, aliases: DataFrame | None = None) -> DataFrame:
+    """``key_a, key_b``: record id and referrer_id, where the record names that doctor
+    in another way than the directory."""
+    meant = referrer_spellings(records, directory, aliases)
+    names = directory.select("referrer_id", "full_name").distinct()
+    other = meant.join(names, "referrer_id").where("referrer <> full_name").select("referrer", F.col("referrer_id").alias("key_b"))
+    rows = records.where("id is not null and referrer is not null").select(F.col("id").alias("key_a"), "referrer").distinct()
+    return rows.join(other, "referrer").select("key_a", "key_b").distinct()
 
 
 def linked_names(records: DataFrame, directory: DataFrame, aliases: DataFrame | None = None) -> DataFrame:

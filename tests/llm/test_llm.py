@@ -189,15 +189,19 @@ def test_names(spark, table):
 
 def name_nodes(spark, data):
     """Nodes of (words, initials, lo, hi) in one tenant."""
-    schema = "node bigint, tenant string, sex string, words array<string>, initials array<string>, lo double, hi double"
-    return spark.createDataFrame([(n, "t", None, sorted(w), sorted(i), lo, hi) for n, (w, i, lo, hi) in enumerate(data)], schema)
+    schema = "node bigint, space string, sex string, words array<string>, initials array<string>, lo double, hi double, weight bigint"
+    return spark.createDataFrame([(n, "t", None, sorted(w), sorted(i), lo, hi, 1) for n, (w, i, lo, hi) in enumerate(data)], schema)
 
 
 def name_pairs(nodes):
-    """Brute force: every pair of nodes that ``word_score`` accepts."""
-    a, b = (nodes.select(F.col("node").alias(s), F.col("words").alias(f"w{s}"), F.col("initials").alias(f"i{s}")) for s in "ab")
-    score = names.word_score(F.col("wa"), F.col("ia"), F.col("wb"), F.col("ib"))
-    return rows(a.crossJoin(b).where("a < b").select("a", "b", score.alias("score")).where("score is not null").select("a", "b"))
+    """Brute force: every pair of nodes above the cosine that agree word by word."""
+    vectors, got = names.Vectors(*names.bigram_weights(nodes)), []
+    bags = sorted((r.node, list(r.words), list(r.initials)) for r in nodes.collect())
+    for k, (a, wa, ia) in enumerate(bags):
+        for b, wb, ib in bags[k + 1 :]:
+            if vectors.agreement((wa, ia), (wb, ib)) is not None and vectors.cosine(vectors.vector(wa, ia), vectors.vector(wb, ib)) >= names.MIN_COSINE:
+                got.append((a, b))
+    return sorted(got, key=repr)
 
 
 @pytest.mark.parametrize("size", [60, 240])
@@ -218,7 +222,7 @@ def test_names_reach_every_pair(spark, size):
         data += [([p, q], [], *at()), ([p, typed(q, 2)], [], *at()), ([typed(p, 1), typed(q, 1)], [], *at()), ([typed(q, 2)], [p[0]], *at()), ([p, q[:3], q[3:]], [], *at())]
     nodes = name_nodes(spark, [(list(filter(lambda w: len(w) > 1, w)) or ["none"], i, lo, hi) for w, i, lo, hi in data])
     want = name_pairs(nodes)
-    assert len(want) > size and rows(names.linked_people(nodes).select(F.least("a", "b"), F.greatest("a", "b"))) == want
+    assert len(want) > size and rows(names.linked(nodes).select(F.least("a", "b"), F.greatest("a", "b"))) == want
 
 
 def test_names_of_many_ages(spark, table):
@@ -233,6 +237,44 @@ def test_names_of_many_ages(spark, table):
     assert {a for a, _ in got} == {"v", "w"} and all(abs(int(b[1:]) - {"v": 1934, "w": 2006}[a]) <= 2 * names.AGE_SLACK for a, b in got)
 
 
+def test_same_word():
+    def plain(x, y):
+        row = list(range(len(y) + 1))
+        for k, c in enumerate(x, 1):
+            last, row = row, [k]
+            for m, d in enumerate(y, 1):
+                row.append(min(last[m] + 1, row[-1] + 1, last[m - 1] + (c != d)))
+        return row[-1]
+
+    rng = random.Random(8)
+    for _ in range(3000):
+        x, y = ("".join(rng.choice("abc") for _ in range(rng.randint(1, 9))) for _ in "xy")
+        short = min(len(x), len(y))
+        most, e = 2 if short >= names.TWO_EDITS else 1 if short >= names.ONE_EDIT else 0, plain(x, y)
+        assert names.same_word(x, y) == (e if e <= most else None)
+
+
+def test_linkage_by_rounds(spark):
+    rng = random.Random(2)
+    edges = [(a, b, rng.random(), 1 + a % 3, 1 + b % 3) for a in range(40) for b in range(a + 1, 40) if rng.random() < 0.15]
+    df = spark.createDataFrame(edges, "a bigint, b bigint, strength double, a_weight bigint, b_weight bigint")
+    alone = rows(names.average_linkage(df, 0.1))
+    assert alone == rows(names.average_linkage(df, 0.1, most=10)) == rows(names.linkage_by_rounds(df, 0.1))
+    assert len({c for _, c in alone}) > 1
+
+
+def test_referrers(spark, table):
+    schema = table("records").schema
+    rec = lambda i, r: {f.name: None for f in schema.fields} | {"id": i, "referrer": r}
+    doctors = spark.createDataFrame(
+        [("R1", "Dr. Pavitran M. Lokanuthen", "MD", "x", "Ooty"), ("R2", "Dr. Sumitra Lokanuthen", "MS", "x", "Ooty"), ("R3", "Dr. Anand Verkatesh", "MD", "x", "Ooty")],
+        "referrer_id string, full_name string, qualification string, clinic string, city string",
+    )
+    typed = ["Dr. Pavitran M. Lokanuthen", "LOKANUTHEN, PAVITRAN", "Dr P. Lokanuthen MD", "Dr Lokanuthen", "dr verkatesh", "Pavitran Lokanutehn (Ooty)", "Dr S Lokanuthen", "unknown", "", None]
+    got = rows(names.referrer_links(spark.createDataFrame([rec(f"i{n}", r) for n, r in enumerate(typed)], schema), doctors))
+    assert got == [("i1", "R1"), ("i2", "R1"), ("i4", "R3"), ("i5", "R1"), ("i6", "R2")]
+
+
 def test_names_edges(spark, table, nulls):
     none = names.linked_names(table("records").limit(0), table("referrers"), table("name_aliases"))
     assert none.count() == 0
