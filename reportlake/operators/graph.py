@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from reportlake.session import cut
+from reportlake.session import cut, release
 
 #: Rounds after which the search gives up; components of diameter d need about log d.
 MAX_ROUNDS = 40
@@ -24,7 +24,7 @@ def components(edges: DataFrame) -> DataFrame:
     labels = both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("least")).select(
         "node", F.least("node", "least").alias("component")
     )
-    labels = cut(labels)
+    last = labels = cut(labels)
     for _ in range(MAX_ROUNDS):
         near = (
             both.join(labels.select(F.col("node").alias("b"), "component"), "b")
@@ -40,7 +40,9 @@ def components(edges: DataFrame) -> DataFrame:
                 "node", "old", F.least("component", F.coalesce("further", "component")).alias("component")
             )
         )
-        labels = moved.select("node", "component")
+        release(last)
+        last, labels = moved, moved.select("node", "component")
         if moved.where("component <> old").isEmpty():
+            release(both)
             return labels
     raise RuntimeError(f"components did not settle in {MAX_ROUNDS} rounds")

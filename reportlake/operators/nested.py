@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import re
 from collections.abc import Iterator
 
 import pandas as pd
@@ -27,17 +28,55 @@ class _Pairs(list):
     """An object's members as read: order and repeated keys kept."""
 
 
-def _load(text: str):
-    """JSON value of a text.  A string that itself holds a JSON object or array is
-    opened again; a text that is no JSON, or only null, is None."""
-    try:
-        value = json.loads(text, object_pairs_hook=_Pairs)
-        for _ in range(8):
+_TOKEN = re.compile(r'[\s]*([\[\]{},:]|"(?:[^"\\]|\\.)*"|[^\s\[\]{},:"]+)', re.S)
+
+
+def _parse_deep(text: str):
+    """JSON value of a text nested deeper than the standard reader goes, by a stack."""
+    stack: list[list] = []  # [container, pending key or None]
+    at, value, done = 0, None, False
+    end = len(text.rstrip())
+    while at < end:
+        m = _TOKEN.match(text, at)
+        if not m or done:
+            raise ValueError("no JSON")
+        at, t = m.end(), m.group(1)
+        if t in "{[":
+            stack.append([_Pairs() if t == "{" else [], None])
+            continue
+        if t in ",:":
+            continue
+        if t in "}]":
+            value = stack.pop()[0] if stack else None
+            if value is None or isinstance(value, _Pairs) != (t == "}"):
+                raise ValueError("no JSON")
+        else:
+            value = json.loads(t)
+        if not stack:
+            done = True
+        elif not isinstance(stack[-1][0], _Pairs):
+            stack[-1][0].append(value)
+        elif stack[-1][1] is None:
             if not isinstance(value, str):
-                break
+                raise ValueError("no JSON")
+            stack[-1][1] = (value,)
+        else:
+            stack[-1][0].append((stack[-1][1][0], value))
+            stack[-1][1] = None
+    if not done:
+        raise ValueError("no JSON")
+    return value
+
+
+def _load(text: str):
+    """JSON value of a text, of any depth.  A string that itself holds JSON is opened
+    again, as often as it is quoted; a text that is no JSON raises ValueError."""
+    value = text
+    while isinstance(value, str):
+        try:
             value = json.loads(value, object_pairs_hook=_Pairs)
-    except (ValueError, RecursionError):
-        return None
+        except RecursionError:
+            value = _parse_deep(value)
     return value
 
 
@@ -69,9 +108,15 @@ def _identity(value, known: dict[int, tuple[str, str]]) -> tuple[str, str]:
 
 
 def _walk(doc_id: str, text: str, out: list[tuple]) -> None:
-    """Bridge rows of one JSON text, parents before children."""
-    root = _load(text)
+    """Bridge rows of one JSON text, parents before children; one row of kind
+    ``broken`` holds a text that is no JSON object or array."""
+    try:
+        root = _load(text)
+    except ValueError:
+        root = text
     if not isinstance(root, list):
+        if root is not None and text.strip():
+            out.append((doc_id, "finding", "", 0, "broken", None, *_digest(text)))
         return
     known = _identities(root)
     out.append((doc_id, "finding", "", 0, "root", None, *_identity(root, known)))
@@ -104,8 +149,9 @@ def json_occurrences(reports: DataFrame, id_col: str = "report_id", json_col: st
 
     ``kind`` is ``root``, ``object``, ``array``, ``element``, ``null`` (in an array) or
     ``member`` (number, boolean or null of an object); what lies within an array element
-    has ``inner`` before it and the element's ordinal in the path.  Null, empty and broken
-    JSON give no rows.  Rows without id are left out, as nothing could lead back to them."""
+    has ``inner`` before it and the element's ordinal in the path.  Null and empty texts
+    give no rows; a text that is no JSON object or array gives one of kind ``broken`` with
+    the whole text.  Rows without id are left out, as nothing could lead back to them."""
 
     def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         names = [x.split()[0] for x in OCCURRENCES.split(", ")]
@@ -120,24 +166,42 @@ def json_occurrences(reports: DataFrame, id_col: str = "report_id", json_col: st
 
 
 def array_occurrences(rows: DataFrame, child: str, id_col: str, array_col: str) -> DataFrame:
-    """Bridge rows of an array-of-struct column, hashed with built-in functions.
+    """Bridge rows of an array-of-struct column, with built-in functions: the array as
+    ``root``, its elements, and their fields as ``inner member``, hashed like JSON.
 
-    Null and empty arrays give no rows; a null element gives none but keeps its ordinal."""
+    Null and empty arrays give no rows; a null element is of kind ``null``."""
     src = rows.select(F.col(id_col).alias("parent_id"), F.col(array_col).alias("items")).where(
         "parent_id is not null and size(items) > 0"
     )
-    body = lambda x: F.to_json(x, {"ignoreNullFields": "false"})
+    names = sorted(src.schema["items"].dataType.elementType.names)
     digest = lambda c: F.substring(F.sha2(c, 256), 1, HASH_HEX)
-    leaves = src.select("parent_id", F.transform("items", lambda x: F.when(x.isNotNull(), body(x))).alias("bodies"))
-    whole = digest(F.concat_ws(",", F.transform("bodies", lambda x: F.coalesce(x, F.lit("null")))))
-    return (
-        leaves.select("parent_id", whole.alias("parent_hash"), F.posexplode("bodies").alias("pos", "node"))
-        .where("node is not null")
-        .select(
-            "parent_id", F.lit(child).alias("child"), F.lit("").alias("path"), "pos", F.lit("element").alias("kind"),
-            "parent_hash", digest(F.col("node")).alias("node_hash"), "node",
+    # a field as JSON: its own text, or null
+    text = lambda x, n: F.coalesce(F.substr(F.to_json(F.array(x[n])), F.lit(2), F.length(F.to_json(F.array(x[n]))) - 2), F.lit("null"))
+    fields = lambda x: F.array(*(F.struct(F.lit(n).alias("name"), text(x, n).alias("node")) for n in names))
+    hashed = lambda fs: F.transform(fs, lambda f: F.struct(f["name"].alias("name"), f.node.alias("node"), digest(f.node).alias("hash")))
+    body = lambda fs: F.concat(F.lit("{"), F.array_join(F.transform(fs, lambda f: F.concat(F.lit('"'), f["name"], F.lit('":'), f.hash)), ","), F.lit("}"))
+    read = src.withColumn("xs", F.transform("items", lambda x: F.when(x.isNotNull(), hashed(fields(x)))))
+    read = read.withColumn("bodies", F.transform("xs", lambda fs: F.coalesce(body(fs), F.lit("null"))))
+    read = read.withColumn("root", F.concat(F.lit("["), F.array_join(F.transform("bodies", digest), ","), F.lit("]")))
+    row = lambda path, pos, kind, parent, node: F.struct(
+        path.alias("path"), pos.cast("int").alias("pos"), F.lit(kind).alias("kind"), parent.alias("parent_hash"), digest(node).alias("node_hash"), node.alias("node")
+    )
+    none = F.lit(None).cast("string")
+    root = F.array(row(F.lit(""), F.lit(0), "root", none, F.col("root")))
+    elements = F.transform("bodies", lambda b, i: row(F.lit(""), i, "element", digest(F.col("root")), b))
+    members = F.flatten(
+        F.transform(
+            F.arrays_zip("xs", "bodies"),
+            lambda z, i: F.transform(
+                F.coalesce(z.xs, F.array().cast("array<struct<name:string,node:string,hash:string>>")),
+                lambda f, k: row(F.concat(F.lit("["), i.cast("string"), F.lit("] > "), f["name"]), k, "inner member", digest(z.bodies), f.node),
+            ),
         )
     )
+    kind = F.when((F.col("r.kind") == "element") & (F.col("r.node") == "null"), "null").otherwise(F.col("r.kind"))
+    return read.select("parent_id", F.explode(F.concat(root, elements, members)).alias("r")).select(
+        "parent_id", F.lit(child).alias("child"), "r.path", "r.pos", kind.alias("kind"), "r.parent_hash", "r.node_hash", "r.node"
+    )
 
 
 def occurrences(reports: DataFrame, records: DataFrame) -> DataFrame:

@@ -27,14 +27,21 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the folder named in ``spark.checkpoint.dir``; only where the setting
-    is absent (tests, one machine) make a folder of our own."""
-    jsc = spark.sparkContext._jsc.sc()
-    if jsc.getCheckpointDir().isDefined():
-        return
+def shared_dir(spark: SparkSession) -> str:
+    """The folder named in ``spark.checkpoint.dir``.  Where the setting is absent, a local
+    master gets a temporary folder; on a cluster that is refused, as other machines
+    would not see it."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    spark.sparkContext.setCheckpointDir(named or tempfile.mkdtemp(prefix="reportlake-"))
+    if named:
+        return named
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    return tempfile.mkdtemp(prefix="reportlake-")
+
+
+def ensure_checkpoint_dir(spark: SparkSession) -> None:
+    if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
+        spark.sparkContext.setCheckpointDir(shared_dir(spark))
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -42,3 +49,13 @@ def cut(df: DataFrame) -> DataFrame:
     ends there, so a lost executor costs a re-read and not a re-computation."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def release(*cuts: DataFrame) -> None:
+    """Delete the files of checkpoints that nothing will read again (rounds of a loop)."""
+    for df in cuts:
+        plan = df._jdf.queryExecution().logical()
+        file = plan.rdd().getCheckpointFile() if plan.getClass().getSimpleName() == "LogicalRDD" else None
+        if file is not None and file.isDefined():
+            path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(file.get())
+            path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)

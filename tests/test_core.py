@@ -1,10 +1,12 @@
 import hashlib
 import hmac
 import json
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
 
+from reportlake import session
 from reportlake.functions import crypto, text
 from reportlake.operators import clinical, corpus, graph, nested, store, units
 from reportlake.sources import intake
@@ -104,10 +106,38 @@ def test_nested_arrays_keep_ordinals(spark, table, nulls):
     longer = rec | {"trail": [step, None, step, step]}
     df = spark.createDataFrame([rec, rec, longer], schema)
     assert rows(nested.child_rows(nested.array_occurrences(df, "trail", "id", "trail"))) == [("a", "trail", "", i) for i in (0, 2, 3)]
+    bridge = nested.array_occurrences(df, "trail", "id", "trail")
+    kept = {r.node_hash: r.node for r in nested.subtree_store(bridge).collect()}
+    assert {hashlib.sha256(n.encode()).hexdigest()[: nested.HASH_HEX] for n in kept.values()} == set(kept)
+    assert sorted(n for n in kept.values() if n[0] not in "[{") == ['"t"', '"w"', "null"]
     assert nested.occurrences(nulls("structured_reports"), nulls("records")).count() == 0
     assert nested.occurrences(table("structured_reports").limit(0), table("records").limit(0)).count() == 0
 
 
+def test_nested_of_any_depth(spark, table):
+    schema = table("structured_reports").schema
+    text = json.dumps({"A": {"B": ["x"]}})
+    for _ in range(12):
+        text = json.dumps(text)
+    deep = '{"k":' * 2_000 + '["leaf"]' + "}" * 2_000
+    value = nested._load('{"k":' * 90_000 + '["leaf"]' + "}" * 90_000)
+    for _ in range(90_000):
+        value = value[0][1]
+    assert value == ["leaf"] and nested._parse_deep('[1, "a,]", {"b": null, "b": []}]') == [1, "a,]", [("b", None), ("b", [])]]
+    recs = [{f.name: None for f in schema.fields} | {"report_id": i, "findings_tree": t} for i, t in [("quoted", text), ("deep", deep), ("bad", "{no"), ("number", "7"), ("null", "null")]]
+    bridge = nested.json_occurrences(spark.createDataFrame(recs, schema))
+    assert [r.path for r in nested.child_rows(bridge.where("parent_id = 'quoted'")).collect()] == ["A > B"]
+    assert nested.child_rows(bridge.where("parent_id = 'deep'")).first().path.count("k") == 2_000
+    assert rows(bridge.where("kind = 'broken'").select("parent_id", "node")) == [("bad", "{no"), ("number", "7")]
+
+
+def test_bridge_is_closed(spark, table):
+    bridge = nested.occurrences(table("structured_reports"), table("records"))
+    store_ = nested.subtree_store(bridge)
+    assert bridge.where("parent_hash is not null").join(store_.withColumnRenamed("node_hash", "parent_hash"), "parent_hash", "left_anti").count() == 0
+    assert bridge.where("parent_hash is null and kind not in ('root', 'broken')").count() == 0
+
+
 def test_components(spark):
     edges = [(1, 2), (2, 3), (3, 4), (4, 5), (7, 8), (8, 7), (9, 9)]
     got = dict(map(tuple, graph.components(spark.createDataFrame(edges, "a bigint, b bigint")).collect()))
@@ -115,6 +145,21 @@ def test_components(spark):
     assert graph.components(spark.createDataFrame([], "a bigint, b bigint")).count() == 0
 
 
+def test_checkpoints(spark):
+    df = session.cut(spark.range(3))
+    file = df._jdf.queryExecution().logical().rdd().getCheckpointFile().get().removeprefix("file:")
+    assert Path(file).exists()
+    session.release(df, spark.range(2))
+    assert not Path(file).exists()
+
+    class Cluster:
+        conf: dict = {}
+        sparkContext = type("C", (), {"master": "spark://host:7077", "getConf": lambda self: {}})()
+
+    with pytest.raises(ValueError, match="share"):
+        session.shared_dir(Cluster())
+
+
 def test_text_functions(spark):
     assert one(spark, "Mrs. Sunita Devi", lambda c: text.patient_slug(c, F.lit("45 years female"))) == "sunita-devi-f"
     assert one(spark, "Mrs. Sunita Devi", text.hl7_name) == "DEVI^SUNITA"
