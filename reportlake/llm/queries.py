@@ -70,11 +70,15 @@ def p10_found(spark, sf_dir):
     return skeleton.look_alike_pairs(read(spark, sf_dir, "documents"))
 
 
+def p10_classes(spark, sf_dir):
+    return skeleton.look_alike_classes(read(spark, sf_dir, "documents"))
+
+
 def p10_forms(spark, sf_dir):
     return skeleton.with_skeleton(read(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_text, p3_found, p3_terms, p4_found, p4_redacted, p6_found, p6_search, p7_found, p7_people, p8_ids, p9_mix, p9_shares, p10_found, p10_forms)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_text, p3_found, p3_terms, p4_found, p4_redacted, p6_found, p6_search, p7_found, p7_people, p8_ids, p9_mix, p9_shares, p10_found, p10_classes, p10_forms)}
 
 _SPACES = r"[\s\x{00A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+"
 _TERMS = rf"""

@@ -328,11 +328,16 @@ def test_mix_spends_budgets(spark, table, nulls):
 
 
 def test_skeleton(spark, nulls, table):
-    same = ["café fin x-y", "café ﬁn x‑y", "cаfé fin​ x-y", "ｃafé fin x-y", "café fin x-y\r\n"]
-    make = skeleton.make_skeleton()
+    same = ["café fin x-y", "café ﬁn x‑y", "cаfé fin\u200b x-y", "ｃafé fin x-y", "café fin x-y\r\n"]
+    make = skeleton.make_skeleton(skeleton.prototypes(spark))
     assert len({make(t) for t in same}) == 1 and make("cafe fin x-y") != make(same[0]) and make("m²") != make("m2")
-    docs = spark.createDataFrame([*enumerate(same), (9, same[0]), (10, " "), (11, None), (12, " "), (13, "other")], "doc_id bigint, text string")
+    for a, b in (("к", "k"), ("т", "t"), ("ɡ", "g"), ("Ꭺ", "A"), ("ı", "i"), ("ν", "v"), ("Ӏ", "l"), ("1", "l"), ("0", "O"), ("m", "rn"), ("a\u034fb", "ab"), ("’", "'")):
+        assert make(f"x{a}y") == make(f"x{b}y"), (a, b)
+    docs = spark.createDataFrame([*enumerate(same), (9, same[0]), (10, " "), (11, None), (12, "\xa0"), (13, "other")], "doc_id bigint, text string")
     got = {tuple(r) for r in skeleton.look_alike_pairs(docs).collect()}
     ids = [0, 1, 2, 3, 4, 9]
     assert got == {(a, b) for a in ids for b in ids if a < b and (a, b) != (0, 9)}
+    classes = {r.doc_id: (r.class_id, r.members, r.spellings) for r in skeleton.look_alike_classes(docs.unionAll(docs)).collect()}
+    assert classes == {i: (0, 6, 5) for i in ids} | {13: (13, 1, 1)}
     assert skeleton.look_alike_pairs(nulls("documents")).count() == 0 and skeleton.with_skeleton(table("documents").limit(0)).count() == 0
+    assert skeleton.look_alike_classes(nulls("documents")).count() == 0
