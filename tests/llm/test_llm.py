@@ -1,4 +1,5 @@
 import base64
+import math
 import random
 
 import numpy as np
@@ -310,6 +311,20 @@ def test_shares():
     total, _ = mixing.plan_shares(tight, 500)
     assert round(tight[1].share * total) == 20 and round(tight[0].share * total) == 480
     assert mixing.plan_shares([])[0] == 0
+    shares = mixing.tempered([900, 90, 10], 0.9)
+    assert abs(mixing.entropy(shares) - 0.9) < 1e-6 and shares[0] > shares[1] > shares[2]
+    assert abs(mixing.entropy(mixing.tempered([900, 90, 10], 9.0)) - math.log(3)) < 1e-3
+
+
+def test_mix_nears_targets(spark):
+    rng = random.Random(5)
+    docs = [(i, "abc"[min(2, i % 7)], " ".join(rng.choice(VOCABULARY) for _ in range(30))) for i in range(1400)]
+    weights = spark.createDataFrame([("a", 0.3, 4), ("b", 0.5, 3), ("c", 0.2, 2)], "source string, target_share double, max_repeats int")
+    uses, report = mixing.mix(spark.createDataFrame(docs, "doc_id bigint, source string, text string"), weights)
+    for r in report.collect():
+        assert abs(r.actual_share - r.target_share) < 0.01
+    orders = uses.where("source = 'b'").groupBy("use_no").agg(F.array_sort(F.collect_set(F.struct("turn", "block_no"))).alias("o")).collect()
+    assert all([x.turn for x in r.o] == list(range(len(r.o))) for r in orders)
 
 
 def test_mix_spends_budgets(spark, table, nulls):
