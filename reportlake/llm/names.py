@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from reportlake.operators.graph import components
-from reportlake.session import cut
+from reportlake.session import cut, release
 
 # Words around a name that are not part of it.
 TITLES = frozenset("mr mrs ms miss master mister missus shri smt sri dr prof doctor professor kumari baby".split())
@@ -286,68 +286,81 @@ def _hash(text: str) -> int:
 
 
 def with_features(nodes: DataFrame, weights) -> DataFrame:
-    """``node, space, lo, hi, one, full, short`` (see ``Vectors.features``)."""
+    """``no, space, lo, one, full, short`` (see ``Vectors.features``)."""
 
     def make(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         vectors = Vectors(*weights.value)
         for b in batches:
             got = [vectors.features(list(w), list(i)) for w, i in zip(b["words"], b["initials"], strict=True)]
-            out = b[["node", "space", "lo", "hi"]].copy()
+            out = b[["no", "space", "lo"]].copy()
             out["one"], out["full"], out["short"] = [g[2] for g in got], [g[0] for g in got], [g[1] for g in got]
             yield out
 
-    src = nodes.select("node", "space", "lo", "hi", "words", "initials")
-    return src.mapInPandas(make, "node bigint, space string, lo double, hi double, one boolean, full array<bigint>, short array<bigint>")
+    src = nodes.select("no", "space", "lo", "words", "initials")
+    return src.mapInPandas(make, "no bigint, space string, lo double, one boolean, full array<bigint>, short array<bigint>")
 
 
 def _sided(nodes: DataFrame, side: str) -> DataFrame:
-    return nodes.select(F.col("node").alias(side), *(F.col(c).alias(f"{side}_{c}") for c in nodes.columns if c != "node"))
+    return nodes.select(F.col("no").alias(side), *(F.col(c).alias(f"{side}_{c}") for c in nodes.columns if c != "no"))
 
 
-def candidates(nodes: DataFrame, weights) -> DataFrame:
-    """``a, b``: nodes of one space that share an index feature and whose births may fit.
+def candidates(nodes: DataFrame, weights, listed: DataFrame | None = None) -> DataFrame:
+    """``a, b``: numbers of nodes of one space that share an index feature and whose
+    births may fit; with ``listed`` (nodes without births), of a node and a listed one.
 
-    Two nodes that fit begin within ``BLOCK_YEARS`` of each other (their runs and the
-    slack are two years each), so the earlier one asks its own block and the next.  Nodes
-    without birth meet all of their space.  Names of two words do not meet each other by
-    short features: these are stored for names of one word, and for full names without
-    birth, which only those ask for."""
+    Every node is stored in the block of its first birth.  Two nodes that fit begin within
+    ``BLOCK_YEARS`` of each other (their runs and the slack are two years each), so of two
+    full names the earlier one asks its own block and the next; a name of one word asks
+    the block before, too.  Nodes without birth ask all blocks that their space has.
+    Names of two words do not meet each other by short features."""
     keyed = cut(with_features(nodes, weights))
-    open_ = F.col("lo").isNull()
-    slot = F.floor(F.col("lo") / BLOCK_YEARS).cast("int")
+    slot = F.coalesce(F.floor(F.col("lo") / BLOCK_YEARS).cast("int"), F.lit(-1))
+    placed = keyed.withColumn("slot", slot)
+    held = with_features(listed, weights).withColumn("slot", F.lit(-1)) if listed is not None else placed
     # space, block and feature travel as one number; spaces are compared again with the pair
     at = lambda features, kind: F.transform(features, lambda k: F.xxhash64("space", "slot", F.lit(kind), k))
-    nothing = F.array().cast("array<bigint>")
     full, to_one, to_full = at("full", "full"), at("short", "one"), at("short", "two")
-    placed = keyed.withColumn("slot", F.coalesce(slot, F.lit(-1)))
-    stored = placed.select(F.col("node").alias("b"), F.explode(F.when(F.col("one"), to_one).when(open_, F.concat(full, to_full)).otherwise(full)).alias("at"))
-    # two dated names of one and two words: the one that begins earlier asks, so names of two words store theirs for those of one, too
-    lent = placed.where(~F.col("one") & ~open_).select(F.col("node").alias("b"), F.explode(to_full).alias("at"))
-    asking = keyed.withColumn("slot", F.explode(F.when(open_, F.array(F.lit(-1))).otherwise(F.array(F.lit(-1), slot, slot + 1))))
-    asked = asking.select(
-        F.col("node").alias("a"), F.explode(F.when(F.col("one"), F.concat(to_one, to_full)).otherwise(F.concat(full, to_one))).alias("at")
+    stored = held.select(F.col("no").alias("b"), F.explode(F.when(F.col("one"), to_one).otherwise(F.concat(full, to_full))).alias("at"))
+    dated = placed.where("lo is not null").withColumn(
+        "slot", F.explode(F.when(F.col("one"), F.array(F.col("slot") - 1, F.col("slot"), F.col("slot") + 1)).otherwise(F.array(F.col("slot"), F.col("slot") + 1)))
     )
-    return asked.join(stored.unionByName(lent), "at").where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-
-
-def linked(nodes: DataFrame, lone_words: bool = False) -> DataFrame:
+    blocks = placed.select(F.col("space").alias("s"), F.col("slot").alias("t")).distinct()
+    undated = placed.where("lo is null")
+    if listed is None:
+        undated = undated.join(blocks, F.col("space").eqNullSafe(F.col("s"))).withColumn("slot", F.col("t")).drop("s", "t")
+    asks = lambda df, one, two: df.select(F.col("no").alias("a"), F.explode(F.when(F.col("one"), one).otherwise(two)).alias("at"))
+    asked = asks(dated, F.concat(to_one, to_full), full).unionByName(asks(undated, F.concat(to_one, to_full), F.concat(full, to_one)))
+    met = asked.join(stored, "at")
+    if listed is None:
+        met = met.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    met = cut(met.select("a", "b").distinct())
+    release(keyed)
+    return met
+
+
+def linked(nodes: DataFrame, listed: DataFrame | None = None) -> DataFrame:
     """``a, b, cosine, agreement, strength, a_weight, b_weight``: the similarity join of
-    the nodes ``node, space, words, initials, lo, hi, sex, weight``.
+    the nodes ``node, space, words, initials, lo, hi, sex, weight`` with each other, or
+    with the listed nodes.
 
     Pairs of one space whose ages and sexes fit, with a cosine of ``MIN_COSINE`` and an
-    agreement word by word; the strength is their mean.  With ``lone_words``, a word
-    standing alone agrees with a name that ends with it (nodes then have ``last``)."""
+    agreement word by word; the strength is their mean.  A word standing alone agrees
+    with a listed name that ends with it (``last`` of the listed nodes)."""
+    # numbers that compress better than the hashes, fixed by the checkpoint
+    nodes = cut(nodes.withColumn("no", F.monotonically_increasing_id()))
+    if listed is not None:
+        listed = cut(listed.withColumn("no", F.monotonically_increasing_id()))
     weights = nodes.sparkSession.sparkContext.broadcast(bigram_weights(nodes))
-    met = candidates(nodes, weights)
-    if lone_words:
-        met = met.unionByName(_lone_candidates(nodes)).distinct()
-    pairs = met.join(_sided(nodes, "a"), "a").join(_sided(nodes, "b"), "b").where("a_space <=> b_space")
+    met = candidates(nodes, weights, listed)
+    if listed is not None:
+        met = met.unionByName(_lone_candidates(nodes, listed)).distinct()
+    pairs = met.join(_sided(nodes, "a"), "a").join(_sided(nodes if listed is None else listed, "b"), "b").where("a_space <=> b_space")
     ages_fit = F.coalesce(
         (F.greatest("a_hi", "b_hi") - F.least("a_lo", "b_lo")) <= AGE_SLACK + F.greatest(F.col("a_hi") - F.col("a_lo"), F.col("b_hi") - F.col("b_lo")),
         F.lit(True),
     )
     sexes_fit = F.coalesce(F.col("a_sex") == F.col("b_sex"), F.lit(True))
-    last = ["a_last", "b_last"] if lone_words else []
+    last = ["b_last"] if listed is not None else []
 
     def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         vectors = Vectors(*weights.value)
@@ -355,48 +368,36 @@ def linked(nodes: DataFrame, lone_words: bool = False) -> DataFrame:
         for b in batches:
             out = []
             bags = [[tuple(x) for x in b[c]] for c in ("a_words", "a_initials", "b_words", "b_initials")]
-            for k, (a, o, na, nb, wa, ia, wb, ib) in enumerate(zip(*(b[c].tolist() for c in ("a", "b", "a_weight", "b_weight")), *bags, strict=True)):
+            for k, (a, o, na, nb, wa, ia, wb, ib) in enumerate(zip(*(b[c].tolist() for c in ("a_node", "b_node", "a_weight", "b_weight")), *bags, strict=True)):
                 cosine = vectors.cosine(known(wa, ia), known(wb, ib))
                 if cosine < MIN_COSINE:
                     continue
                 agrees = vectors.agreement((wa, ia), (wb, ib))
-                if lone_words:
-                    if agrees is None and len(wa) == 1 and not ia:
-                        agrees = _lone(vectors, wa[0], b["b_last"].iat[k])
-                    elif agrees is None and len(wb) == 1 and not ib:
-                        agrees = _lone(vectors, wb[0], b["a_last"].iat[k])
-                    elif agrees is not None and len(wa) > 1 and len(wb) > 1 and ia and ib and set(ia).isdisjoint(ib):
-                        agrees -= 0.2
+                if last and agrees is None and len(wa) == 1 and not ia:
+                    e = vectors.edits(wa[0], b["b_last"].iat[k])
+                    agrees = None if e is None else 0.7 - 0.08 * e
+                elif last and agrees is not None and len(wa) > 1 and ia and ib and set(ia).isdisjoint(ib):
+                    agrees -= 0.2
                 if agrees is not None:
                     out.append((a, o, cosine, agrees, (cosine + agrees) / 2, na, nb))
             yield pd.DataFrame(out, columns=["a", "b", "cosine", "agreement", "strength", "a_weight", "b_weight"])
 
-    src = pairs.where(ages_fit & sexes_fit).select("a", "b", "a_weight", "b_weight", "a_words", "a_initials", "b_words", "b_initials", *last)
+    src = pairs.where(ages_fit & sexes_fit).select("a_node", "b_node", "a_weight", "b_weight", "a_words", "a_initials", "b_words", "b_initials", *last)
     return src.mapInPandas(compare, "a bigint, b bigint, cosine double, agreement double, strength double, a_weight bigint, b_weight bigint")
 
 
-def _lone(vectors: Vectors, word: str, last: list[str]) -> float | None:
-    got = [0.7 - 0.08 * e for w in (last if last is not None else ()) if (e := vectors.edits(word, w)) is not None]
-    return max(got, default=None)
-
-
-def _lone_candidates(nodes: DataFrame) -> DataFrame:
-    """``a, b``: words standing alone with the names whose last words share a mark."""
+def _lone_candidates(nodes: DataFrame, listed: DataFrame) -> DataFrame:
+    """``a, b``: words standing alone with the listed names whose last words share a mark."""
 
     def marks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         vectors = Vectors({}, 1.0)
         for b in batches:
-            out = []
-            for n, s, words, initials, last in zip(b["node"], b["space"], b["words"], b["initials"], b["last"], strict=True):
-                if len(words) == 1 and not len(initials):
-                    out += [(n, s, m, True) for m in vectors.marks(words[0])]
-                else:
-                    out += [(n, s, m, False) for w in last for m in vectors.marks(w)]
-            yield pd.DataFrame(out, columns=["node", "space", "mark", "lone"])
+            out = [(n, m) for n, w in zip(b["no"].tolist(), b["word"], strict=True) for m in vectors.marks(w)]
+            yield pd.DataFrame(out, columns=["no", "mark"])
 
-    m = nodes.select("node", "space", "words", "initials", "last").mapInPandas(marks, "node bigint, space string, mark string, lone boolean")
-    one, other = m.where("lone").select(F.col("node").alias("x"), "space", "mark"), m.where("not lone").select(F.col("node").alias("y"), "space", "mark")
-    return one.join(other, ["space", "mark"]).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    marked = lambda df, word, side: df.select("no", word.alias("word")).mapInPandas(marks, "no bigint, mark string").withColumnRenamed("no", side)
+    lone = nodes.where("size(words) = 1 and size(initials) = 0")
+    return marked(lone, F.get("words", F.lit(0)), "a").join(marked(listed.where("last <> ''"), F.col("last"), "b"), "mark").select("a", "b").distinct()
 
 
 # average linkage
@@ -566,7 +567,7 @@ def patients(records: DataFrame, aliases: DataFrame | None = None) -> DataFrame:
     """``tenant, id, patient, person``: person is one number for all spellings of a patient."""
     mentions = cut(patient_mentions(records, aliases))
     nodes, where_to = people_nodes(mentions)
-    clusters = average_linkage(cut(linked(cut(nodes)).drop("cosine", "agreement")))
+    clusters = average_linkage(cut(linked(nodes).drop("cosine", "agreement")))
     where_to = where_to.toDF("t", "k", "y", "node")
     placed = mentions.join(
         where_to, F.col("tenant").eqNullSafe(F.col("t")) & (F.col("key") == F.col("k")) & F.col("born").eqNullSafe(F.col("y"))
@@ -590,9 +591,11 @@ def patient_pairs(records: DataFrame, aliases: DataFrame | None = None) -> DataF
 def referrer_spellings(records: DataFrame, directory: DataFrame, aliases: DataFrame | None = None) -> DataFrame:
     """``referrer, referrer_id``: spellings with the doctor of the directory they mean.
 
-    Distinct spellings and directory names are nodes of one space, joined and grouped
-    like patients, with two doctors never in one cluster.  A spelling that agrees with
-    several doctors equally well (surname alone, say) is linked to none."""
+    Distinct spellings are joined with the directory and grouped like patients.  Spellings
+    are not held against each other, which would be quadratic in the misspellings of one
+    doctor: a directory name weighs as much as all records, so a cluster forms around
+    it, and two of them never share one.  A spelling that agrees with several doctors
+    equally well (surname alone, say) is linked to none."""
     places = frozenset(
         r.w
         for r in _bounded(
@@ -608,25 +611,21 @@ def referrer_spellings(records: DataFrame, directory: DataFrame, aliases: DataFr
     typed = cut(one(mentions, "referrer").withColumn("node", F.xxhash64(F.lit("typed"), "key")))
     bags = typed.groupBy("node").agg(F.first("words").alias("words"), F.first("initials").alias("initials"), F.sum("weight").alias("weight"))
     nobody = lambda t: F.lit(None).cast(t)
-    ends = F.array(F.regexp_extract(F.lower("full_name"), r"(\p{L}+)\s*$", 1))
+    ends = F.regexp_extract(F.lower("full_name"), r"(\p{L}+)\s*$", 1)
     shape = lambda df, last: df.select(
         "node", F.lit("").alias("space"), "words", "initials", nobody("double").alias("lo"), nobody("double").alias("hi"), nobody("string").alias("sex"), last.alias("last"), "weight"
     )
-    nodes = cut(shape(doctors.withColumn("weight", F.lit(1).cast("bigint")), ends).unionByName(shape(bags, F.col("words"))))
-    edges = cut(linked(nodes, lone_words=True))
+    spellings = shape(bags, F.lit(None).cast("string"))
+    total = spellings.agg(F.coalesce(F.sum("weight"), F.lit(0)) + 1).scalar()
+    edges = cut(linked(spellings, shape(doctors.withColumn("weight", total), ends)))
     ids = doctors.select(F.col("node").alias("doctor"), "referrer_id")
-    touching = (
-        edges.join(ids.select(F.col("doctor").alias("a")), "a", "left_semi").select(F.col("a").alias("doctor"), F.col("b").alias("node"), "agreement")
-        .unionByName(edges.join(ids.select(F.col("doctor").alias("b")), "b", "left_semi").select(F.col("b").alias("doctor"), F.col("a").alias("node"), "agreement"))
-        .join(ids.select(F.col("doctor").alias("node")), "node", "left_anti")
-    )
+    touching = edges.select(F.col("a").alias("node"), F.col("b").alias("doctor"), "agreement")
     best = Window.partitionBy("node")
     vague = (
         touching.withColumn("top", F.max("agreement").over(best)).where(F.col("agreement") >= F.col("top") - 0.001)
         .groupBy("node").agg(F.count_distinct("doctor").alias("n")).where("n > 1").select("node")
     )
-    vague = cut(vague)
-    clear = edges.join(vague.withColumnRenamed("node", "a"), "a", "left_anti").join(vague.withColumnRenamed("node", "b"), "b", "left_anti")
+    clear = edges.join(vague.withColumnRenamed("node", "a"), "a", "left_anti")
     clusters = cut(average_linkage(cut(clear.drop("cosine", "agreement")), apart=ids.select("doctor")))
     owner = clusters.join(ids.withColumnRenamed("doctor", "node"), "node").select("cluster", "referrer_id")
     return typed.select("referrer", "node").join(clusters, "node").join(owner, "cluster").select("referrer", "referrer_id").distinct()
