@@ -2,10 +2,12 @@
 
 Quantities are read from the element's own wording with built-in expressions.  Where
 neither ``stated`` nor ``sentence`` names a unit, a random forest predicts it from
-magnitude, notation, source, modality, organ, the report's declaration and the other
-elements of the record.  Its scores are calibrated on held-out rows (isotonic, one
-curve for the score of the chosen class); assignments below ``MIN_CONFIDENCE`` are
-kept for review and not converted.
+magnitude, notation, source, modality, organ and the other elements of the record.  It
+learns from elements whose unit is named, with the name left out; its scores are
+calibrated on other such elements (isotonic, one curve for the score of the chosen
+class) and measured on a third part.  Where the report declares a unit for all figures,
+that statement decides over the prediction; assignments below ``MIN_CONFIDENCE`` without
+such a statement are kept for review and not converted.
 """
 
 from __future__ import annotations
@@ -131,10 +133,7 @@ def read_sizes(records: DataFrame) -> DataFrame:
     ).where("value is not null")
 
 
-FEATURES = (
-    "log_value", "f_decimal", "f_fraction", "f_several", "declared_mm", "declared_cm", "declared_in", "others_mm", "others_cm",
-    "others_in", "organ_h", "source_h", "modality_h", "via_h",
-)
+FEATURES = ("log_value", "f_decimal", "f_fraction", "f_several", "others_mm", "others_cm", "others_in", "organ_h", "source_h", "modality_h", "via_h")
 
 
 def _features(rows: DataFrame) -> DataFrame:
@@ -142,7 +141,6 @@ def _features(rows: DataFrame) -> DataFrame:
     named = {
         "log_value": F.log10(F.greatest("value", F.lit(0.01))),
         **{f"f_{c}": F.col(c).cast("double") for c in ("decimal", "fraction", "several")},
-        **{f"declared_{u}": F.coalesce((F.col("declared") == u).cast("double"), F.lit(0.0)) for u in UNITS},
         **{f"others_{u}": F.coalesce(F.col(f"near_{u}").cast("double"), F.lit(0.0)) for u in UNITS},
         "organ_h": hashed("organ"), "source_h": hashed("source"), "modality_h": hashed("modality"), "via_h": hashed("via"),
     }
@@ -161,40 +159,38 @@ def _with_neighbours(sizes: DataFrame, rows: DataFrame) -> DataFrame:
 
 
 def _labelled(rows: DataFrame) -> DataFrame:
-    """Rows whose unit is named, with the name hidden: most as a report that declares
-    the unit would hold them, the others as one that declares nothing would."""
-    share = lambda i: F.pmod(F.xxhash64("id", "pos", F.lit(SEED + i)), F.lit(100))
-    told = F.when(share(1) < 80, F.col("unit"))
-    return rows.withColumns(
-        {
-            "declared": told,
-            "label": F.expr(f"case unit {' '.join(f"when '{u}' then {float(k)}" for k, u in enumerate(UNITS))} end"),
-            "fold": share(3),
-        }
-    )
+    """Adds ``label`` (the named unit) and ``fold`` (0 to 99, one for a whole record)."""
+    label = F.expr(f"case unit {' '.join(f"when '{u}' then {float(k)}" for k, u in enumerate(UNITS))} end")
+    return rows.withColumns({"label": label, "fold": F.pmod(F.xxhash64("id", F.lit(SEED + 3)), F.lit(100))})
 
 
 def fit(sizes: DataFrame, max_rows: int = MAX_TRAINING_ROWS):
-    """(forest pipeline, calibration) fitted on at most ``max_rows`` labelled rows, the
-    ones of smallest hash; a fifth of them is held out for the calibration.  None where
-    there are fewer than two classes to tell apart."""
+    """(forest pipeline, calibration, held-out accuracy) fitted on at most ``max_rows``
+    labelled rows, the ones of smallest hash: folds 0-59 teach, 60-79 calibrate, 80-99
+    measure.  None where there are fewer than two classes to tell apart.
+
+    The accuracy is a list of (unit, rows, right, confident, confident and right)."""
     drawn = sizes.where("unit is not null and value > 0").orderBy(F.xxhash64("id", "pos", F.lit(SEED))).limit(max_rows)
     sample = _features(_labelled(_with_neighbours(sizes, drawn))).select(*FEATURES, "label", "fold").persist()
     try:
-        if sample.where("fold < 80").select("label").distinct().count() < 2 or sample.where("fold >= 80").isEmpty():
+        if sample.where("fold < 60").select("label").distinct().count() < 2 or sample.where("fold >= 60 and fold < 80").isEmpty():
             return None
         forest = RandomForestClassifier(
             labelCol="label", featuresCol="features", numTrees=24, maxDepth=8, maxBins=64, seed=SEED, subsamplingRate=0.7,
             featureSubsetStrategy="all",
         )
-        model = Pipeline(stages=[VectorAssembler(inputCols=list(FEATURES), outputCol="features"), forest]).fit(sample.where("fold < 80"))
-        held = _scored(model.transform(sample.where("fold >= 80"))).select(
-            F.col("score").alias("features"), (F.col("prediction") == F.col("label")).cast("double").alias("label")
-        )
-        curve = IsotonicRegression(featuresCol="features", labelCol="label").fit(held)
+        model = Pipeline(stages=[VectorAssembler(inputCols=list(FEATURES), outputCol="features"), forest]).fit(sample.where("fold < 60"))
+        right = (F.col("prediction") == F.col("label")).cast("double")
+        held = _scored(model.transform(sample.where("fold >= 60 and fold < 80"))).select(F.col("score").alias("features"), right.alias("label"))
+        fitted = IsotonicRegression(featuresCol="features", labelCol="label").fit(held)
+        curve = list(zip(fitted.boundaries, fitted.predictions, strict=True))
+        sure = (_calibrated(F.col("score"), _thinned(curve)) >= MIN_CONFIDENCE).cast("double")
+        measured = _scored(model.transform(sample.where("fold >= 80"))).groupBy("label").agg(
+            F.count(F.lit(1)).alias("n"), F.sum(right).alias("right"), F.sum(sure).alias("sure"), F.sum(sure * right).alias("sure_right")
+        ).collect()
     finally:
         sample.unpersist()
-    return model, list(zip(curve.boundaries, curve.predictions, strict=True))
+    return model, curve, [(UNITS[int(r.label)], r.n, int(r.right), int(r.sure), int(r.sure_right)) for r in measured]
 
 
 def _scored(rows: DataFrame) -> DataFrame:
@@ -217,29 +213,29 @@ def _thinned(curve: list[tuple[float, float]], most: int = 40) -> list[tuple[flo
 
 
 def in_millimetres(records: DataFrame, min_confidence: float = MIN_CONFIDENCE, max_rows: int = MAX_TRAINING_ROWS) -> DataFrame:
-    """``id, pos, value, unit, confidence, route, size_mm, right_mm``, one row per
-    version and element.
+    """``id, pos, value, unit, likely, confidence, route, size_mm, right_mm``, one row
+    per version and element.
 
-    route: ``named`` (unit in the wording), ``predicted`` (confident assignment) or
-    ``review`` (right_mm null)."""
+    route: ``named`` (unit in the wording), ``declared`` (no unit in the wording, but
+    one for all figures in the report), ``predicted`` (confident assignment) or ``review``
+    (right_mm null).  ``likely`` is what the forest takes the unit for, ``confidence``
+    how sure it is of that."""
     sizes = cut(read_sizes(records))  # read once: the fit, its neighbours and the assignment all use it
     fitted = fit(sizes, max_rows)
-    keep = ["id", "pos", "value", "unit", "confidence", "route", "size_mm"]
+    keep = ["id", "pos", "value", "unit", "likely", "confidence", "route", "size_mm"]
     named = sizes.where("unit is not null").select(
-        "id", "pos", "value", "unit", F.lit(1.0).alias("confidence"), F.lit("named").alias("route"), "size_mm"
+        "id", "pos", "value", "unit", F.col("unit").alias("likely"), F.lit(1.0).alias("confidence"), F.lit("named").alias("route"), "size_mm"
     )
     unnamed = sizes.where("unit is null")
     if fitted is None:
-        guessed = unnamed.withColumns({"confidence": F.lit(0.0), "route": F.lit("review")}).select(*keep)
+        scored = unnamed.withColumns({"likely": F.lit(None).cast("string"), "confidence": F.lit(0.0)})
     else:
-        model, curve = fitted
-        scored = _scored(model.transform(_features(_with_neighbours(sizes, unnamed))))
-        unit = F.element_at(F.array(*map(F.lit, UNITS)), F.col("prediction").cast("int") + 1)
-        sure = _calibrated(F.col("score"), _thinned(curve))
-        guessed = scored.select(
-            "id", "pos", "value", unit.alias("unit"), sure.alias("confidence"),
-            F.when(sure >= min_confidence, "predicted").otherwise("review").alias("route"), "size_mm",
+        model, curve, _ = fitted
+        scored = _scored(model.transform(_features(_with_neighbours(sizes, unnamed)))).withColumns(
+            {"likely": F.element_at(F.array(*map(F.lit, UNITS)), F.col("prediction").cast("int") + 1), "confidence": _calibrated(F.col("score"), _thinned(curve))}
         )
+    route = F.when(F.col("declared").isNotNull(), "declared").when(F.col("confidence") >= min_confidence, "predicted").otherwise("review")
+    guessed = scored.withColumns({"route": route, "unit": F.coalesce("declared", "likely")}).select(*keep)
     factor = F.expr(f"case unit {' '.join(f"when '{u}' then {f}D" for u, f in MILLIMETRES.items())} end")
     return named.unionByName(guessed).select(
         *keep, F.when(F.col("route") != "review", F.col("value") * factor).alias("right_mm")
@@ -256,3 +252,10 @@ def wrong_sizes(records: DataFrame) -> DataFrame:
         .select("id", "pos", F.round(F.col("right_mm") * 10).cast("bigint").alias("mm10"))
         .distinct()
     )
+
+
+def unit_accuracy(records: DataFrame) -> DataFrame:
+    """``unit, rows, right, sure, sure_right``: how the forest does on named elements it
+    was not fitted on, and on those of them it is confident about."""
+    fitted = fit(cut(read_sizes(records)))
+    return records.sparkSession.createDataFrame(fitted[2] if fitted else [], "unit string, rows bigint, right bigint, sure bigint, sure_right bigint")

@@ -23,6 +23,10 @@ def p2_sizes(spark, sf_dir):
     return units.in_millimetres(read(spark, sf_dir, "records"))
 
 
+def p2_accuracy(spark, sf_dir):
+    return units.unit_accuracy(read(spark, sf_dir, "records"))
+
+
 def p5_found(spark, sf_dir):
     return nested.child_rows(nested.occurrences(read(spark, sf_dir, "structured_reports"), read(spark, sf_dir, "records")))
 
@@ -311,4 +315,4 @@ _EXTRA = (
     oru_messages, fhir_reports, unique_filenames, routed_reports, event_windows, stream_replay, confidence_by_engine, critical_impressions,
 )
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_sizes, p5_found, p5_subtrees, p5_bridge, *_EXTRA)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_sizes, p2_accuracy, p5_found, p5_subtrees, p5_bridge, *_EXTRA)}

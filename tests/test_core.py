@@ -46,14 +46,21 @@ def test_declared_unit(spark):
         assert one(spark, said, units.declared_unit) == unit
 
 
-def test_units_predicts_declared(spark, table):
+def test_units_predict(spark, table):
     recs = table("records")
     got = units.in_millimetres(recs)
     assert got.where("route = 'predicted' and confidence < 0.9").count() == 0
     assert got.where("right_mm is null and route <> 'review'").count() == 0
     declared = units.read_sizes(recs).where("unit is null").select("id", "pos", "declared").distinct()
-    hit = got.where("route = 'predicted'").join(declared, ["id", "pos"])
+    hit = got.where("route = 'declared'").join(declared, ["id", "pos"])
     assert hit.count() > 0 and hit.where("unit <> declared").count() == 0
+    # without the declarations, what is confident must be right nearly always
+    silent = recs.withColumn("report_text", F.lit(""))
+    guessed = units.in_millimetres(silent).where("route in ('predicted', 'review')").join(declared, ["id", "pos"])
+    sure = guessed.where("route = 'predicted'")
+    assert guessed.where("route = 'review'").count() > 0 and sure.where("unit = declared").count() >= 0.85 * sure.count() > 0
+    seen = {r.unit: r for r in units.unit_accuracy(recs).collect()}
+    assert sum(r.sure_right for r in seen.values()) >= 0.85 * sum(r.sure for r in seen.values())
 
 
 def test_units_of_nothing(spark, table, nulls):
