@@ -7,8 +7,9 @@ import uuid
 
 from pyspark.sql import functions as F
 
+from reportlake import vocabulary
 from reportlake.functions import crypto, text
-from reportlake.operators import audit, clinical, corpus, documents, nested, store, units
+from reportlake.operators import audit, clinical, corpus, documents, nested, report, store, units
 from reportlake.oracle import ORACLE  # noqa: F401
 from reportlake.session import read
 from reportlake.sources import intake
@@ -100,42 +101,111 @@ def delta_summary(spark, sf_dir):
     return clinical.compare_with_prior(read(spark, sf_dir, "records")).groupBy("kind").agg(F.count(F.lit(1)).alias("n"))
 
 
+def _reports(spark, sf_dir):
+    """Newest version of every record, with the columns that reports are read from."""
+    return store.latest(read(spark, sf_dir, "records").select("id", "report_text", "patient", "referrer", "age_sex", "status", "study", "updated", "trail", "arrived"))
+
+
+def report_blocks(spark, sf_dir):
+    return report.block_rows(_reports(spark, sf_dir).where("report_text is not null")).select("id", "kind", "section", "text", "trailer")
+
+
+def report_fields(spark, sf_dir):
+    r = report.with_blocks(_reports(spark, sf_dir).where("report_text is not null"))
+    return r.select("id", report.fields(F.col("blocks")).alias("f")).select("id", "f.*")
+
+
+def report_drafts(spark, sf_dir):
+    return report.new_records(_reports(spark, sf_dir)).withColumn("triage_terms", F.array_join("triage_terms", ", "))
+
+
+def structured_reports(spark, sf_dir):
+    return report.structured(_reports(spark, sf_dir).where("report_text is not null"))
+
+
 def triage_levels(spark, sf_dir):
-    r = store.latest(read(spark, sf_dir, "records")).select("id", F.coalesce("report_text", F.lit("")).alias("report_text"))
-    return clinical.triage(r)
+    return clinical.triage(_reports(spark, sf_dir))
 
 
 def negation_polarity(spark, sf_dir):
-    return clinical.polarity(store.latest(read(spark, sf_dir, "records")).where("report_text is not null"))
+    return clinical.polarity(_reports(spark, sf_dir).where("report_text is not null"))
+
+
+def _halves(spark, sf_dir):
+    """Findings and impression of every report: the impression drafted from the findings."""
+    r = report.with_blocks(_reports(spark, sf_dir).where("report_text is not null"))
+    part = lambda names: F.array_join(report.texts_under(F.col("blocks"), names), "\n")
+    return r.select("id", part(vocabulary.FINDINGS).alias("findings"), part(vocabulary.IMPRESSION).alias("impression"))
+
+
+def draft_guard(spark, sf_dir):
+    return clinical.draft_guard(_halves(spark, sf_dir).where("findings <> '' "), "id", "findings", "impression")
+
+
+def draft_badges(spark, sf_dir):
+    return clinical.draft_badges(_halves(spark, sf_dir), "id", "findings", "impression")
 
 
 def quality_findings(spark, sf_dir):
-    return clinical.quality_findings(read(spark, sf_dir, "records"))
+    return clinical.validation(_reports(spark, sf_dir))
 
 
 def quality_histogram(spark, sf_dir):
-    return clinical.quality_findings(read(spark, sf_dir, "records")).groupBy("severity").agg(F.count(F.lit(1)).alias("n"))
+    return clinical.severity_counts(quality_findings(spark, sf_dir))
+
+
+def guideline_advice(spark, sf_dir):
+    return clinical.advice(_reports(spark, sf_dir).where("report_text is not null"))
 
 
 def impression_proposals(spark, sf_dir):
-    return clinical.impression_proposals(read(spark, sf_dir, "records"))
+    return clinical.impression_proposals(_reports(spark, sf_dir))
 
 
-def token_counts(spark, sf_dir):
-    return audit.bag(read(spark, sf_dir, "documents"), "doc_id", "text")
+def section_lines(spark, sf_dir):
+    s = documents.sectioned(_reports(spark, sf_dir))
+    return s.groupBy("section").agg(F.count(F.lit(1)).alias("lines"), F.countDistinct("id").alias("reports"))
+
+
+def anatomy_placed(spark, sf_dir):
+    return documents.anatomy(_reports(spark, sf_dir))
+
+
+def anatomy_counts(spark, sf_dir):
+    return documents.anatomy(_reports(spark, sf_dir)).groupBy("region", "organ").agg(F.count(F.lit(1)).alias("n"))
+
+
+def anatomy_paths(spark, sf_dir):
+    return documents.anatomy_paths(documents.anatomy(_reports(spark, sf_dir)))
+
+
+def deid_clean(spark, sf_dir):
+    r = _reports(spark, sf_dir).withColumn("names", F.array("patient", "referrer"))
+    return documents.deidentified(r, "id", "report_text", "names").select("id", F.md5("clean").alias("digest"), F.size("places").cast("bigint").alias("n"))
+
+
+def near_terms(spark, sf_dir):
+    w = read(spark, sf_dir, "ocr_results").dropDuplicates(["page_id"]).where("text is not null").select("page_id", F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"(?U)([\p{L}\p{N}@][\p{L}\p{N}@'-]*)"), 1)).alias("word"))
+    return documents.near_terms(w, read(spark, sf_dir, "corpus_terms"))
 
 
 def _text_pairs(spark, sf_dir):
-    d = read(spark, sf_dir, "documents").select("doc_id", "text")
-    return d, d.select((F.col("doc_id") - 1).alias("doc_id"), "text")
+    """Dictations and the reports made of them."""
+    t = read(spark, sf_dir, "transcriptions").where("text is not null").groupBy("transcript_id").agg(F.min(F.struct("text", "record_id")).alias("x"))
+    p = t.select("transcript_id", "x.text", F.col("x.record_id").alias("id")).join(_reports(spark, sf_dir).where("report_text is not null").select("id", "report_text"), "id")
+    return p.select("transcript_id", "text"), p.select("transcript_id", F.col("report_text").alias("text"))
 
 
 def bag_difference(spark, sf_dir):
-    return audit.bag_difference(*_text_pairs(spark, sf_dir), "doc_id", "text")
+    return audit.bag_difference(*_text_pairs(spark, sf_dir), "transcript_id", "text")
 
 
 def missing_numbers(spark, sf_dir):
-    return audit.missing_numbers(*_text_pairs(spark, sf_dir), "doc_id", "text")
+    return audit.missing_numbers(*_text_pairs(spark, sf_dir), "transcript_id", "text")
+
+
+def token_counts(spark, sf_dir):
+    return audit.bag(read(spark, sf_dir, "documents"), "doc_id", "text")
 
 
 def sentence_counts(spark, sf_dir):
@@ -265,49 +335,18 @@ def critical_impressions(spark, sf_dir):
     return s.groupBy("tenant").agg(F.count_if("i.is_critical").alias("critical"), F.count(F.lit(1)).alias("n"))
 
 
-def section_lines(spark, sf_dir):
-    s = documents.sectioned(store.latest(read(spark, sf_dir, "records")))
-    return s.groupBy("section").agg(F.count(F.lit(1)).alias("lines"), F.countDistinct("id").alias("reports"))
-
-
 def report_measurements(spark, sf_dir):
     return documents.measurements(store.latest(read(spark, sf_dir, "records")))
 
 
-def anatomy_counts(spark, sf_dir):
-    return documents.anatomy(store.latest(read(spark, sf_dir, "records"))).groupBy("region", "organ").agg(F.count(F.lit(1)).alias("n"))
-
-
 def term_reasons(spark, sf_dir):
     w = read(spark, sf_dir, "documents").where("text is not null").select(F.explode(F.array_distinct(text.tokens(F.col("text")))).alias("word"))
     return w.select(documents.term_reason(F.col("word")).alias("reason")).groupBy("reason").agg(F.count(F.lit(1)).alias("n"))
 
 
-def nodule_advice(spark, sf_dir):
-    s = store.latest(read(spark, sf_dir, "records")).where("report_text is not null").select(F.explode(text.sentences(F.col("report_text"), "b")).alias("s"))
-    mm = F.regexp_extract("s", r"(\d+(?:\.\d+)?) ?mm", 1).try_cast("double")
-    return s.select(documents.nodule_class(F.col("s"), mm).alias("advice")).where("advice is not null").groupBy("advice").agg(F.count(F.lit(1)).alias("n"))
-
-
-def deid_round_trip(spark, sf_dir):
-    r = store.latest(read(spark, sf_dir, "records")).where("report_text is not null").select("id", "report_text")
-    return documents.reidentified(documents.deidentified(r, "id", "report_text"), "id").select("id", F.md5("text").alias("digest"))
-
-
-def deid_counts(spark, sf_dir):
-    r = store.latest(read(spark, sf_dir, "records")).where("report_text is not null").select("id", "report_text")
-    p = documents.deidentified(r, "id", "report_text").select(F.explode("places").alias("p"))
-    return p.groupBy(F.regexp_extract("p.mark", r"\[(\w+)-", 1).alias("label")).agg(F.count(F.lit(1)).alias("n"))
-
-
-def near_terms(spark, sf_dir):
-    v = read(spark, sf_dir, "corpus_terms").select(F.trim("term").alias("term")).where(r"term rlike '^[a-z]{5,}$'")
-    w = read(spark, sf_dir, "ocr_results").where("text is not null").select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit("([a-z]{5,})"), 1)).alias("word"))
-    return documents.near_terms(w, v)
-
-
 _EXTRA = (
-    section_lines, report_measurements, anatomy_counts, term_reasons, nodule_advice, deid_round_trip, deid_counts, near_terms,
+    report_blocks, report_fields, report_drafts, structured_reports, draft_guard, draft_badges, guideline_advice, section_lines, report_measurements, anatomy_placed,
+    anatomy_counts, anatomy_paths, term_reasons, deid_clean, near_terms,
     latest_records, event_tail, commits_accepted, capped_history, imported_once, without_deleted, tenants, trail_transitions, urgency_counts, urgency_rollup,
     worklist, priors, measure_compare, delta_summary, triage_levels, negation_polarity, quality_findings, quality_histogram, impression_proposals, token_counts,
     bag_difference, missing_numbers, sentence_counts, sentence_contexts, patient_slugs, modalities, sound_keys, hl7_names, unit_style, bigrams, trigrams,

@@ -1,6 +1,7 @@
 import hashlib
 import hmac
 import json
+import random
 from pathlib import Path
 
 import pytest
@@ -207,9 +208,9 @@ def test_triage(spark):
 
 
 def test_polarity(spark):
-    said = [("a", "No effusion. Masses in the liver. Fracture was looked for and not found."), ("b", "No effusion. Small effusion on the left.")]
+    said = [("a", "No effusion. Masses in the liver. Fracture is not seen."), ("b", "No effusion. Small effusion on the left."), ("c", "No effusion but a large mass, no change in the cyst.")]
     got = {(r.id, r.term): r.negated for r in clinical.polarity(spark.createDataFrame(said, "id string, report_text string")).collect()}
-    assert got == {("a", "effusion"): True, ("a", "mass"): False, ("a", "fracture"): True, ("b", "effusion"): False}
+    assert got == {("a", "effusion"): True, ("a", "mass"): False, ("a", "fracture"): True, ("b", "effusion"): False, ("c", "effusion"): True, ("c", "mass"): False, ("c", "cyst"): False}
 
 
 def test_chunks_overlap(spark):
@@ -262,17 +263,28 @@ def test_measurements(spark):
 def test_deid_round_trip(spark):
     from reportlake.operators import documents
 
-    t = "MRN: H/123456 called 98765 43210 and a@b.example on 01/02/2024, again 98765 43210 (H/123456)."
-    d = documents.deidentified(spark.createDataFrame([(1, t), (2, ""), (3, None)], "k int, t string"), "k", "t")
+    t = "MRN: H/123456 of Mrs Sunita  Devi called 98765 43210 and a@b.example on 01/02/2024, again 98765 43210 (H/123456)."
+    schema = "k int, t string, names array<string>"
+    d = documents.deidentified(spark.createDataFrame([(1, t, ["Mrs. Sunita Devi", None, "Al"]), (2, "", None), (3, None, [])], schema), "k", "t", "names")
     clean = {r.k: r.clean for r in d.collect()}
-    assert clean == {1: "MRN: [ID-1] called [PHONE-1] and [EMAIL-1] on [DATE-1], again [PHONE-1] ([ID-1]).", 2: ""}
+    assert clean == {1: "MRN: [ID-1] of [NAME-1] called [PHONE-1] and [EMAIL-1] on [DATE-1], again [PHONE-1] (H/123456).", 2: ""}
     assert rows(documents.reidentified(d, "k")) == [(1, t), (2, "")]
 
 
 def test_near_terms(spark):
+    import difflib
+
     from reportlake.operators import documents
 
-    w = spark.createDataFrame([("cholelithisis",), ("hidronefrosis",), ("hydronephrosis",), ("table",), (None,)], "word string")
-    v = spark.createDataFrame([("Cholelithiasis",), ("hydronephrosis",), ("hydrocele",)], "term string")
-    assert [(x, y) for x, y, _ in rows(documents.near_terms(w, v))][0] == ("cholelithisis", "cholelithiasis")
-    assert "table" not in {r.word for r in documents.near_terms(w, v).collect()}
+    w = spark.createDataFrame([("cholelithisis",), ("hidronefrosis",), ("hydronephrosis",), ("table",), ("Portal  vien",), ("w@ll",), (None,), ("",)], "word string")
+    v = spark.createDataFrame([("Cholelithiasis",), ("hydronephrosis",), ("hydrocele",), ("portal vein",), ("wall",), ("ödem",), (None,)], "term string")
+    got = {r.word: (r.term, r.reason) for r in documents.near_terms(w, v).collect()}
+    assert got == {"cholelithisis": ("cholelithiasis", "spelling"), "hidronefrosis": ("hydronephrosis", "spelling"), "portal vien": ("portal vein", "spelling")}
+    # every pair above the ratio is reached
+    rng = random.Random(4)
+    words = sorted({"".join(rng.choice("abcde") for _ in range(rng.randint(3, 9))) for _ in range(120)})
+    terms = sorted({"".join(rng.choice("abcde") for _ in range(rng.randint(3, 9))) for _ in range(120)} - set(words))
+    one_column = lambda xs, c: spark.createDataFrame([(x,) for x in xs], f"{c} string")
+    found = {r.word: r.ratio for r in documents.near_terms(one_column(words, "word"), one_column(terms, "term")).where("reason = 'spelling'").collect()}
+    best = {x: max(difflib.SequenceMatcher(None, x, t).ratio() for t in terms) for x in words}
+    assert {x: round(r, 2) for x, r in best.items() if r >= documents.MIN_RATIO} == found and len(found) > 20
