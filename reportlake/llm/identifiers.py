@@ -4,13 +4,16 @@ One pass over the texts emits candidate instances (runs of uncommon words, long
 numbers, mail addresses, house-to-town spans) with the words to their left.  Spark
 then scores the bipartite graph of context patterns and instances: seeds score the
 patterns they occur in, good patterns score further instances, and so on for a few
-rounds.  Instances of numbers are their shapes, instances of names their spelling.
-What a confident pattern or shape marks is an identifier.
+rounds.  Instances of numbers, mail addresses and addresses are their shapes, instances
+of names their spelling.  Only some shapes are seeds; the others become identifiers by
+the patterns they share with them.  What a confident pattern or shape marks is an
+identifier.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect, insort
 from collections import Counter
 from collections.abc import Iterator
 
@@ -33,6 +36,8 @@ MIN_SUPPORT = 2
 MIN_COVER = 0.40
 #: Given names and short forms at most (a list of common knowledge).
 MAX_LIST = 50_000
+#: Digits from which a number can identify a person; shorter ones are numbers of things.
+MIN_DIGITS = 6
 #: Rows of scores that are broadcast at most.
 MAX_BROADCAST_ROWS = 100_000
 
@@ -42,10 +47,9 @@ DEGREES = "mbbs md ms dm mch dnb phd frcr".split()
 
 _POSTAL = r"(?:\d{6}|\d{3} \d{3}|[A-Z]{1,2}\d{1,2} \d[A-Z]{2})(?![\w-])"
 _HOUSE = r"(?:(?:Flat|Plot|House|Door|H\.|P\.\s?O\.)\s?(?:No\.|Box)?\s*)?"
-_ADDRESS = (
-    rf"(?<![\w/.-]){_HOUSE}\d[\w/-]*,? +[A-Z][A-Za-z0-9 ,.'-]{{2,80}}?{_POSTAL}"
-    r"|\b[A-Z]\w+(?:strasse|straße|gasse|weg|platz)\s+\d+\w?,\s*\d{5}\s+[A-Z][\w-]+"
-)
+# house to postal code, read in the stretch that ends with the code
+_ADDRESS = rf"(?<![\w/.-]){_HOUSE}\d[\w/-]*,? +[A-Z][A-Za-z0-9 ,.'-]{{2,}}?{_POSTAL}$"
+_STREET = r"\b[A-Z]\w+(?:strasse|straße|gasse|weg|platz)\s+\d+\w?,\s*\d{5}\s+[A-Z][\w-]+"
 _MAIL = (
     r"(?<![\w.+-])[\w.+-]+\s?(?:@|\(at\)|\[at\])\s?[\w-]+(?:(?:\.| \. )[\w-]+)+"
     r"|\b\w[\w+-]*(?: dot \w+)* at \w+(?: dot \w+)+"
@@ -55,10 +59,10 @@ _NUMBER = (
     r"|(?:\+\d{1,3}(?=[ -]\d)|\(?\d{3,14}\)?)(?:[ .-]\(?\d{2,6}\)?){0,4}(?:[-/][A-Z]\b)?)(?![\w@])"
 )
 _SPAN = {
-    "addr": re.compile(_ADDRESS),
     "mail": re.compile(_MAIL),
     "num": re.compile(_NUMBER),
 }
+_CODE, _TO_CODE, _STREETS = re.compile(_POSTAL), re.compile(_ADDRESS), re.compile(_STREET)
 _HAS_POSTAL = re.compile(r"\d{3}[\d ]\d\d|\d \d[A-Z]|\d, \d{5}")
 _NON_WORD = {c: " " for c in range(128) if not (chr(c).isalnum() or chr(c) in "'-_")}
 _WORD = re.compile(r"[^\W\d_](?:[\w'’-]*\w)?")
@@ -70,6 +74,10 @@ CANDIDATES = (
 # Number formats that are public knowledge, by which the search starts.
 PHONE_SEEDS = (r"\+9+([ -]9+)+", r"\(999\) 999-9999", r"999-999-9999", r"99999 999999")
 IDENTITY_SEEDS = (r"A{2}9{6,8}", r"9999-9999-9999", r"A{2}99/9{5}", r"A{2}-99-9{5}-A")
+MAIL_SEEDS = (r"mail w(?:\.w)*@w(?:\.w)+",)
+ADDRESS_SEEDS = (r"addr (?:Flat|Plot|Door) .*", r"addr P\.O\. .*")
+# Words that put another person behind the patient's own name.
+RELATED = r"\b(?:wife|husband|son|daughter|mother|father|care|child) of\b"
 
 
 _SHAPES = {c: "9" if chr(c).isdigit() else "A" if chr(c).isupper() else "a" for c in range(128) if chr(c).isalnum()}
@@ -79,30 +87,70 @@ def _shape(value: str) -> str:
     return value.translate(_SHAPES)
 
 
-def _spans(text: str) -> Iterator[tuple[str, re.Match]]:
+_SEED_SHAPES = tuple(
+    (re.compile(p), kind) for ps, kind in ((PHONE_SEEDS, "phone"), (IDENTITY_SEEDS, "identity"), (MAIL_SEEDS, "email"), (ADDRESS_SEEDS, "address")) for p in ps
+)
+
+
+def _form(kind: str, value: str) -> str:
+    """Shape of a candidate: characters of a number, separators of a mail address, house
+    word, numbers and words of an address."""
+    if kind == "num":
+        return _shape(value)
+    if kind == "mail":
+        return "mail " + re.sub(r"[\w+-]+", "w", value)
+    house = re.match(r"(?:Flat|Plot|House|Door|H\.|P\.\s?O\.)", value)
+    rest = value[house.end() :] if house else value
+    street = re.search(r"(?:strasse|straße|gasse|weg|platz)\s", rest)
+    return f"addr {house.group().replace(' ', '') if house else ''}{'street' if street and not house else ''} " + re.sub(r"(?:w ?)+", "w ", re.sub(r"[^\W\d_]+", "w", re.sub(r"\d+", "9", rest)))
+
+
+def _addresses(text: str) -> Iterator[tuple[int, int]]:
+    """Spans from a house to its postal code: each code is looked back from, up to the
+    code before it, so a text is passed once."""
+    begin = 0
+    for code in _CODE.finditer(text):
+        m = _TO_CODE.search(text[begin : code.end()])
+        if m:
+            yield begin + m.start(), code.end()
+            begin = code.end()
+    for m in _STREETS.finditer(text):
+        yield m.span()
+
+
+def _spans(text: str) -> Iterator[tuple[str, int, int]]:
     """Addresses, mail addresses and numbers, without overlaps; each pattern runs only
     where the text holds what it needs."""
     taken: list[tuple[int, int]] = []
-    kinds = ["addr"] if _HAS_POSTAL.search(text) else []
+    found = [("addr", s, e) for s, e in _addresses(text)] if _HAS_POSTAL.search(text) else []
     if "@" in text or "(at)" in text or "[at]" in text or " dot " in text:
-        kinds.append("mail")
-    for kind in (*kinds, "num"):
-        for m in _SPAN[kind].finditer(text):
-            s, e = m.span()
-            if e - s >= 6 and all(e <= a or s >= b for a, b in taken):
-                taken.append((s, e))
-                yield kind, m
+        found += [("mail", *m.span()) for m in _SPAN["mail"].finditer(text)]
+    found += [("num", *m.span()) for m in _SPAN["num"].finditer(text)]
+    for kind, s, e in found:
+        at = bisect(taken, (s, e))
+        free = (at == 0 or taken[at - 1][1] <= s) and (at == len(taken) or taken[at][0] >= e)
+        if e - s >= MIN_DIGITS and free:
+            insort(taken, (s, e))
+            yield kind, s, e
 
 
 _TITLE_SET = frozenset(TITLES)
 _DOCTOR = frozenset(("dr", "prof", "doctor", "professor"))
 _GLUED = re.compile(r"(?:dr|prof|mr|mrs)\.")
 _DIGIT = re.compile(r"\d")
+_BEHIND = re.compile(rf"\S*/\S*|[\d(]|{RELATED}", re.I)
 
 
 def _left(text: str, at: int) -> tuple[str, str, str]:
     """(two words before, one word before, title) left of a place in its sentence."""
-    words = text[max(0, at - 60) : at].rsplit("\n", 1)[-1].lower().split()
+    # the words of the line up to here, from a stretch that grows until it holds enough of them
+    line, size = text.rfind("\n", 0, at) + 1, 60
+    while True:
+        begin = max(line, at - size)
+        words = text[begin:at].lower().split()
+        if begin == line or len(words) > 5:
+            break
+        size *= 4
     title = ""
     while words:
         last = words[-1].strip(".")
@@ -162,7 +210,7 @@ def _names(text: str, common: frozenset, given: frozenset, skip: frozenset, own:
             continue
         run, comma = [i], False
         long = int(len(w) > 1)
-        while run[-1] + 1 < n and len(run) < 5:
+        while run[-1] + 1 < n:
             j = run[-1] + 1
             gap = text[words[run[-1]][2] : words[j][1]]
             if gap not in (" ", "  ", ". ", ".  ", ", ", ",  ", ".", "-"):
@@ -242,8 +290,7 @@ def texts_of(records: DataFrame, transcriptions: DataFrame) -> DataFrame:
     itself gives for patient and referrer.  Null keys and null or empty texts are left out."""
     own = F.concat_ws(" ", "patient", "referrer")
     report = records.select(F.lit("report_text").alias("place"), F.col("id").alias("key"), F.col("report_text").alias("text"), own.alias("own"))
-    # a patient field can hold more than the name only where it holds one of these
-    patient = records.where(r"patient rlike '[0-9/(]'").select(F.lit("patient").alias("place"), F.col("id").alias("key"), F.col("patient").alias("text"), F.lit("").alias("own"))
+    patient = records.select(F.lit("patient").alias("place"), F.col("id").alias("key"), F.col("patient").alias("text"), F.lit("").alias("own"))
     spoken = transcriptions.select(F.lit("transcript").alias("place"), F.col("transcript_id").cast("string").alias("key"), "text", F.lit("").alias("own"))
     return report.unionByName(patient).unionByName(spoken).where("key is not null and text <> ''")
 
@@ -262,31 +309,33 @@ def _finder(known):
     def find(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         words, first = known.value
         skip = frozenset(w for w in words if len(w) > 1 and w not in first) | frozenset([*TITLES, *DEGREES, *NUMBER_WORDS])
-        seeds = [(re.compile(p), kind) for ps, kind in ((PHONE_SEEDS, "phone"), (IDENTITY_SEEDS, "identity")) for p in ps]
         for b in batches:
             out = []
             for place, key, text, own in zip(b["place"], b["key"], b["text"], b["own"], strict=True):
+                own_end, spoken = 0, "~" * (place == "transcript")
+                if place == "patient":
+                    # the patient's own name ends where a relation, number or bracket begins
+                    cue = _BEHIND.search(text)
+                    if not cue:
+                        continue
+                    own_end = cue.end()
                 taken: list[tuple[int, int]] = []
-                for kind, m in _spans(text):
-                    value = m.group()
+                for kind, start, end in _spans(text):
+                    value = text[start:end]
                     if kind == "num":
                         value = value.rstrip("-. (")
                         if value[0] == "(" and (")" not in value or value[-1] == ")"):
                             value = value[1:].rstrip(")")
                         if "(" not in value:
                             value = value.rstrip(")")
-                        if sum(c.isdigit() for c in value) < 6:
+                        if sum(c.isdigit() for c in value) < MIN_DIGITS:
                             continue
-                    p2, p1, _ = _left(text, m.start())
-                    shape = _shape(value) if kind == "num" else kind
-                    seed = {"addr": "address", "mail": "email"}.get(kind) or next((k for p, k in seeds if p.fullmatch(shape)), "")
-                    taken.append(m.span())
+                    p2, p1, _ = _left(text, start)
+                    shape = _form(kind, value)
+                    seed = next((k for p, k in _SEED_SHAPES if p.fullmatch(shape)), "")
+                    taken.append((start, end))
                     out.append((place, key, kind, value, value, shape, p2, p1, seed))
                 own_words = frozenset(w.lower() for w in _WORD.findall(own) if len(w) > 3) - frozenset(TITLES)
-                own_end, spoken = 0, "~" * (place == "transcript")
-                if place == "patient":
-                    cue = re.search(r"\S*/\S*|[\d(]", text)
-                    own_end = cue.end() if cue else len(text)
                 for at, full, two, one, is_two, seed in _names(text, words, first, skip, own_words, taken):
                     p2, p1, title = _left(text, at)
                     if at < own_end:
@@ -303,10 +352,11 @@ def candidates(texts: DataFrame, common: list[str], given: list[str]) -> DataFra
     return texts.mapInPandas(_finder(known), CANDIDATES)
 
 
-def score_numbers(found: DataFrame, rounds: int = ROUNDS) -> DataFrame:
-    """``shape, kind, cover``: shapes of numbers that confident patterns mark."""
+def score_shapes(found: DataFrame, rounds: int = ROUNDS) -> DataFrame:
+    """``shape, kind, cover``: shapes of numbers, mail addresses and addresses that
+    confident patterns mark."""
     edges = cut(
-        found.where("type = 'num'").select("shape", "seed", F.explode(F.array(F.concat(F.lit("2:"), "p2"), F.concat(F.lit("1:"), "p1"))).alias("pattern"))
+        found.where("type <> 'name'").select("shape", "seed", F.explode(F.array(F.concat(F.lit("2:"), "p2"), F.concat(F.lit("1:"), "p1"))).alias("pattern"))
         .groupBy("shape", "pattern").agg(F.count(F.lit(1)).alias("n"), F.max("seed").alias("seed"))
     )
     labels = edges.where("seed <> ''").groupBy("shape").agg(F.max("seed").alias("kind")).withColumn("cover", F.lit(1.0))
@@ -342,12 +392,12 @@ def score_names(found: DataFrame, rounds: int = ROUNDS) -> DataFrame:
         else:
             lifted = (
                 edges.join(patterns.select("pattern", "share"), "pattern", "left").groupBy("instance")
-                .agg((F.sum(F.coalesce("share", F.lit(0.0)) * F.col("n")) / F.sum("n")).alias("lift"))
+                .agg(F.round(F.sum(F.coalesce("share", F.lit(0.0)) * F.col("n")) / F.sum("n"), 6).alias("lift"))
             )
             scored = edges.join(lifted, "instance", "left").withColumn("s", F.greatest("known", F.coalesce("lift", F.lit(0.0))))
         patterns = cut(
             scored.groupBy("pattern").agg(
-                (F.sum(F.col("s") * F.col("n")) / F.sum("n")).alias("share"), F.sum("n").alias("n"),
+                F.round(F.sum(F.col("s") * F.col("n")) / F.sum("n"), 6).alias("share"), F.sum("n").alias("n"),
                 (F.sum(F.col("two") * F.col("n")) / F.sum("n")).alias("two"),
             ).where((F.col("n") >= MIN_SUPPORT) & (F.col("share") > 0))
         )
@@ -372,9 +422,8 @@ def identifiers(records: DataFrame, transcriptions: DataFrame, aliases: DataFram
         | set(_list_of(F.regexp_extract("full_name", r"^(?:Dr\.?\s+)?(\p{L}+)", 1), directory))
     )
     found = cut(candidates(texts, common_words(texts.where("place <> 'patient'"), given), given))
-    shapes, patterns = _small(score_numbers(found)), score_names(found)
-    numbers = found.where("type = 'num'").join(shapes, "shape").select("place", "key", "kind", "value")
-    spans = found.where("type in ('addr', 'mail')").select("place", "key", F.col("seed").alias("kind"), "value")
+    shapes, patterns = _small(score_shapes(found)), score_names(found)
+    shaped = found.where("type <> 'name'").join(shapes, "shape").select("place", "key", "kind", "value")
     # a pattern of two words that is known to hold no names must still keep the one-word pattern out
     side = lambda level: _small(patterns.where(F.col("pattern").startswith(f"{level}:") & ((F.col("n") >= 3) | (F.col("share") >= MIN_NAME_SHARE)))).select(
         F.substring("pattern", 3, 10_000).alias(f"p{level}"), F.col("share").alias(f"share{level}"), F.col("n").alias(f"n{level}"), F.col("two").alias(f"two{level}")
@@ -389,7 +438,7 @@ def identifiers(records: DataFrame, transcriptions: DataFrame, aliases: DataFram
             F.when((F.col("place") == "transcript") & (F.col("shape") == "1") & (F.col("two") < 0.6), F.col("short")).otherwise(F.col("value")).alias("value"),
         )
     )
-    return numbers.unionByName(spans).unionByName(names).distinct()
+    return shaped.unionByName(names).distinct()
 
 
 def redacted(records: DataFrame, transcriptions: DataFrame, aliases: DataFrame, directory: DataFrame) -> DataFrame:

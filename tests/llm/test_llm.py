@@ -99,6 +99,22 @@ def test_identifiers_edges(spark, table, nulls):
     assert identifiers.identifiers(nulls("records"), nulls("transcriptions"), nulls("name_aliases"), nulls("referrers")).count() == 0
 
 
+def test_identifier_spans():
+    street = "Flat 9B, " + "Old Lane, " * 40 + "Zorimholm - 098970"
+    far = "seen. " * 400
+    got = [(k, f"{street} and 7 Hill Road, Zor 123456; mail a.b@x.example"[s:e]) for k, s, e in identifiers._spans(f"{street} and 7 Hill Road, Zor 123456; mail a.b@x.example")]
+    assert got == [("addr", street), ("addr", "7 Hill Road, Zor 123456"), ("mail", "a.b@x.example")]
+    assert identifiers._left("x " + "y" * 500 + " lives at 12", 511) == ("lives at", "at", "")
+    assert identifiers._left(far + "copy to ", len(far) + 8)[0] == "copy to"
+
+
+def test_identifiers_are_repeatable(spark, table):
+    tables = [table(t) for t in ("records", "transcriptions", "name_aliases", "referrers")]
+    assert rows(identifiers.identifiers(*tables)) == rows(identifiers.identifiers(*(t.repartition(7) for t in tables)))
+    every = table("records").where("id is not null and patient <> ''").select("id", "patient").distinct().count()
+    assert identifiers.redacted(*tables).where("place = 'patient'").count() == every
+
+
 def test_identifiers_found(spark, table):
     schema = table("records").schema
     recs = []
