@@ -2,22 +2,24 @@
 
 Misread characters are undone by folding: every glyph is written as the strokes it
 is confused with (``h`` and ``u`` as ``ll``, ``d`` as ``cl``, ``m`` as ``rn`` and so
-on), so that a word and its misreadings have one fold.  Rare words are linked to the
-frequent words of the same fold; skip-gram vectors learned on the pages decide where
-a fold holds several, and keep words apart that stand in different contexts.  Words
-split in two and words broken over a line end are found by the fold of both parts.
-Furniture lines are those whose fold keeps to the edges of pages.
+on), so that a word and its misreadings have one fold.  Skip-gram vectors are learned
+on all pages: of each word that may be misread or right, the words around it with their
+counts, weighted by association.  Rare words are linked to frequent words of the same
+fold that stand in like contexts, and every occurrence is corrected to the candidate
+that its own neighbours speak for.  Words split in two and words broken over a line end
+are found by the fold of both parts.  Furniture lines are those whose fold keeps to the
+edges of pages.
+
+The vectors are counts, not a network: they are summed by Spark, hold for rare words as
+well as for frequent ones, and nothing of the vocabulary comes to the driver.
 """
 
 from __future__ import annotations
 
-import math
 import re
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.ml.feature import Word2Vec
-from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -37,15 +39,18 @@ MIN_EDGE_SCAN = 2
 RATIO_LONG, RATIO_SHORT = 2.5, 8.0
 LONG_WORD = 6
 MIN_TARGET = 3
-#: Below this ratio, words known to the vectors must also stand in like contexts.
+#: Below this ratio, words must also stand in like contexts.
 SURE_RATIO = 40.0
-MIN_SIMILAR = 0.25
-VECTOR_SIZE = 24
-#: Words get a vector from this many occurrences and this part of all words on, so at
-#: most 1 / MIN_VECTOR_SHARE vectors come to the driver.
-MIN_VECTOR_COUNT = 5
-MIN_VECTOR_SHARE = 5e-7
-SEED = 3
+MIN_FIT = 0.12
+#: Times that two words may stand together beyond chance; more count alike, so that a
+#: single rare neighbour does not outweigh all others.
+MOST_LIFT = 20.0
+#: Words to each side that make a context.
+SPAN = 3
+#: Confidence of a page (percent) that leaves the ratio as it is; pages read worse need
+#: less, pages read better need more, within these bounds.
+USUAL_CONFIDENCE = 80.0
+CONFIDENCE_BOUNDS = (0.75, 1.25)
 
 
 def fold(text: Column) -> Column:
@@ -61,23 +66,24 @@ def words(text: Column) -> Column:
 
 
 def page_lines(pages: DataFrame) -> DataFrame:
-    """``page_id, scan_id, page_no, line_no, line, edge`` of every line.
+    """``page_id, scan_id, page_no, confidence, line_no, line, edge`` of every line;
+    confidence is null where the engine gives none (null, 0 or below).
 
     A repeated page_id counts once; null or empty texts and null ids give no lines.
     Lines are told apart by line feed; a carriage return before it is dropped."""
     one = (
         pages.where("page_id is not null and text is not null and text <> ''")
         .groupBy("page_id")
-        .agg(F.min(F.struct("scan_id", "page_no", "text")).alias("p"))
-        .select("page_id", "p.scan_id", "p.page_no", F.split(F.replace("p.text", F.lit("\r\n"), F.lit("\n")), "\n").alias("lines"))
+        .agg(F.min(F.struct("scan_id", "page_no", "text", "confidence")).alias("p"))
+        .select("page_id", "p.scan_id", "p.page_no", F.when(F.col("p.confidence") > 0, F.col("p.confidence")).alias("confidence"), F.split(F.replace("p.text", F.lit("\r\n"), F.lit("\n")), "\n").alias("lines"))
     )
     full = F.filter(F.transform("lines", lambda x, i: F.when(F.trim(x) != "", i)), lambda i: i.isNotNull())
     edges = F.concat(F.slice("full", 1, EDGE_LINES), F.slice("full", F.greatest(F.size("full") - EDGE_LINES + 1, F.lit(1)), EDGE_LINES))
     return (
         one.withColumn("full", full)
         .withColumn("edges", edges)
-        .select("page_id", "scan_id", "page_no", "edges", F.posexplode("lines").alias("line_no", "line"))
-        .select("page_id", "scan_id", "page_no", "line_no", "line", F.array_contains("edges", F.col("line_no")).alias("edge"))
+        .select("page_id", "scan_id", "page_no", "confidence", "edges", F.posexplode("lines").alias("line_no", "line"))
+        .select("page_id", "scan_id", "page_no", "confidence", "line_no", "line", F.array_contains("edges", F.col("line_no")).alias("edge"))
     )
 
 
@@ -99,6 +105,7 @@ def classified(lines: DataFrame) -> DataFrame:
         F.count(F.lit(1)).alias("n"), F.count_if("edge").alias("at_edge"), F.countDistinct("page_id").alias("pages"),
         F.count_if(F.col("line").rlike(r"^\s*[\p{Lu}\d]")).alias("headed"),
     )
+    counted = cut(counted)
     overall = counted.groupBy("shape").agg(F.sum("n").alias("all_n"), F.sum("at_edge").alias("all_edge"))
     kept = counted.join(overall, "shape").where(
         (F.col("all_edge") >= EDGE_SHARE * F.col("all_n"))
@@ -140,7 +147,7 @@ def in_order(lines: DataFrame) -> DataFrame:
         {"ahead": F.coalesce("next_here", "next_page"), "behind": F.coalesce("last_here", "last_page")}
     )
     return every.select(
-        "page_id", "scan_id", "page_no", "line_no", "line", "ahead",
+        "page_id", "scan_id", "page_no", "confidence", "line_no", "line", "ahead",
         (ends(F.col("line")) & F.col("ahead").isNotNull()).alias("broken"),
         F.coalesce(ends(F.col("behind")), F.lit(False)).alias("carried"),
     )
@@ -160,53 +167,89 @@ _BAD_NUMBER = (
 )
 
 
-def skip_gram(lined: DataFrame) -> DataFrame:
-    """``word, vec`` of all frequent words, learned on all lines; no rows where no word
-    is frequent enough."""
-    seen = lined.where("size(toks) > 2").select(F.explode("toks").alias("w")).groupBy("w").count()
-    most = seen.agg(F.sum("count").alias("all"), F.max("count").alias("top")).first()
-    least = max(MIN_VECTOR_COUNT, math.ceil(MIN_VECTOR_SHARE * (most["all"] or 0)))
-    if (most["top"] or 0) < least:
-        return lined.sparkSession.createDataFrame([], "word string, vec array<double>")
-    parts = max(2, lined.sparkSession.sparkContext.defaultParallelism)
-    model = Word2Vec(
-        vectorSize=VECTOR_SIZE, minCount=least, windowSize=3, maxIter=1, numPartitions=parts, seed=SEED, inputCol="toks", outputCol="v"
-    ).fit(lined.where("size(toks) > 2").select("toks"))
-    return model.getVectors().select("word", vector_to_array("vector").alias("vec"))
+_BAD_NUMBER_PY = _BAD_NUMBER.replace(r"[\p{L}\p{N}@-]", r"[\w@-]").replace(r"[\p{L}\p{N}]", r"[^\W_]")
 
 
-def misreadings(counts: DataFrame, vectors: DataFrame) -> DataFrame:
-    """``word, right``: links from rare words to frequent ones of the same fold.
+def contexts(lined: DataFrame, words: DataFrame) -> DataFrame:
+    """``page_id, line_no, pos, word, near``: each occurrence of the given words with the
+    words up to ``SPAN`` before (``-word``) and behind it (``+word``) in its line."""
+    placed = lined.where("size(toks) > 1").select("page_id", "line_no", "toks", F.posexplode("toks").alias("pos", "word"))
+    before = F.transform(F.slice("toks", F.greatest(F.col("pos") - SPAN + 1, F.lit(1)), F.least("pos", F.lit(SPAN))), lambda w: F.concat(F.lit("-"), w))
+    behind = F.transform(F.slice("toks", F.col("pos") + 2, F.lit(SPAN)), lambda w: F.concat(F.lit("+"), w))
+    around = placed.select("page_id", "line_no", "pos", "word", F.array_distinct(F.concat(before, behind)).alias("near"))
+    return around.join(words.select("word").distinct(), "word", "left_semi").withColumn("near", F.explode("near"))
 
-    ``counts``: word, n.  A word qualifies by its number of occurrences against those
-    of the frequent word, or by a sign that no word has (``@``, or a digit between
-    letters).  Of several frequent words the nearest by edits, then by context, is taken."""
+
+def skip_gram(lined: DataFrame, words: DataFrame, counts: DataFrame) -> DataFrame:
+    """``word, near, a``: sparse skip-gram vectors of the given words, the association of
+    each with the words around it: log(1 + lift), where lift is n * all / (n of word * n
+    of near), ``MOST_LIFT`` at most.
+
+    Counted over all pages; pairs are summed on the map side before they are shuffled."""
+    total = counts.agg(F.coalesce(F.sum("n"), F.lit(1)).alias("n")).scalar()
+    pairs = contexts(lined, words).groupBy("word", "near").agg(F.count(F.lit(1)).alias("c"))
+    known = counts.select("word", F.col("n").alias("wn"))
+    about = counts.select(F.col("word").alias("bare"), F.col("n").alias("nn"))
+    return (
+        pairs.withColumn("bare", F.expr("substring(near, 2)")).join(known, "word").join(about, "bare")
+        .select("word", "near", F.log1p(F.least(F.lit(MOST_LIFT), F.col("c") * total / (F.col("wn") * F.col("nn")))).alias("a"))
+    )
+
+
+def candidates(counts: DataFrame) -> DataFrame:
+    """``word, right, edits, ratio, odd, pure``: rare words with the more frequent words of
+    their fold.
+
+    ``odd`` says that the word has a sign that no word has (``@``, or a digit between
+    letters).  ``counts``: word, n, confidence."""
     every = counts.withColumns({"f": fold(F.col("word")), "pure": F.col("word").rlike(r"^\p{L}+$")})
     right = every.where((F.col("pure")) & (F.col("n") >= MIN_TARGET)).select("f", F.col("word").alias("right"), F.col("n").alias("m"))
-    rare = every.where(F.col("word").rlike(r"[\p{L}@]")).select("f", "word", "n", "pure")
-    unit = lambda v: F.sqrt(F.aggregate(v, F.lit(0.0), lambda a, x: a + x * x))
-    dot = F.aggregate(F.zip_with("va", "vb", lambda x, y: x * y), F.lit(0.0), lambda a, x: a + x)
-    pairs = (
-        rare.join(right, "f").where("word <> right and m > n")
-        .join(vectors.select(F.col("word"), F.col("vec").alias("va")), "word", "left")
-        .join(vectors.select(F.col("word").alias("right"), F.col("vec").alias("vb")), "right", "left")
-        .withColumn("similar", F.when(F.col("va").isNotNull() & F.col("vb").isNotNull(), dot / (unit(F.col("va")) * unit(F.col("vb")))))
-        .withColumn("ratio", F.col("m") / F.col("n"))
-    )
-    needed = F.when(F.length("right") >= LONG_WORD, RATIO_LONG).otherwise(RATIO_SHORT)
+    rare = every.where(F.col("word").rlike(r"[\p{L}@]")).select("f", "word", "n", "pure", "confidence")
     odd = ~F.col("pure") & F.col("word").rlike(r"@|^\p{L}+[0-9]\p{L}*$|^[0-9]\p{L}{2,}$|\p{L}[0-9]\p{L}")
     few = F.length("word") <= 3
-    odd = odd & (~few | ((F.levenshtein("word", "right") <= 1) & (F.col("ratio") >= RATIO_SHORT)))
-    fits = odd | ((F.col("ratio") >= needed) & ((F.col("ratio") >= SURE_RATIO) | F.col("similar").isNull() | (F.col("similar") >= MIN_SIMILAR)) & F.col("pure"))
-    best = pairs.where(fits).groupBy("word").agg(
-        F.max(F.struct((-F.levenshtein("word", "right")).alias("e"), F.coalesce("similar", F.lit(0.0)).alias("s"), "m", "right")).alias("b")
+    edits, ratio = F.levenshtein("word", "right"), F.col("m") / F.col("n")
+    return rare.join(right, "f").where("word <> right and m > n").select(
+        "word", "right", "m", edits.alias("edits"), ratio.alias("ratio"), "pure", (odd & (~few | ((edits <= 1) & (ratio >= RATIO_SHORT)))).alias("odd"), "confidence"
     )
-    return best.select("word", F.col("b.right").alias("right"))
+
+
+def misreadings(pairs: DataFrame, vectors: DataFrame) -> DataFrame:
+    """``word, right, edits, m, fit``: the candidates that hold.
+
+    ``fit`` is the part of the rare word's associations that the right word has, too.  A
+    word without odd signs needs a ratio of counts (less on pages of low confidence, more
+    on those of high confidence) and, unless that is overwhelming, a ``fit``."""
+    own = vectors.groupBy("word").agg(F.sum("a").alias("all"))
+    va, vb = vectors.select("word", "near", "a"), vectors.select(F.col("word").alias("right"), "near")
+    shared = pairs.select("word", "right").join(va, "word").join(vb, ["right", "near"]).groupBy("word", "right").agg(F.sum("a").alias("shared"))
+    fitted = pairs.join(shared, ["word", "right"], "left").join(own, "word", "left").withColumn("fit", F.coalesce(F.col("shared") / F.col("all"), F.lit(0.0)))
+    trust = F.greatest(F.lit(CONFIDENCE_BOUNDS[0]), F.least(F.lit(CONFIDENCE_BOUNDS[1]), F.coalesce(F.col("confidence") / USUAL_CONFIDENCE, F.lit(1.0))))
+    needed = F.when(F.length("right") >= LONG_WORD, RATIO_LONG).otherwise(RATIO_SHORT) * trust
+    plain = F.col("pure") & (F.col("ratio") >= needed) & ((F.col("ratio") >= SURE_RATIO) | (F.col("fit") >= MIN_FIT))
+    return fitted.where(F.col("odd") | plain).select("word", "right", "edits", "m", "fit")
+
+
+def corrected(lined: DataFrame, links: DataFrame, vectors: DataFrame) -> DataFrame:
+    """``page_id, line_no, wrong, right``: every occurrence of a misread word with the
+    candidate it is corrected to.
+
+    Fewest edits come first; among those, the word whose vector holds most of the
+    neighbours of this very occurrence, then the most frequent one."""
+    least = links.groupBy("word").agg(F.min("edits").alias("edits"))
+    closest = links.join(least, ["word", "edits"])
+    where_ = lined.where("size(toks) > 0").select("page_id", "line_no", F.posexplode("toks").alias("pos", "word")).join(closest.select("word", "right", "m"), "word")
+    speaks = (
+        contexts(lined, closest).join(closest.select("word", "right"), "word").join(vectors.select(F.col("word").alias("right"), "near", "a"), ["right", "near"])
+        .groupBy("page_id", "line_no", "pos", "right").agg(F.sum("a").alias("said"))
+    )
+    judged = where_.join(speaks, ["page_id", "line_no", "pos", "right"], "left")
+    best = F.max_by("right", F.struct(F.round(F.coalesce("said", F.lit(0.0)), 6), "m", "right"))
+    return judged.groupBy("page_id", "line_no", "pos", F.col("word").alias("wrong")).agg(best.alias("right")).select("page_id", "line_no", "wrong", "right").distinct()
 
 
 def _by_fold(counts: DataFrame, links: DataFrame) -> DataFrame:
     """``f, right, m``: the most frequent right word of each fold."""
-    ok = counts.join(links, "word", "left_anti").where(F.col("word").rlike(r"^\p{L}+$") & (F.col("n") >= MIN_TARGET))
+    ok = counts.join(links.select("word").distinct(), "word", "left_anti").where(F.col("word").rlike(r"^\p{L}+$") & (F.col("n") >= MIN_TARGET))
     return ok.withColumn("f", fold(F.col("word"))).groupBy("f").agg(F.max(F.struct("n", "word")).alias("b")).select("f", F.col("b.word").alias("right"), F.col("b.n").alias("m"))
 
 
@@ -230,18 +273,19 @@ def repairs(pages: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFram
     second, right, soft`` where soft says that the parts are one word without hyphen."""
     lines = cut(classified(page_lines(pages)))
     lined = cut(tokens(in_order(lines)))
-    counts = cut(lined.select(F.explode("toks").alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n")))
-    links = cut(misreadings(counts, skip_gram(lined)))
+    counts = cut(lined.select("confidence", F.explode("toks").alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n"), F.avg("confidence").alias("confidence")))
+    pairs = cut(candidates(counts))
+    named = pairs.select("word").unionByName(pairs.select(F.col("right").alias("word")))
+    vectors = cut(skip_gram(lined, named, counts))
+    links = cut(misreadings(pairs, vectors))
     best = cut(_by_fold(counts, links))
-    single = lined.select("page_id", "line_no", F.explode("toks").alias("word")).join(links, "word").select(
-        "page_id", "line_no", F.col("word").alias("wrong"), "right"
-    )
+    single = corrected(lined, links, vectors)
     cuts = splits(lined, best)
-    pairs = lined.where("size(toks) > 1").select(
+    twos = lined.where("size(toks) > 1").select(
         "page_id", "line_no",
         F.explode(F.transform(F.sequence(F.lit(0), F.size("toks") - 2), lambda i: F.struct(F.get("toks", i).alias("a"), F.get("toks", i + 1).alias("b")))).alias("p"),
     ).select("page_id", "line_no", "p.a", "p.b")
-    double = pairs.join(cuts, ["a", "b"]).select("page_id", "line_no", F.concat_ws(" ", "a", "b").alias("wrong"), "right")
+    double = twos.join(cuts, ["a", "b"]).select("page_id", "line_no", F.concat_ws(" ", "a", "b").alias("wrong"), "right")
     # compounds that keep their hyphen inside a line
     compounds = (
         lined.select(F.explode(F.regexp_extract_all(F.lower("line"), F.lit(r"(?=(?<![\p{L}\p{N}@])([\p{L}\p{N}@]+-[\p{L}\p{N}@]+))[\p{L}\p{N}@]+"), 1)).alias("c"))
@@ -292,7 +336,7 @@ def found(pages: DataFrame) -> DataFrame:
     # a misread part of a broken word lies in the line of that part
     wrong = soft.where(F.concat("first", "second") != F.col("right"))
     at = lambda df: df.select("page_id", "line_no")
-    known = lambda c: links.select(F.col("word").alias(c))
+    known = lambda c: links.select(F.col("word").alias(c)).distinct()
     first_bad = at(wrong.where("not startswith(right, first)")).unionByName(at(kept.join(known("first"), "first", "left_semi")))
     second_bad = at(wrong.where("not endswith(right, second)")).unionByName(at(kept.join(known("second"), "second", "left_semi")))
     numbers = at(lines.where((F.col("kind") == "text") & F.col("line").rlike(_BAD_NUMBER)))
@@ -303,6 +347,14 @@ def found(pages: DataFrame) -> DataFrame:
     )
 
 
+_NUMBER_GLYPHS = str.maketrans("lIOoS", "11005")
+
+
+def number_repaired(line: str) -> str:
+    """Letters that stand for digits inside a number, as digits."""
+    return re.sub(_BAD_NUMBER_PY, lambda m: m.group().translate(_NUMBER_GLYPHS), line)
+
+
 def _in_case(wrong: str, right: str) -> str:
     return right.upper() if wrong.isupper() and len(wrong) > 1 else right.capitalize() if wrong[:1].isupper() else right
 
@@ -341,6 +393,7 @@ def paragraphs(pages: DataFrame) -> DataFrame:
                     for f in x["fixes"] if x["fixes"] is not None else ():
                         pattern = r"(?<![\w@])" + r"\s+".join(map(re.escape, f["wrong"].split())) + r"(?![\w@])"
                         line = re.sub(pattern, lambda m, r=f["right"]: _in_case(m.group(), r), line, flags=re.I)
+                    line = number_repaired(line)
                     j = x["join"]
                     if drop and line.lower().startswith(drop):
                         line = line[len(drop) :]

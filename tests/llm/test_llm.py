@@ -70,6 +70,23 @@ def test_scans_paragraphs(spark, table):
     assert "Archive" not in text["s1"] and " sion " not in text["s1"]
 
 
+def test_scans_correct_in_context(spark, table):
+    """One misreading of two words, told apart by the neighbours of each occurrence."""
+    rng, pages = random.Random(9), []
+    for n in range(30):
+        lines = [f"the lower harn lies behind {rng.choice(['here', 'there'])} today", f"we barn old wood slowly {rng.choice(['now', 'then'])} again"] * 3
+        edge = lambda: ["".join(rng.choice("bdfgkpz") + rng.choice("aeo") for _ in range(6)) + " edge" for _ in range(3)]
+        lines = [*edge(), *lines, *edge()]
+        pages.append({"page_id": n, "scan_id": "s", "page_no": n + 1, "text": "\n".join(lines)})
+    pages.append({"page_id": 50, "scan_id": "t", "page_no": 1, "confidence": 60.0, "text": "one\ntwo\nthree\nthe lower liarn lies behind here today\nfour\nfive\nsix\nsize 8.0 x 4.l cm or 62.S mm seen"})
+    text = " ".join(r.text for r in scans.paragraphs(page(table, spark, *pages)).where("scan_id = 't'").collect())
+    assert "lower harn lies" in text and "8.0 x 4.1 cm or 62.5 mm" in text
+    links = spark.createDataFrame([("x", "one", 1, 5, 0.5), ("x", "two", 1, 9, 0.5)], "word string, right string, edits int, m bigint, fit double")
+    lined = spark.createDataFrame([(1, 0, ["a", "x", "b"]), (1, 1, ["c", "x", "d"]), (1, 2, ["e", "x"])], "page_id bigint, line_no int, toks array<string>")
+    vectors = spark.createDataFrame([("one", "-a", 2.0), ("two", "+d", 1.0), ("one", "+d", 0.5)], "word string, near string, a double")
+    assert rows(scans.corrected(lined, links, vectors)) == [(1, 0, "x", "one"), (1, 1, "x", "two"), (1, 2, "x", "two")]
+
+
 def test_scans_of_nothing(spark, table, nulls):
     assert scans.page_lines(table("ocr_results").limit(0)).count() == 0
     assert scans.page_lines(nulls("ocr_results")).count() == 0
