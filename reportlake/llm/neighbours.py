@@ -4,9 +4,10 @@ Vectors are brought to unit length, and equal ones become one node.  A forest of
 random projection buckets gives each node its first neighbours; then, round by
 round, every node brings its neighbours and those it is a neighbour of together,
 and pairs among them that are closer than what either has replace it.  A round
-ships each vector to its 2k or so neighbourhoods; neighbourhoods and buckets beyond
-``BLOCK`` members are cut at random into blocks, so no task holds more than one
-block at a time.
+ships each vector to its 2k or so neighbourhoods, in one byte a component; what is close
+in the end is measured again with the whole vectors.  Neighbourhoods and buckets beyond
+``BLOCK`` members are cut into blocks, anew in every round, so no task holds more than
+one block at a time and members of a hub meet others each round.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from reportlake.session import cut
+from reportlake.session import cut, release
 
 #: Neighbours kept for each node while the graph is built.
 GRAPH_K = 20
@@ -30,10 +31,10 @@ BLOCK = 512
 ROUNDS = 5
 #: Rounds end when fewer than this part of all neighbours is new.
 SETTLED = 0.02
-#: Neighbours that a member may gain from one block.
-GAIN = 10
-#: Rows the projections are centred on, at most.
-CENTRE_SAMPLE = 4_000
+#: Rows the projections are centred on, at most, over all spaces.
+CENTRE_SAMPLE = 16_000
+#: What the similarity of one-byte vectors may be off by.
+CODE_ERROR = 0.02
 #: Spaces (table, embedder, length) that may occur.
 MAX_SPACES = 1_000
 SEED = 5
@@ -42,7 +43,8 @@ NODE = "space int, node bigint"
 
 
 def unit_vectors(rows: DataFrame) -> DataFrame:
-    """``space_key, id, cls, vec``: unit vector as float32 bytes and its digest.
+    """``space_key, id, cls, vec, code, step``: unit vector as float32 bytes, its digest,
+    and its components in one byte each, as multiples of ``step``.
 
     ``rows``: src, id, embedder, vector.  Null, all-zero vectors and such with null or
     infinite parts take no part; a repeated id counts once (its first row by digest)."""
@@ -56,12 +58,14 @@ def unit_vectors(rows: DataFrame) -> DataFrame:
                 if not np.isfinite(size) or size == 0:
                     continue
                 u = (x / size).round(7).astype(np.float32) + np.float32(0)
-                out.append((f"{src}|{e}|{len(u)}", i, hashlib.blake2b(u.tobytes(), digest_size=16).digest(), u.tobytes()))
-            yield pd.DataFrame(out, columns=["space_key", "id", "cls", "vec"])
+                step = float(np.abs(u).max()) / 127
+                code = np.rint(u / step).astype(np.int8).tobytes()
+                out.append((f"{src}|{e}|{len(u)}", i, hashlib.blake2b(u.tobytes(), digest_size=16).digest(), u.tobytes(), code, step))
+            yield pd.DataFrame(out, columns=["space_key", "id", "cls", "vec", "code", "step"])
 
     src = rows.where("id is not null and vector is not null and size(vector) > 0").select("src", "id", "embedder", "vector")
-    got = src.mapInPandas(norm, "space_key string, id bigint, cls binary, vec binary")
-    return got.groupBy("space_key", "id").agg(F.min(F.struct("cls", "vec")).alias("x")).select("space_key", "id", "x.cls", "x.vec")
+    got = src.mapInPandas(norm, "space_key string, id bigint, cls binary, vec binary, code binary, step float")
+    return got.groupBy("space_key", "id").agg(F.min(F.struct("cls", "vec", "code", "step")).alias("x")).select("space_key", "id", "x.*")
 
 
 def _numbered(rows: DataFrame) -> tuple[DataFrame, dict[int, tuple[str, int]]]:
@@ -76,24 +80,28 @@ def _numbered(rows: DataFrame) -> tuple[DataFrame, dict[int, tuple[str, int]]]:
 
 
 def classes(rows: DataFrame) -> tuple[DataFrame, DataFrame, dict[int, tuple[str, int]]]:
-    """(nodes ``space, node, vec``; members ``space, node, id``; spaces).
+    """(nodes ``space, node, vec, code, step``; members ``space, node, id``; spaces).
 
     A node is named by the smallest id with its vector."""
     units, spaces = _numbered(cut(unit_vectors(rows)))
     units = cut(units)
-    nodes = units.groupBy("space", "cls").agg(F.min("id").alias("node"), F.first("vec").alias("vec"))
+    nodes = units.groupBy("space", "cls").agg(F.min("id").alias("node"), *(F.first(c).alias(c) for c in ("vec", "code", "step")))
     nodes = cut(nodes)
     members = units.select("space", "cls", "id").join(nodes.select("space", "cls", "node"), ["space", "cls"]).select("space", "node", "id")
-    return nodes.select("space", "node", "vec"), members, spaces
+    return nodes.select("space", "node", "vec", "code", "step"), members, spaces
 
 
 def _planes(nodes: DataFrame, spaces: dict[int, tuple[str, int]], trees: int) -> dict[int, list[tuple]]:
     """For each space and tree: centre, hyperplanes and thresholds."""
     sizes = {r.space: r.n for r in nodes.groupBy("space").agg(F.count(F.lit(1)).alias("n")).collect()}
+    order = Window.partitionBy("space").orderBy(F.xxhash64("node", F.lit(SEED)))
+    share = max(1, CENTRE_SAMPLE // max(1, len(sizes)))
+    drawn: dict[int, list] = {space: [] for space in sizes}
+    for r in nodes.withColumn("r", F.row_number().over(order)).where(F.col("r") <= share).select("space", "vec").collect():
+        drawn[r.space].append(np.frombuffer(r.vec, dtype=np.float32))
     out: dict[int, list[tuple]] = {}
     for space, n in sizes.items():
-        drawn = nodes.where(F.col("space") == space).orderBy(F.xxhash64("node", F.lit(SEED))).limit(CENTRE_SAMPLE).select("vec").collect()
-        x = np.stack([np.frombuffer(r.vec, dtype=np.float32) for r in drawn])
+        x = np.stack(drawn[space])
         bits = min(60, max(0, int(np.ceil(np.log2(max(1, n) / BUCKET)))))
         rng = np.random.default_rng(SEED + space)
         forest = []
@@ -126,6 +134,12 @@ def _matrix(vecs: pd.Series) -> np.ndarray:
     return np.stack([np.frombuffer(v, dtype=np.float32) for v in vecs])
 
 
+def _decoded(g: pd.DataFrame) -> np.ndarray:
+    """Vectors from one byte a component, each times its step."""
+    codes = np.frombuffer(b"".join(g["code"]), dtype=np.int8).reshape(len(g), -1)
+    return codes.astype(np.float32) * g["step"].to_numpy(np.float32)[:, None]
+
+
 class _Gains:
     """Candidates of one task, repeated ones and all but the best of a node removed now and then."""
 
@@ -160,10 +174,10 @@ EDGES = "space int, src bigint, dst bigint, sim float"
 def _bucket_pairs(k: int):
     def pairs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         gains = _Gains(k)
-        for g in _blocks(batches, ["space", "tree", "code", "chunk"]):
+        for g in _blocks(batches, ["space", "tree", "bucket", "chunk"]):
             if len(g) < 2:
                 continue
-            ids, m = g["node"].to_numpy(np.int64), _matrix(g["vec"])
+            ids, m = g["node"].to_numpy(np.int64), _decoded(g)
             s = m @ m.T
             np.fill_diagonal(s, -3)
             n = min(k, len(ids) - 1)
@@ -187,15 +201,15 @@ def first_graph(nodes: DataFrame, spaces: dict[int, tuple[str, int]], k: int, tr
                 m = _matrix(g["vec"])
                 for tree, (h, middle) in enumerate(planes.value[space]):
                     code = ((m @ h > middle) @ (1 << np.arange(h.shape[1], dtype=np.int64))).astype(np.int64) if h.shape[1] else np.zeros(len(g), np.int64)
-                    yield pd.DataFrame({"space": space, "node": g["node"].to_numpy(), "tree": tree, "code": code})
+                    yield pd.DataFrame({"space": space, "node": g["node"].to_numpy(), "tree": tree, "bucket": code})
 
-    codes = cut(nodes.mapInPandas(place, f"{NODE}, tree int, code bigint"))
-    counts = codes.groupBy("space", "tree", "code").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("chunks"))
-    placed = codes.join(counts, ["space", "tree", "code"]).select(
-        "space", "tree", "code", "node", F.pmod(F.xxhash64("node", "tree"), F.col("chunks")).alias("chunk")
+    codes = cut(nodes.select("space", "node", "vec").mapInPandas(place, f"{NODE}, tree int, bucket bigint"))
+    counts = codes.groupBy("space", "tree", "bucket").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("chunks"))
+    placed = codes.join(counts, ["space", "tree", "bucket"]).select(
+        "space", "tree", "bucket", "node", F.pmod(F.xxhash64("node", "tree"), F.col("chunks")).alias("chunk")
     )
-    keys = ["space", "tree", "code", "chunk"]
-    ready = placed.join(nodes, ["space", "node"]).repartition(*keys).sortWithinPartitions(*keys)
+    keys = ["space", "tree", "bucket", "chunk"]
+    ready = placed.join(nodes.drop("vec"), ["space", "node"]).repartition(*keys).sortWithinPartitions(*keys)
     return ready.mapInPandas(_bucket_pairs(k), EDGES)
 
 
@@ -213,11 +227,11 @@ def _local_join(k: int):
             new = g["new"].to_numpy(bool)
             if len(g) < 2 or not new.any():
                 continue
-            ids, m, floor = g["u"].to_numpy(np.int64), _matrix(g["vec"]), g["kth"].to_numpy(np.float32)
+            ids, m, floor = g["u"].to_numpy(np.int64), _decoded(g), g["kth"].to_numpy(np.float32)
             s = m @ m.T
             np.fill_diagonal(s, -3)
             s[~(new[:, None] | new[None, :])] = -3
-            n = min(GAIN, len(ids) - 1)
+            n = min(k, len(ids) - 1)
             t = np.argpartition(-s, n - 1, axis=1)[:, :n]
             got = np.take_along_axis(s, t, 1)
             ok = got > floor[:, None]
@@ -230,7 +244,7 @@ def _local_join(k: int):
     return join
 
 
-def refine(graph: DataFrame, nodes: DataFrame, k: int) -> DataFrame:
+def refine(graph: DataFrame, nodes: DataFrame, k: int, turn: int = 0) -> DataFrame:
     """One round: neighbours of neighbours that are closer."""
     around = (
         graph.select("space", F.col("src").alias("v"), F.col("dst").alias("u"), "new")
@@ -239,11 +253,11 @@ def refine(graph: DataFrame, nodes: DataFrame, k: int) -> DataFrame:
     )
     degree = around.groupBy("space", "v").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("chunks"), F.max("new").alias("any"))
     kth = graph.groupBy("space", F.col("src").alias("u")).agg(F.when(F.count(F.lit(1)) >= k, F.min("sim")).otherwise(F.lit(-2.0)).alias("kth"))
-    member = nodes.select("space", F.col("node").alias("u"), "vec").join(kth, ["space", "u"], "left").withColumn(
+    member = nodes.select("space", F.col("node").alias("u"), "code", "step").join(kth, ["space", "u"], "left").withColumn(
         "kth", F.coalesce("kth", F.lit(-2.0)).cast("float")
     )
     placed = around.join(degree.where("any"), ["space", "v"]).select(
-        "space", "v", "u", "new", F.pmod(F.xxhash64("u", "v"), F.col("chunks")).alias("chunk")
+        "space", "v", "u", "new", F.pmod(F.xxhash64("u", "v", F.lit(turn)), F.col("chunks")).alias("chunk")
     )
     keys = ["space", "v", "chunk"]
     ready = placed.join(member, ["space", "u"]).repartition(*keys).sortWithinPartitions(*keys)
@@ -254,14 +268,31 @@ def refine(graph: DataFrame, nodes: DataFrame, k: int) -> DataFrame:
 def neighbour_graph(nodes: DataFrame, spaces: dict[int, tuple[str, int]], k: int = GRAPH_K, trees: int = TREES, rounds: int = ROUNDS) -> DataFrame:
     """``space, src, dst, sim, new``: the k nearest nodes of every node, nearly all found."""
     graph = cut(_best(first_graph(nodes, spaces, k, trees).withColumn("new", F.lit(True)), k))
-    for _ in range(rounds):
-        graph = cut(refine(graph, nodes, k))
+    for turn in range(rounds):
+        last, graph = graph, cut(refine(graph, nodes, k, turn))
+        release(last)
         r = graph.agg(F.avg(F.col("new").cast("int")).alias("x")).first()
         if (r.x or 0.0) < SETTLED:
             break
     return graph
 
 
+def measured(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """``space, src, dst, sim`` with the similarity of the whole vectors."""
+
+    def dots(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            sims = [float(np.frombuffer(x, np.float32) @ np.frombuffer(y, np.float32)) for x, y in zip(b["sv"], b["dv"], strict=True)]
+            yield pd.DataFrame({"space": b["space"], "src": b["src"], "dst": b["dst"], "sim": sims})
+
+    # each pair once, the smaller number first
+    once = edges.select("space", F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).distinct()
+    side = lambda c, vec: nodes.select("space", F.col("node").alias(c), F.col("vec").alias(vec))
+    got = once.join(side("src", "sv"), ["space", "src"]).join(side("dst", "dv"), ["space", "dst"]).mapInPandas(dots, "space int, src bigint, dst bigint, sim double")
+    both = got.unionByName(got.select("space", F.col("dst").alias("src"), F.col("src").alias("dst"), "sim"))
+    return edges.select("space", "src", "dst").join(both, ["space", "src", "dst"])
+
+
 def vector_rows(chunks: DataFrame, memories: DataFrame) -> DataFrame:
     """``src, id, embedder, vector`` of both tables."""
     part = lambda df, src, key: df.select(F.lit(src).alias("src"), F.col(key).alias("id"), "embedder", "vector")
@@ -281,7 +312,8 @@ def mutual_neighbours(rows: DataFrame, k: int = 10, min_sim: float = 0.8) -> Dat
     graph = neighbour_graph(nodes, spaces)
     smallest = Window.partitionBy("space", "node").orderBy("id")
     few = members.withColumn("rank", F.row_number().over(smallest)).where(F.col("rank") <= k + 1).select("space", "node", "id")
-    close = graph.where(F.col("sim") >= min_sim - 1e-6).select("space", "src", "dst", F.round("sim", 6).alias("sim"))
+    near = graph.where(F.col("sim") >= min_sim - CODE_ERROR)
+    close = measured(near, nodes).where(F.col("sim") >= min_sim - 1e-6).select("space", "src", "dst", F.round("sim", 6).alias("sim"))
     several = few.groupBy("space", "node").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     own = several.select("space", F.col("node").alias("src"), F.col("node").alias("dst"), F.lit(1.0).alias("sim"))
     links = close.unionByName(own)

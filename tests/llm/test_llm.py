@@ -198,6 +198,34 @@ def test_greedy_search_recall(spark):
     assert recall >= 0.9, recall
 
 
+def test_greedy_search_from_outside(spark):
+    """Queries that are no rows of the collection enter at fixed nodes."""
+    rng = np.random.default_rng(7)
+    m = np.abs(rng.standard_normal((2000, 24)))
+    nodes, _, spaces = neighbours.classes(vectors(spark, m))
+    graph = neighbours.neighbour_graph(nodes, spaces)
+    q = np.abs(rng.standard_normal((40, 24)))
+    q /= np.linalg.norm(q, axis=1, keepdims=True)
+    asked = spark.createDataFrame([(0, i, x.astype(np.float32).tobytes(), None) for i, x in enumerate(q)], "space int, query bigint, vec binary, entry bigint")
+    got = neighbours.greedy_search(asked, graph, nodes).toPandas()
+    s = q @ (m / np.linalg.norm(m, axis=1, keepdims=True)).T
+    recall = np.mean([len(set(g.sort_values("sim", ascending=False).node.head(10)) & set(np.argsort(-s[i])[:10])) / 10 for i, g in got.groupby("query")])
+    assert recall >= 0.9, recall
+
+
+def test_hubs_meet_others_each_round(spark):
+    """One vector near to all: its neighbourhood is far beyond a block."""
+    rng = np.random.default_rng(8)
+    m = np.vstack([np.ones((1, 16)), 1 + 0.6 * rng.standard_normal((1800, 16))])
+    nodes, _, spaces = neighbours.classes(vectors(spark, m))
+    graph = neighbours.neighbour_graph(nodes, spaces).toPandas()
+    u = m / np.linalg.norm(m, axis=1, keepdims=True)
+    s = u @ u.T
+    np.fill_diagonal(s, -2)
+    recall = np.mean([len(set(g.sort_values("sim", ascending=False).dst.head(10)) & set(np.argsort(-s[i])[:10])) / 10 for i, g in graph.groupby("src")])
+    assert recall >= 0.9, recall
+
+
 def test_neighbours_edges(spark):
     assert neighbours.mutual_neighbours(vectors(spark, [])).count() == 0
     bad = vectors(spark, [None, [0.0, 0.0], [1.0, float("nan")], [1.0, 1.0], [2.0, 2.0], [1.0, 1.0], []], [1, 2, 3, 4, 5, 4, 9])
