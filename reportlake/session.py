@@ -5,6 +5,10 @@ from __future__ import annotations
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+#: Rows of a short table that are broadcast at most.
+MAX_BROADCAST_ROWS = 100_000
 
 
 def local_session(cores: str = "8", shuffle_partitions: int = 8) -> SparkSession:
@@ -59,3 +63,9 @@ def release(*cuts: DataFrame) -> None:
         if file is not None and file.isDefined():
             path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(file.get())
             path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def small(df: DataFrame, most: int = MAX_BROADCAST_ROWS) -> DataFrame:
+    """A written table marked for broadcast where a count finds it small, else as it is
+    (skewed keys are then split by adaptive execution)."""
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
