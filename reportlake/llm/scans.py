@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from reportlake.session import cut
+from reportlake.session import cut, small
 
 # Glyphs and what recognition makes of them, one stroke group for both sides.
 STROKES = (("h", "ll"), ("u", "ll"), ("d", "cl"), ("m", "rn"), ("w", "vv"))
@@ -177,7 +177,7 @@ def contexts(lined: DataFrame, words: DataFrame) -> DataFrame:
     before = F.transform(F.slice("toks", F.greatest(F.col("pos") - SPAN + 1, F.lit(1)), F.least("pos", F.lit(SPAN))), lambda w: F.concat(F.lit("-"), w))
     behind = F.transform(F.slice("toks", F.col("pos") + 2, F.lit(SPAN)), lambda w: F.concat(F.lit("+"), w))
     around = placed.select("page_id", "line_no", "pos", "word", F.array_distinct(F.concat(before, behind)).alias("near"))
-    return around.join(words.select("word").distinct(), "word", "left_semi").withColumn("near", F.explode("near"))
+    return around.join(small(cut(words.select("word").distinct())), "word", "left_semi").withColumn("near", F.explode("near"))
 
 
 def skip_gram(lined: DataFrame, words: DataFrame, counts: DataFrame) -> DataFrame:
@@ -236,8 +236,8 @@ def corrected(lined: DataFrame, links: DataFrame, vectors: DataFrame) -> DataFra
     Fewest edits come first; among those, the word whose vector holds most of the
     neighbours of this very occurrence, then the most frequent one."""
     least = links.groupBy("word").agg(F.min("edits").alias("edits"))
-    closest = links.join(least, ["word", "edits"])
-    where_ = lined.where("size(toks) > 0").select("page_id", "line_no", F.posexplode("toks").alias("pos", "word")).join(closest.select("word", "right", "m"), "word")
+    closest = small(cut(links.join(least, ["word", "edits"]).select("word", "right", "m")))
+    where_ = lined.where("size(toks) > 0").select("page_id", "line_no", F.posexplode("toks").alias("pos", "word")).join(closest, "word")
     speaks = (
         contexts(lined, closest).join(closest.select("word", "right"), "word").join(vectors.select(F.col("word").alias("right"), "near", "a"), ["right", "near"])
         .groupBy("page_id", "line_no", "pos", "right").agg(F.sum("a").alias("said"))
