@@ -90,16 +90,16 @@ def searched(index: DataFrame, part: str, k: int = 50) -> DataFrame:
 
 
 def relevant(texts: DataFrame, index: DataFrame, key: str, text: str, k: int = 40, min_ratio: float = 0.75) -> DataFrame:
-    """``key, term, score, n, rank``: the library terms that matter for each text: named
-    in it (1.0), or near to one of its one- to three-word runs.  Distinct runs are
-    compared once."""
+    """``key, term, score, n, rank``: the library terms that matter for each text: one- to
+    three-word runs of it that are listed (1.0), and terms near to one of its words.
+    Distinct words are compared once; runs of several words count only as written."""
     t = F.transform(_tokens(F.col(text)), F.lower)
     run = lambda n: F.transform(F.sequence(F.lit(1), F.size("t") - n + 1), lambda i: F.array_join(F.slice("t", i, n), " "))
     none = F.array().cast("array<string>")
     runs = F.concat(*(F.when(F.size("t") >= n, run(n)).otherwise(none) for n in (1, 2, 3)))
     asked = texts.where(F.col(text).isNotNull()).select(key, t.alias("t")).select(key, F.explode(F.array_distinct(runs)).alias("word"))
     exact = asked.join(index.select(F.col("key").alias("word"), "term", "n"), "word").select(F.col(key), "term", F.lit(1.0).alias("score"), "n")
-    close = near_terms(asked.select("word"), index.select(F.col("key").alias("term")), min_ratio).select("word", F.col("term").alias("near"), F.col("ratio").alias("score"))
+    close = near_terms(asked.where(~F.contains("word", F.lit(" "))).select("word"), index.select(F.col("key").alias("term")), min_ratio).select("word", F.col("term").alias("near"), F.col("ratio").alias("score"))
     near = asked.join(close, "word").join(index.select(F.col("key").alias("near"), "term", "n"), "near").select(F.col(key), "term", "score", "n")
     best = exact.unionByName(near).groupBy(key, "term").agg(F.max("score").alias("score"), F.max("n").alias("n"))
     order = Window.partitionBy(key).orderBy(F.desc("score"), F.desc("n"), F.lower("term"))

@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from reportlake.functions.text import strip_marker
+from reportlake.functions.text import let, strip_marker
 
 _WORD = re.compile(r"\S+")
 #: Words quoted before and behind a gap.
@@ -80,9 +80,14 @@ def audit_summary(source: Column, output: Column, letterhead: Column | None = No
     text = lambda c: F.array_join(F.transform(F.split(F.coalesce(c, F.lit("")), r"\r?\n"), strip_marker), "\n")
     a, b = tokens(text(source)), tokens(F.coalesce(output, F.lit("")))
     head = tokens(F.coalesce(letterhead, F.lit(""))) if letterhead is not None else F.array().cast("array<string>")
-    count = lambda xs, w: F.size(F.filter(xs, lambda x: x == w))
-    words = F.array_distinct(F.concat(a, b))
-    rest = lambda w: F.greatest(count(b, w) - count(head, w), F.lit(0))
-    total = lambda f: F.aggregate(words, F.lit(0), lambda acc, w: acc + F.greatest(f(w), F.lit(0)))
-    missing, added = total(lambda w: count(a, w) - rest(w)), total(lambda w: rest(w) - count(a, w))
-    return F.struct(missing.alias("missing"), added.alias("added"), (missing == 0).alias("passed"))
+    # the k-th time a token stands in a bag is an element of its own, so differences of bags are differences of sets
+
+    def numbered(xs: Column) -> Column:
+        return let(F.array_sort(xs), lambda bag: F.transform(bag, lambda x, i: F.concat_ws(" ", x, (i - F.array_position(bag, x)).cast("string"))))
+
+    own = F.transform(F.array_except(numbered(b), numbered(head)), lambda x: F.split_part(x, F.lit(" "), F.lit(1))) if letterhead is not None else b
+    def compared(two: Column) -> Column:
+        lost, more = F.size(F.array_except(two["a"], two["b"])), F.size(F.array_except(two["b"], two["a"]))
+        return F.struct(lost.alias("missing"), more.alias("added"), (lost == 0).alias("passed"))
+
+    return let(F.struct(numbered(a).alias("a"), numbered(own).alias("b")), compared)

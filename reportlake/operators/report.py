@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from reportlake import vocabulary as v
-from reportlake.functions.text import modality, patient_slug, sentences, strip_marker
+from reportlake.functions.text import let, modality, patient_slug, sentences, strip_marker
 
 BLOCK = "struct<kind:string,text:string,trailer:string,section:string,marker:string>"
 _HEADING = rf"(?is)^[\s•*–—-]*({v.longest_first(v.HEADINGS)})\s*(?:([:–—-])(.*)|)$"
@@ -79,7 +79,7 @@ def blocks(text: Column, split: bool = False, bold_tail: bool = False, inline: b
         kept = F.split(F.regexp_replace(F.regexp_replace(text, "\r\n?", "\n"), r"(?U)\s*\n\s*$|^\s+$", ""), "\n")
         return F.when(strip(text) != "", F.transform(kept, lambda x: _block("verbatim", x, F.lit("")))).when(text.isNotNull(), F.array().cast(f"array<{BLOCK}>"))
     lines = F.filter(F.transform(lines_of(text), strip), lambda x: x != "")
-    heads = F.transform(
+    heads = lambda lines: F.transform(
         lines,
         lambda x, i: F.when(
             (i > 0) & x.rlike(_HEADING),
@@ -90,8 +90,8 @@ def blocks(text: Column, split: bool = False, bold_tail: bool = False, inline: b
         ),
     )
     start = F.array(F.lit("GENERAL"))
-    under = F.aggregate(heads, start, lambda acc, h: F.concat(acc, F.array(F.coalesce(h.getField("name"), F.element_at(acc, -1)))))
-    zipped = F.arrays_zip(lines.alias("line"), heads.alias("head"), F.slice(under, 2, F.size(lines)).alias("under"))
+    under = lambda heads: F.aggregate(heads, start, lambda acc, h: F.concat(acc, F.array(F.coalesce(h.getField("name"), F.element_at(acc, -1)))))
+    zipped = let(lines, lambda xs: let(heads(xs), lambda hs: F.arrays_zip(xs.alias("line"), hs.alias("head"), F.slice(under(hs), 2, F.size(xs)).alias("under"))))
 
     def made(z: Column, i: Column) -> Column:
         line, head, section = z["line"], z["head"], z["under"]
@@ -183,9 +183,11 @@ def organs(parsed: Column) -> Column:
         takes = b["section"].isin(*v.FINDINGS) & ~b["kind"].isin("title", "subheading", *HEADS) & (strip(b["text"]) != "")
         return F.struct(organ.alias("organ"), F.when(takes, F.concat(s["rows"], F.array(F.struct(organ.alias("organ"), strip(b["text"]).alias("line"))))).otherwise(s["rows"]).alias("rows"))
 
-    rows = F.aggregate(parsed, state, step)["rows"]
-    names = F.array_distinct(F.transform(rows, lambda r: r["organ"]))
-    return F.map_from_arrays(names, F.transform(names, lambda n: F.array_join(F.transform(F.filter(rows, lambda r: r["organ"] == n), lambda r: r["line"]), " ")))
+    def grouped(rows: Column) -> Column:
+        text = lambda n: F.array_join(F.transform(F.filter(rows, lambda r: r["organ"] == n), lambda r: r["line"]), " ")
+        return let(F.array_distinct(F.transform(rows, lambda r: r["organ"])), lambda names: F.map_from_arrays(names, F.transform(names, text)))
+
+    return let(F.aggregate(parsed, state, step)["rows"], grouped)
 
 
 def structured(reports: DataFrame, key: str = "id", text: str = "report_text") -> DataFrame:

@@ -368,7 +368,62 @@ def _sound(c: str) -> str:
 _NAME = r"regexp_replace({c}, '(?i)\b(mrs?|ms|miss|dr|master|baby)\b\.?', '', 'g')"
 _ESCAPED = r"replace(replace(replace(replace(replace({c}, '\', '\E\'), '|', '\F\'), '^', '\S\'), '&', '\T\'), '~', '\R\')"
 
+_LINKS = """(with p as (select user_id, list(event_id || '|' || event_type order by event_id) as xs, list(event_id order by event_id) as ids, list(event_type order by event_id) as types from events group by 1),
+e as (select *, unnest(range(1, len(xs) + 1)) as i from p)
+select user_id, i, ids[i] as event_id, types[i] as event_type, list_reduce(list_concat([''], xs[1:i]), lambda acc, x: sha256(acc || '|' || x)) as link from e)"""
+_FILLED = "coalesce(nullif({c}, ''), '{o}')"
+_ALERT_TERMS = "coalesce(nullif(array_to_string(list_filter(triage_terms, lambda t: t is not null), ', '), ''), 'critical finding')"
+_AUDIT = rf"""with p as ({_PAIRS}), m as (select transcript_id, output, regexp_replace(source, '(?m)^\s*(?:[{v.BULLETS[:-1]}-]+|\(?(?:\d{{1,2}}|[a-z])[.)])\s+', '', 'g') as source from p),
+a as (select transcript_id, unnest({_TOKENS.replace('text', 'source')}) as token, 1 as d from m union all select transcript_id, unnest({_TOKENS.replace('text', 'output')}), -1 from m),
+s as (select transcript_id, token, sum(d) as d from a group by all)
+select p.transcript_id, cast(coalesce(sum(greatest(d, 0)), 0) as bigint) as missing, cast(coalesce(sum(greatest(-d, 0)), 0) as bigint) as added, coalesce(sum(greatest(d, 0)), 0) = 0 as passed
+from p left join s on s.transcript_id = p.transcript_id group by 1"""
+_SPACES = r"[\s\x{0085}\x{00A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+"
+_KEY = "trim(regexp_replace(lower({c}), '" + _SPACES.replace("{", "{{").replace("}", "}}") + "', ' ', 'g'))"
+_ENTRIES = f"""(select key, cast(sum(n) as bigint) as n, count(distinct source) as files from (select {_KEY.format(c='term')} as key, unnest(map_keys(sources)) as source, unnest(map_values(sources)) as n
+from (select distinct on (entry_id) entry_id, term, sources from corpus_terms where sources is not null) where term is not null) where key <> '' group by 1)"""
+_MEMORIES = """(select distinct on (memory_id) *, concat_ws('/', tenant, doctor) as owner from memories where memory_id is not null)"""
+_CONTENT = r"lower(regexp_replace(regexp_replace({c}, '^\s+|\s+$', '', 'g'), '\.+$', ''))"
+
 ORACLE = {
+    "chain_links": f"select event_id, link from {_LINKS}",
+    "chain_status": f"""with l as {_LINKS}, c as (select user_id, i - 1 as pos, link = sha256(coalesce(lag(link) over (partition by user_id order by event_id), '') || '|' || event_id || '|' ||
+  case when event_id % 997 = 0 then 'edited' else event_type end) as ok from l)
+select user_id, count(*) as links, bool_and(ok) as intact, min(case when not ok then pos end) as first_break from c group by 1""",
+    "trail_checks": f"""with s as (select id, list_filter(list_transform(trail, lambda s: lower(regexp_replace(s.what, ' (?:via|past) .*$', ''))), lambda x: x in ('created', 'signed', 'delivered')) as t from {_LATEST} where trail is not null),
+r as (select t[i] as what, i, case when i > 1 then t[i - 1] else '' end as b from (select t, unnest(range(1, len(t) + 1)) as i from s))
+select what, count(*) as n, count_if(not case what when 'created' then i = 1 when 'signed' then b in ('', 'created') else b in ('signed', 'delivered') end) as illegal from r group by 1""",
+    "kept_versions": f"""select id, "at", version from (select *, row_number() over (partition by id order by "at") as version, row_number() over (partition by id order by "at" desc) as age
+from (select distinct id, {_MINUTE.format(c='updated')} as "at" from records where id is not null and updated is not null)) where age <= 2""",
+    "sealed_round_trip": "select doc_id, md5(text) as digest, text is not null as hidden from documents",
+    "pasted_parts": r"""select doc_id, count(*) as parts from (select doc_id, regexp_replace(unnest(string_split_regex(replace(text, chr(10) || chr(10), chr(10) || '----' || chr(10)), '(?m)^\s*-{3,}\s*$')), '^\s+|\s+$', '', 'g') as p
+from documents where text is not null) where p <> '' group by 1""",
+    "oru_fields": rf"""select id, id as control_id, case when regexp_matches(coalesce(age_sex, ''), '(?i)female') then 'F' when regexp_matches(coalesce(age_sex, ''), '(?i)male') then 'M'
+  else upper(regexp_extract(' ' || coalesce(age_sex, '') || ' ', '[^A-Za-z]([MFmf])[^A-Za-z]', 1)) end as sex,
+  len(list_filter(string_split(replace(report_text, chr(13) || chr(10), chr(10)), chr(10)), lambda x: trim(x) <> '')) as lines from {_LATEST} where report_text is not null""",
+    "order_round_trip": f"select id, true as ok, 'no room' as why from {_LATEST} where report_text is not null",
+    "fhir_reports": f"""select id, case when status in ('signed', 'delivered') then 'final' else 'preliminary' end as status, case when regexp_matches(coalesce(age_sex, ''), '(?i)female') then 'female'
+  when regexp_matches(coalesce(age_sex, ''), '(?i)male') then 'male' when regexp_matches(' ' || coalesce(age_sex, '') || ' ', '[^A-Za-z][fF][^A-Za-z]') then 'female'
+  when regexp_matches(' ' || coalesce(age_sex, '') || ' ', '[^A-Za-z][mM][^A-Za-z]') then 'male' end as gender, nullif(patient, '') as name, md5(report_text) as digest, true as linked from {_LATEST} where report_text is not null""",
+    "alerts": f"""select id, '[' || upper(urgency) || '] ' || {_ALERT_TERMS} || ' - ' || {_FILLED.format(c='patient', o='an unnamed patient')} as subject,
+  left(upper(urgency) || ': ' || {_ALERT_TERMS} || '. ' || {_FILLED.format(c='patient', o='an unnamed patient')} || ', ' || {_FILLED.format(c='study', o='a radiology study')} || '. Full report to follow.', 320) as short,
+  md5('Dear ' || {_FILLED.format(c='referrer', o='Doctor')} || ',' || chr(10) || chr(10) || 'A ' || upper(urgency) || ' finding needs your attention.' || chr(10) || chr(10) || 'Patient: ' || {_FILLED.format(c='patient', o='an unnamed patient')}
+    || ' (' || {_FILLED.format(c='age_sex', o='age/sex not stated')} || ')' || chr(10) || 'Study: ' || {_FILLED.format(c='study', o='a radiology study')} || chr(10) || 'Finding: ' || {_ALERT_TERMS} || chr(10) || 'Signed: '
+    || coalesce(nullif(signed_at, ''), updated, '') || ' by ' || {_FILLED.format(c='signed_by', o='the reporting radiologist')} || chr(10) || chr(10) || 'The full report follows. Please acknowledge receipt.') as digest
+from {_LATEST} where urgency in ('stat', 'urgent')""",
+    "unique_filenames": r"""with s as (select referrer_id, left(coalesce(nullif(replace(trim(regexp_replace(city, '[^A-Za-z0-9 _-]', '', 'g')), ' ', '_'), ''), 'report'), 80) as safe from referrers),
+n as (select referrer_id, safe, row_number() over (partition by safe order by referrer_id) as n from s)
+select referrer_id, case when n = 1 then safe else safe || '_' || n end as filename from n""",
+    "intake_texts": rf"""with r as (select id, nullif(trim(patient), '') as p, nullif(trim(age_sex), '') as a, upper(nullif(trim(study), '')) as s, trim(report_text) as t from {_LATEST} where report_text is not null),
+m as (select id, t, concat_ws(chr(10), s || case when s like '%REPORT' then '' else ' REPORT' end || chr(10), 'PATIENT NAME: ' || p, 'AGE/SEX: ' || a) as m from r)
+select id, md5(case when m <> '' then m || chr(10) || chr(10) || t else t end) as digest from m""",
+    "audit_verdicts": _AUDIT,
+    "library_entries": f"select key, n, files from {_ENTRIES}",
+    "library_top": f"select key as term, n from {_ENTRIES} order by n desc, key limit 50",
+    "memory_replayed": f"""with m as (select owner, kind, trim(coalesce(concept, '')) as concept, memory_id as seq, {_CONTENT.format(c='content')} as content from {_MEMORIES} where content is not null and trim(content) <> ''),
+o as (select owner, kind, content, lower(arg_min(concept, seq)) as concept, min(seq) as first_, max(seq) as last_ from m group by 1, 2, 3)
+select a.owner, a.kind, a.concept, a.content, case when a.concept <> '' and a.kind in ('style_rule', 'episodic_case')
+  then pow(0.5, (select count(*) from o b where b.owner = a.owner and b.kind = a.kind and b.concept = a.concept and b.first_ > a.last_)) else 1.0 end as confidence from o a""",
     "latest_records": f"select id, {_MINUTE.format(c='updated')} as updated, cast(coalesce(len(trail), -1) as bigint) as steps from {_LATEST}",
     "event_tail": "select event_id, event_type, user_id from events order by ts desc, event_id desc limit 100",
     "commits_accepted": """select user_id, count_if(rn = 1) as accepted, count_if(rn > 1) as conflicts from (

@@ -5,21 +5,23 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from reportlake.functions.text import hl7_escape, hl7_name
 
 # Header spellings of an intake sheet.
 ALIASES = {
-    "patient": ("patient_name", "patient", "name"), "age_sex": ("age_sex", "age/sex", "age"), "study": ("study_name", "study", "exam"),
-    "patient_id": ("patient_id", "id", "uhid"), "text": ("raw_dictation_text", "dictation", "report", "text"),
+    "patient": ("patient_name", "patient", "name", "pt_name"), "patient_id": ("patient_id", "mrn", "uhid", "reg_no", "id"),
+    "age_sex": ("age_sex", "age/sex", "agesex", "age", "age_and_sex"), "study": ("study_name", "study", "examination", "modality_study", "exam"),
+    "text": ("raw_dictation_text", "dictation", "report_text", "text", "findings", "report", "raw_text"),
 }
 MAX_FILE_BYTES = 25 << 20
 
 
 def read_texts(spark: SparkSession, path: str) -> DataFrame:
-    """``path, text``: whole files up to 25 MiB, UTF-8 where valid, else Latin-1."""
-    files = spark.read.format("binaryFile").load(path).where(F.col("length") <= MAX_FILE_BYTES)
-    bom = F.regexp_replace(F.coalesce(F.try_validate_utf8(F.col("content").cast("string")), F.decode("content", "ISO-8859-1")), "^﻿", "")
-    return files.select("path", bom.alias("text"))
+    """``path, text, problem``: whole files, UTF-8 where valid, else Windows-1252 or Latin-1.
+
+    Files above 25 MiB come out with a null text and ``problem`` set."""
+    from reportlake.sources.files import read_any
+
+    return read_any(spark, path).select("path", "text", "problem")
 
 
 def read_sheet(spark: SparkSession, path: str) -> DataFrame:
@@ -34,6 +36,48 @@ def read_sheet(spark: SparkSession, path: str) -> DataFrame:
     return raw.select(*cols).where(F.trim("text") != "")
 
 
+def report_text() -> Column:
+    """A sheet row (columns patient, age_sex, study, text) as the text of a report: the study
+    as its title, then name and age lines, then the dictation."""
+    filled = lambda c: F.nullif(F.trim(F.col(c)), F.lit(""))
+    study = F.upper(filled("study"))
+    title = F.concat(study, F.when(study.endswith("REPORT"), "").otherwise(" REPORT"), F.lit("\n"))
+    meta = F.concat_ws("\n", title, F.concat(F.lit("PATIENT NAME: "), filled("patient")), F.concat(F.lit("AGE/SEX: "), filled("age_sex")))
+    return F.when(meta != "", F.concat(meta, F.lit("\n\n"), F.trim("text"))).otherwise(F.trim("text"))
+
+
+def intake(sheet: DataFrame | None = None, files: DataFrame | None = None, pasted: DataFrame | None = None) -> DataFrame:
+    """``label, source, text`` of all ways in: sheet rows, files, pasted parts (``key, pos,
+    part``)."""
+    parts = []
+    if sheet is not None:
+        name = F.regexp_replace(F.regexp_replace(F.coalesce("patient", F.lit("")), r"[^A-Za-z0-9]+", "_"), "^_+|_+$", "")
+        parts.append(sheet.select(F.coalesce(F.nullif(name, F.lit("")), F.lit("row")).alias("label"), F.lit("sheet").alias("source"), report_text().alias("text")))
+    if files is not None:
+        parts.append(files.where("text is not null").select(F.element_at(F.split("path", "/"), -1).alias("label"), F.lit("file").alias("source"), "text"))
+    if pasted is not None:
+        parts.append(pasted.select(F.concat_ws("_", F.lit("paste"), "pos").alias("label"), F.lit("paste").alias("source"), F.col("part").alias("text")))
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+def json_table(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """JSON documents below a folder, one record each, with the tenant of their folder;
+    broken ones and tenants that begin with an underscore are left out."""
+    rows = spark.read.schema(f"{schema}, _broken string").option("multiLine", True).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_broken").json(path)
+    tenant = F.regexp_extract(F.input_file_name(), r"([^/]+)/[^/]+$", 1)
+    return rows.withColumn("tenant", tenant).where("_broken is null and not startswith(tenant, '_')").drop("_broken")
+
+
+def log_tail(lines: DataFrame, schema: str, n: int) -> DataFrame:
+    """The last ``n`` entries of a log of JSON lines (``seq, value``), newest first; broken
+    lines are skipped."""
+    read = lines.select("seq", F.from_json("value", schema, {"mode": "PERMISSIVE"}).alias("e"), F.try_parse_json("value").isNull().alias("broken"))
+    return read.where("not broken and e is not null").orderBy(F.desc("seq")).limit(n).select("seq", "e.*")
+
+
 def split_pasted(texts: DataFrame, key: str, text: str) -> DataFrame:
     """``key, pos, part``: pasted text cut at lines of three dashes or more."""
     cut = texts.where(F.col(text).isNotNull()).select(key, F.posexplode(F.split(text, r"(?m)^\s*-{3,}\s*$")).alias("pos", "p"))
@@ -57,32 +101,10 @@ def order_of(message: Column) -> Column:
     )
 
 
-def oru_message(record: dict[str, str] | None = None) -> Column:
-    """An ORU^R01 message from the columns id, patient, study, report_text, status."""
-    lines = F.filter(F.split("report_text", r"\r?\n"), lambda x: F.trim(x) != "")
-    obx = F.transform(lines, lambda x, i: F.concat(F.lit("OBX|"), (i + 1).cast("string"), F.lit("|TX|59776-5||"), hl7_escape(F.trim(x)), F.lit("||||||F")))
-    status = F.when(F.col("status") == "draft", "P").otherwise("F")
-    head = F.array(
-        F.concat(F.lit("MSH|^~\\&|REPORTS||||||ORU^R01|"), F.col("id"), F.lit("|P|2.5")), F.concat(F.lit("PID|1||||"), hl7_name(F.col("patient"))),
-        F.concat(F.lit("OBR|1|||^"), hl7_escape(F.coalesce("study", F.lit(""))), F.repeat(F.lit("|"), F.lit(21)), status),
-    )
-    return F.array_join(F.concat(head, obx), "\r")
-
-
-def fhir_report() -> Column:
-    """A FHIR R4 DiagnosticReport in JSON from the same columns; null fields are left out."""
-    return F.to_json(
-        F.struct(
-            F.lit("DiagnosticReport").alias("resourceType"), F.col("id"), F.when(F.col("status") == "draft", "preliminary").otherwise("final").alias("status"),
-            F.struct(F.col("study").alias("text")).alias("code"), F.struct(F.col("patient").alias("display")).alias("subject"),
-            F.array(F.struct(F.lit("text/plain").alias("contentType"), F.base64(F.encode("report_text", "UTF-8")).alias("data"))).alias("presentedForm"),
-        )
-    )
-
-
 def unique_names(rows: DataFrame, name: str, order: str) -> DataFrame:
     """Adds ``filename``: safe, the second and later ones of a name with ``_2``, ``_3``."""
-    safe = F.left(F.coalesce(F.nullif(F.regexp_replace(F.regexp_replace(name, r"[^A-Za-z0-9]+", "_"), r"^_+|_+$", ""), F.lit("")), F.lit("report")), F.lit(60))
+    plain = F.replace(F.trim(F.regexp_replace(name, r"[^A-Za-z0-9 _-]", "")), F.lit(" "), F.lit("_"))
+    safe = F.left(F.coalesce(F.nullif(plain, F.lit("")), F.lit("report")), F.lit(80))
     w = Window.partitionBy("__safe").orderBy(order)
     n = F.row_number().over(w)
     return rows.withColumn("__safe", safe).withColumn("filename", F.when(n == 1, F.col("__safe")).otherwise(F.concat("__safe", F.lit("_"), n.cast("string")))).drop("__safe")

@@ -18,12 +18,23 @@ def event_counts(events: DataFrame, watermark: str = "1 hour", window: str = "1
     )
 
 
-def replay(spark: SparkSession, folder: str, schema, checkpoint: str, name: str) -> DataFrame:
-    """All files of a folder or glob through the stream, once, into a memory table."""
-    stream = spark.readStream.schema(schema).parquet(folder)
-    query = event_counts(stream).writeStream.format("memory").queryName(name).outputMode("complete").option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def replay(spark: SparkSession, folder: str, schema, base: str) -> DataFrame:
+    """All files of a folder or glob through the stream once.
+
+    Every micro-batch writes the counts of the windows it touched to a folder of its own
+    below ``base``; the newest count of a window is its count.  Nothing is held by the
+    driver, and a batch that is run again writes the same rows."""
+    out = f"{base}/counts"
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.withColumn("batch", F.lit(number)).write.mode("overwrite").parquet(f"{out}/batch={number}")
+
+    query = (
+        event_counts(spark.readStream.schema(schema).parquet(folder)).writeStream.outputMode("update").foreachBatch(write)
+        .option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start()
+    )
     query.awaitTermination()
-    return spark.table(name)
+    return spark.read.parquet(out).groupBy("day", "event_type").agg(F.max_by(F.struct("n", "total"), "batch").alias("x")).select("day", "event_type", "x.*")
 
 
 def orders(messages: DataFrame, watermark: str = "1 hour") -> DataFrame:
@@ -31,6 +42,11 @@ def orders(messages: DataFrame, watermark: str = "1 hour") -> DataFrame:
     return messages.withWatermark("arrived", watermark).select("arrived", order_of(F.col("message")).alias("o")).select("arrived", "o.*").dropDuplicatesWithinWatermark(["control_id"])
 
 
-def studies(images: DataFrame) -> DataFrame:
-    """``study_uid, images, last_seen`` of a stream or table of received images."""
-    return images.groupBy("study_uid").agg(F.count(F.lit(1)).alias("images"), F.max("arrived").alias("last_seen"))
+def studies(images: DataFrame, watermark: str = "1 day") -> DataFrame:
+    """``study_uid, images, last_seen`` of a stream or table of received images (``arrived``);
+    a study is forgotten a watermark after its last image."""
+    return (
+        images.withColumn("arrived", F.col("arrived").cast("timestamp")).withWatermark("arrived", watermark)
+        .groupBy("study_uid", F.session_window("arrived", watermark).alias("w")).agg(F.count(F.lit(1)).alias("images"), F.max("arrived").alias("last_seen"))
+        .select("study_uid", "images", "last_seen")
+    )
