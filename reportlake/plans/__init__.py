@@ -1,0 +1 @@
+"""Plans that cross modules: functions for SQL users."""
