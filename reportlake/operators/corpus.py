@@ -93,9 +93,3 @@ def memory_strength(memories: DataFrame, today: str) -> DataFrame:
     age = F.greatest(F.datediff(F.lit(today).cast("date"), F.try_to_date(seen)), F.lit(0))
     return memories.where("memory_id is not null").select("memory_id", F.round(F.col("confidence") * F.exp(-math.log(2) / HALF_LIFE_DAYS * age), 4).alias("strength")).distinct()
 
-
-def superseded(memories: DataFrame) -> DataFrame:
-    """``memory_id, weight``: halved for each later memory of the same tenant, doctor, kind and concept."""
-    one = memories.where("memory_id is not null").select("memory_id", "tenant", "doctor", "kind", "concept").distinct()
-    later = Window.partitionBy("tenant", "doctor", "kind", "concept").orderBy(F.desc("memory_id"))
-    return one.select("memory_id", F.pow(F.lit(0.5), F.row_number().over(later) - 1).alias("weight"))

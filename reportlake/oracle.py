@@ -4,7 +4,7 @@ Vocabularies come from ``vocabulary``; the logic is written anew in relational f
 (rows and windows where the operators fold arrays inside a row)."""
 
 from reportlake import vocabulary as v
-from reportlake.functions.text import MODALITIES, SOUNDS
+from reportlake.functions.text import MODALITIES, SOUNDS, numeral, rate_patterns
 
 _MINUTE = "left(replace({c}, ' ', 'T'), 16)"
 _LATEST = f"""(select * from (select *, row_number() over (partition by id order by {_MINUTE.format(c='updated')} desc nulls last,
@@ -495,3 +495,48 @@ from (select distinct on (page_id) engine, confidence from ocr_results) group by
     "critical_impressions": """select tenant, count(*) filter (where i.is_critical) as critical, count(*) as n from (select tenant, unnest(impression) as i
 from (select distinct on (report_id) tenant, impression from structured_reports)) where i is not null group by 1""",
 }
+
+
+def _restyled(c: str) -> str:
+    for pattern, to in rate_patterns():
+        c = f"regexp_replace({c}, {_q(pattern)}, {_q(to.replace('$1', chr(92) + '1'))}, 'g')"
+    for n in range(1, 6):
+        c = f"regexp_replace({c}, {_q(rf'(?i)\bgrade[ -](?:{v.ONES[n]}|{n}|{numeral(n)})\b')}, 'Grade {numeral(n)}', 'g')"
+    return c
+
+
+_KEY_PAD = [bytes(b ^ p for b in b"demo key".ljust(64, b"\0")).hex() for p in (0x36, 0x5C)]
+_SIMPLE_WORDS = r"list_distinct(regexp_extract_all(lower({c}), '([a-z][a-z''\-]{{2,}}|\d+(?:\.\d+)?)'))"
+_SEEN = "try_cast(left(coalesce(nullif(last_used, ''), created), 10) as date)"
+_NAMED = r"list_filter(regexp_extract_all(lower(full_name), '[\p{L}]{2,}'), lambda x: x <> 'dr')"
+
+ORACLE |= {
+    "unit_style": f"select transcript_id, md5({_restyled('text')}) as digest from (select distinct transcript_id, text from transcriptions where text is not null)",
+    "keyed_hashes": f"select c_custkey, sha256(unhex('{_KEY_PAD[1]}') || unhex(sha256(unhex('{_KEY_PAD[0]}') || encode(c_name)))) as mac from customer",
+    "memory_strength": f"""select distinct memory_id, round(confidence * exp(-ln(2) / 180.0 * greatest(date_diff('day', {_SEEN}, date '2026-01-01'), 0)), 4) as strength
+from memories where memory_id is not null""",
+    "draft_badges": rf"""with {_BLOCKS}, {_under(v.FINDINGS, 'f')}, {_under(v.IMPRESSION, 'i')}, fe as {_entities('f')},
+t as (select distinct id, term from fe), n as (select id, count_if(negated) as negated from fe group by 1),
+k as (select t.id, count_if(contains(lower(coalesce(i.t, '')), term)) as carried, count(*) as all_ from t left join i on i.id = t.id group by 1)
+select x.id, coalesce(negated, 0) as negated, len(list_distinct(regexp_extract_all(lower(coalesce(i.t, '')), '\d+(?:\.\d+)?'))) as numbers, coalesce(carried, 0) as carried, coalesce(all_ - carried, 0) as missing
+from (select distinct id from texts) x left join n on n.id = x.id left join k on k.id = x.id left join i on i.id = x.id""",
+    "anatomy_paths": f"""select id, array_to_string(list_filter([region, organ, subpart], lambda p: p <> 'GENERAL'), ' > ') as path, md5(string_agg(sentence, chr(10) order by pos)) as digest from ({_ANATOMY}) group by 1, 2""",
+    "routed_reports": rf"""with r as (select id, lower(coalesce(report_text, '')) as t from {_LATEST}),
+w as (select id, regexp_extract_all(t, '[\p{{L}}]+') as w, true as tail from (select id, right(t, 400) as t from r) union all select id, regexp_extract_all(t, '[\p{{L}}]+'), false from r),
+p as (select distinct id, tail, w[i] || ' ' || w[i + 1] as pair from (select *, unnest(range(1, len(w))) as i from w)),
+k as (select distinct full_name, array_to_string(({_NAMED})[1:2], ' ') as pair from referrers),
+f as (select p.id, list_distinct(list(full_name) filter (where tail)) as signed, list_distinct(list(full_name)) as named from p join k on k.pair = p.pair group by 1),
+c as (select r.id, case when len(signed) > 0 then signed else coalesce(named, []) end as pool, coalesce(len(signed), 0) > 0 as at_end from r left join f on f.id = r.id)
+select id, case when len(pool) = 1 then pool[1] end as doctor, case when len(pool) = 0 then 'none' when len(pool) > 1 then 'ambiguous' when at_end then 'signature' else 'mention' end as how from c""",
+    "memory_retrieved": f"""with m as (select memory_id, owner, content, {_SIMPLE_WORDS.format(c='content')} as w, embedder, vector, coalesce(confidence, 1.0) as confidence,
+  greatest(coalesce(date_diff('day', {_SEEN}, date '2026-01-01'), 0), 0) as age from {_MEMORIES} where owner is not null and content is not null and vector is not null),
+p as (select q.memory_id as query, m.memory_id, lower(m.content) as c, round_even(case when m.embedder = q.embedder then case when len(m.vector) = len(q.vector) and list_dot_product(m.vector, m.vector) * list_dot_product(q.vector, q.vector) > 0
+    then list_dot_product(m.vector, q.vector) / sqrt(list_dot_product(m.vector, m.vector) * list_dot_product(q.vector, q.vector)) else 0.0 end
+  when len(m.w) > 0 and len(q.w) > 0 then len(list_intersect(q.w, m.w)) / sqrt(cast(len(q.w) as double) * len(m.w)) else 0.0 end * exp(-ln(2) / 180.0 * m.age) * m.confidence, 4) as score
+  from m q join m on q.memory_id % 10 = 0 and m.owner = q.owner)
+select query, memory_id, score, rank from (select *, row_number() over (partition by query order by score desc, c, memory_id) as rank from p where score >= 0.05) where rank <= 5""",
+    "memory_reinforced": "",
+}
+ORACLE["memory_reinforced"] = f"""with h as (select distinct memory_id from ({ORACLE['memory_retrieved']}) where rank = 1), n as (select memory_id, count(*) as k from ({ORACLE['memory_retrieved']}) where rank = 1 group by 1)
+select coalesce(h.memory_id is not null or last_used = '2026-01-01', false) as fresh, count(*) as n, cast(sum(coalesce(uses, 0) + coalesce(k, 0)) as bigint) as uses
+from {_MEMORIES} m left join h on h.memory_id = m.memory_id left join n on n.memory_id = m.memory_id group by 1"""

@@ -176,7 +176,8 @@ def anatomy_counts(spark, sf_dir):
 
 
 def anatomy_paths(spark, sf_dir):
-    return documents.anatomy_paths(documents.anatomy(_reports(spark, sf_dir)))
+    paths = documents.anatomy_paths(documents.anatomy(_reports(spark, sf_dir)))
+    return paths.select("id", "path", F.md5(F.array_join("sentences", "\n")).alias("digest"))
 
 
 def deid_clean(spark, sf_dir):
@@ -411,7 +412,7 @@ def memory_retrieved(spark, sf_dir):
 def memory_reinforced(spark, sf_dir):
     m = _memories(spark, sf_dir)
     got = memory.reinforced(m.select("memory_id", "uses", "last_used"), memory_retrieved(spark, sf_dir).where("rank = 1"), "2026-01-01")
-    return got.groupBy((F.col("last_used") == "2026-01-01").alias("fresh")).agg(F.count(F.lit(1)).alias("n"), F.sum("uses").alias("uses"))
+    return got.groupBy(F.coalesce(F.col("last_used") == "2026-01-01", F.lit(False)).alias("fresh")).agg(F.count(F.lit(1)).alias("n"), F.sum("uses").alias("uses"))
 
 
 def library_terms(spark, sf_dir):
