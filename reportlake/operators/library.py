@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from reportlake.operators.documents import near_terms, term_key, term_reason
+from reportlake.operators.documents import LOOKUP_ROWS, near_terms, term_key, term_reason
+from reportlake.session import cut, small
 
 MIN_COUNT, MIN_PHRASE, MAX_TERMS = 2, 3, 5_000
 MIN_TERM, MAX_TERM = 4, 60
@@ -98,10 +99,11 @@ def relevant(texts: DataFrame, index: DataFrame, key: str, text: str, k: int = 4
     none = F.array().cast("array<string>")
     runs = F.concat(*(F.when(F.size("t") >= n, run(n)).otherwise(none) for n in (1, 2, 3)))
     asked = texts.where(F.col(text).isNotNull()).select(key, t.alias("t")).select(key, F.explode(F.array_distinct(runs)).alias("word"))
-    exact = asked.join(index.select(F.col("key").alias("word"), "term", "n"), "word").select(F.col(key), "term", F.lit(1.0).alias("score"), "n")
-    close = near_terms(asked.where(~F.contains("word", F.lit(" "))).select("word"), index.select(F.col("key").alias("term")), min_ratio).select("word", F.col("term").alias("near"), F.col("ratio").alias("score"))
-    near = asked.join(close, "word").join(index.select(F.col("key").alias("near"), "term", "n"), "near").select(F.col(key), "term", "score", "n")
-    best = exact.unionByName(near).groupBy(key, "term").agg(F.max("score").alias("score"), F.max("n").alias("n"))
+    exact = index.select(F.col("key").alias("word"), "term", F.lit(1.0).alias("score"), "n")
+    close = near_terms(asked.where(~F.contains("word", F.lit(" "))).select("word"), index.select(F.col("key").alias("term")), min_ratio).select("word", F.col("term").alias("key"), F.col("ratio").alias("score"))
+    near = close.join(index.select("key", "term", "n"), "key").select("word", "term", "score", "n")
+    # one look-up for both: near words are not listed, so a word has one row
+    best = asked.join(small(cut(exact.unionByName(near)), LOOKUP_ROWS), "word").groupBy(key, "term").agg(F.max("score").alias("score"), F.max("n").alias("n"))
     order = Window.partitionBy(key).orderBy(F.desc("score"), F.desc("n"), F.lower("term"))
     return best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 

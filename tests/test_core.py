@@ -4,6 +4,7 @@ import json
 import random
 from pathlib import Path
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -288,3 +289,35 @@ def test_near_terms(spark):
     found = {r.word: r.ratio for r in documents.near_terms(one_column(words, "word"), one_column(terms, "term")).where("reason = 'spelling'").collect()}
     best = {x: max(difflib.SequenceMatcher(None, x, t).ratio() for t in terms) for x in words}
     assert {x: round(r, 2) for x, r in best.items() if r >= documents.MIN_RATIO} == found and len(found) > 20
+
+
+def test_nearest_against_brute_force(spark, monkeypatch):
+    """Bounds lose no pair: accents, letters of no term, words beyond 64 letters, several slices, ties."""
+    import difflib
+
+    from reportlake.operators import documents, near
+
+    rng = random.Random(9)
+    one = lambda parts: "".join(rng.choice(["ba", "sho", "vy", "the", "ül", "k", " "]) for _ in range(parts)).strip()
+    terms = sorted({t for n in (2, 3, 4, 6, 8, 40) for t in (one(n) for _ in range(60)) if len(t) > 1 and "  " not in t})
+    bent = lambda t: "".join(c if rng.random() > 0.12 else rng.choice(["", c + "q", "z"]) for c in t)
+    words = sorted({w for w in (bent(t) for t in terms) if len(w) > 1 and w == w.strip() and "  " not in w} - set(terms))
+    assert any(len(w) > 64 for w in words)
+    want = {}
+    for w in words:
+        close = [(-r, t) for t in terms for r in [difflib.SequenceMatcher(None, w, t).ratio()] if 0.75 <= r < 0.99]
+        if close:
+            r, t = min(close)
+            want[w] = (t, -r)
+
+    class Sent:
+        value = near.Slice(terms)
+
+    got = pd.concat(near.nearest(Sent, 0.75)(iter([pd.DataFrame({"word": words})])))
+    assert len(want) > 100 and {w: (t, r) for w, t, r in got.itertuples(index=False)} == want
+    none = pd.concat(near.nearest(type("Sent", (), {"value": near.Slice([])}), 0.75)(iter([pd.DataFrame({"word": words})])))
+    assert not len(none)
+    monkeypatch.setattr(documents, "SLICE", 100)
+    column = lambda xs, c: spark.createDataFrame([(x,) for x in xs], f"{c} string")
+    found = documents.near_terms(column(words, "word"), column(terms, "term"), 0.75).where("reason = 'spelling'").collect()
+    assert {r.word: r.term for r in found} == {w: t for w, (t, _) in want.items()}

@@ -226,3 +226,13 @@ def test_sql_functions(spark):
     names = surface.register(spark)
     assert set(names) >= {"spoken_numbers", "match_ratio"}
     assert tuple(spark.sql("select spoken_numbers('five cm'), match_ratio('abc', 'abd'), restored_text('a b', 'a'), spoken_numbers(null)").first()) == ("5 cm", 2 / 3, "a b", None)
+
+
+def test_relevant_terms_move_no_runs(spark):
+    """Runs of words meet one short look-up table where they are: nothing but the texts is shuffled."""
+    lib = spark.createDataFrame([("a", "Wall", 2), ("a", "portal vein", 1)], "source string, term string, n bigint")
+    texts = spark.createDataFrame([(1, "the portal vein and thick walll"), (2, None)], "id int, text string").groupBy("id").agg(F.min("text").alias("text"))
+    got = library.relevant(texts, library.entries(lib), "id", "text")
+    assert rows(got.select("id", "term", "score", "n", "rank")) == [(1, "Wall", 0.89, 2, 2), (1, "portal vein", 1.0, 1, 1)]
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and "SortMergeJoin" not in plan
