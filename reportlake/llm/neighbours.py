@@ -13,6 +13,7 @@ one block at a time and members of a hub meet others each round.
 from __future__ import annotations
 
 import hashlib
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,7 +21,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from reportlake.session import cut, release
+from reportlake.session import cut, release, sweep
 
 #: Neighbours kept for each node while the graph is built.
 GRAPH_K = 20
@@ -42,8 +43,19 @@ SEED = 5
 NODE = "space int, node bigint"
 
 
+def packed(vec: bytes) -> bytes:
+    """float32 bytes, compressed where that is shorter; then their number is no multiple of 4."""
+    short = zlib.compress(vec, 1)
+    short = b"\0" * (-(len(short) - 1) % 4) + short
+    return short if len(short) < len(vec) else vec
+
+
+def vector(data: bytes) -> np.ndarray:
+    return np.frombuffer(data if len(data) % 4 == 0 else zlib.decompress(data.lstrip(b"\0")), dtype=np.float32)
+
+
 def unit_vectors(rows: DataFrame) -> DataFrame:
-    """``space_key, id, cls, vec, code, step``: unit vector as float32 bytes, its digest,
+    """``space_key, id, cls, vec, code, step``: unit vector as ``packed`` bytes, its digest,
     and its components in one byte each, as multiples of ``step``.
 
     ``rows``: src, id, embedder, vector.  Null, all-zero vectors and such with null or
@@ -60,7 +72,7 @@ def unit_vectors(rows: DataFrame) -> DataFrame:
                 u = (x / size).round(7).astype(np.float32) + np.float32(0)
                 step = float(np.abs(u).max()) / 127
                 code = np.rint(u / step).astype(np.int8).tobytes()
-                out.append((f"{src}|{e}|{len(u)}", i, hashlib.blake2b(u.tobytes(), digest_size=16).digest(), u.tobytes(), code, step))
+                out.append((f"{src}|{e}|{len(u)}", i, hashlib.blake2b(u.tobytes(), digest_size=16).digest(), packed(u.tobytes()), code, step))
             yield pd.DataFrame(out, columns=["space_key", "id", "cls", "vec", "code", "step"])
 
     src = rows.where("id is not null and vector is not null and size(vector) > 0").select("src", "id", "embedder", "vector")
@@ -83,11 +95,12 @@ def classes(rows: DataFrame) -> tuple[DataFrame, DataFrame, dict[int, tuple[str,
     """(nodes ``space, node, vec, code, step``; members ``space, node, id``; spaces).
 
     A node is named by the smallest id with its vector."""
-    units, spaces = _numbered(cut(unit_vectors(rows)))
-    units = cut(units)
-    nodes = units.groupBy("space", "cls").agg(F.min("id").alias("node"), *(F.first(c).alias(c) for c in ("vec", "code", "step")))
-    nodes = cut(nodes)
-    members = units.select("space", "cls", "id").join(nodes.select("space", "cls", "node"), ["space", "cls"]).select("space", "node", "id")
+    written = cut(unit_vectors(rows))
+    units, spaces = _numbered(written)
+    nodes = cut(units.groupBy("space", "cls").agg(F.min("id").alias("node"), *(F.first(c).alias(c) for c in ("vec", "code", "step"))))
+    members = cut(units.select("space", "cls", "id").join(nodes.select("space", "cls", "node"), ["space", "cls"]).select("space", "node", "id"))
+    release(written)
+    sweep(rows.sparkSession)
     return nodes.select("space", "node", "vec", "code", "step"), members, spaces
 
 
@@ -98,7 +111,7 @@ def _planes(nodes: DataFrame, spaces: dict[int, tuple[str, int]], trees: int) ->
     share = max(1, CENTRE_SAMPLE // max(1, len(sizes)))
     drawn: dict[int, list] = {space: [] for space in sizes}
     for r in nodes.withColumn("r", F.row_number().over(order)).where(F.col("r") <= share).select("space", "vec").collect():
-        drawn[r.space].append(np.frombuffer(r.vec, dtype=np.float32))
+        drawn[r.space].append(vector(r.vec))
     out: dict[int, list[tuple]] = {}
     for space, n in sizes.items():
         x = np.stack(drawn[space])
@@ -131,7 +144,7 @@ def _blocks(batches: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[pd.Dat
 
 
 def _matrix(vecs: pd.Series) -> np.ndarray:
-    return np.stack([np.frombuffer(v, dtype=np.float32) for v in vecs])
+    return np.stack([vector(v) for v in vecs])
 
 
 def _decoded(g: pd.DataFrame) -> np.ndarray:
@@ -191,7 +204,7 @@ def _bucket_pairs(k: int):
 
 
 def first_graph(nodes: DataFrame, spaces: dict[int, tuple[str, int]], k: int, trees: int) -> DataFrame:
-    """Edges found inside the buckets of a random projection forest."""
+    """The best edges found inside the buckets of a random projection forest, ``_written``."""
     spark = nodes.sparkSession
     planes = spark.sparkContext.broadcast(_planes(nodes, spaces, trees))
 
@@ -199,18 +212,24 @@ def first_graph(nodes: DataFrame, spaces: dict[int, tuple[str, int]], k: int, tr
         for b in batches:
             for space, g in b.groupby("space"):
                 m = _matrix(g["vec"])
-                for tree, (h, middle) in enumerate(planes.value[space]):
-                    code = ((m @ h > middle) @ (1 << np.arange(h.shape[1], dtype=np.int64))).astype(np.int64) if h.shape[1] else np.zeros(len(g), np.int64)
-                    yield pd.DataFrame({"space": space, "node": g["node"].to_numpy(), "tree": tree, "bucket": code})
-
-    codes = cut(nodes.select("space", "node", "vec").mapInPandas(place, f"{NODE}, tree int, bucket bigint"))
+                found = [
+                    ((m @ h > middle) @ (1 << np.arange(h.shape[1], dtype=np.int64))).astype(np.int64) if h.shape[1] else np.zeros(len(g), np.int64)
+                    for h, middle in planes.value[space]
+                ]
+                yield pd.DataFrame({"space": space, "node": g["node"].to_numpy(), "buckets": list(np.stack(found, axis=1))})
+
+    # a row for each node is written, not one for each tree
+    written = cut(nodes.select("space", "node", "vec").mapInPandas(place, f"{NODE}, buckets array<bigint>"))
+    codes = written.select("space", "node", F.posexplode("buckets").alias("tree", "bucket"))
     counts = codes.groupBy("space", "tree", "bucket").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("chunks"))
     placed = codes.join(counts, ["space", "tree", "bucket"]).select(
         "space", "tree", "bucket", "node", F.pmod(F.xxhash64("node", "tree"), F.col("chunks")).alias("chunk")
     )
     keys = ["space", "tree", "bucket", "chunk"]
     ready = placed.join(nodes.drop("vec"), ["space", "node"]).repartition(*keys).sortWithinPartitions(*keys)
-    return ready.mapInPandas(_bucket_pairs(k), EDGES)
+    graph = _written(_best(ready.mapInPandas(_bucket_pairs(k), EDGES).withColumn("new", F.lit(True)), k))
+    release(written)
+    return graph
 
 
 def _best(edges: DataFrame, k: int) -> DataFrame:
@@ -220,6 +239,16 @@ def _best(edges: DataFrame, k: int) -> DataFrame:
     return one.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).drop("rank")
 
 
+def _written(edges: DataFrame) -> DataFrame:
+    """Edges written with one row a source, a third of what rows of single edges take; see ``_edges``."""
+    one = edges.groupBy("space", "src").agg(F.collect_list(F.struct("dst", "sim", "new")).alias("x"))
+    return cut(one.select("space", "src", "x.dst", "x.sim", "x.new"))
+
+
+def _edges(written: DataFrame) -> DataFrame:
+    return written.select("space", "src", F.inline(F.arrays_zip("dst", "sim", "new")))
+
+
 def _local_join(k: int):
     def join(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         gains = _Gains(k)
@@ -267,14 +296,16 @@ def refine(graph: DataFrame, nodes: DataFrame, k: int, turn: int = 0) -> DataFra
 
 def neighbour_graph(nodes: DataFrame, spaces: dict[int, tuple[str, int]], k: int = GRAPH_K, trees: int = TREES, rounds: int = ROUNDS) -> DataFrame:
     """``space, src, dst, sim, new``: the k nearest nodes of every node, nearly all found."""
-    graph = cut(_best(first_graph(nodes, spaces, k, trees).withColumn("new", F.lit(True)), k))
+    written = first_graph(nodes, spaces, k, trees)
     for turn in range(rounds):
-        last, graph = graph, cut(refine(graph, nodes, k, turn))
+        sweep(nodes.sparkSession)
+        last, written = written, _written(refine(_edges(written), nodes, k, turn))
         release(last)
-        r = graph.agg(F.avg(F.col("new").cast("int")).alias("x")).first()
+        r = _edges(written).agg(F.avg(F.col("new").cast("int")).alias("x")).first()
         if (r.x or 0.0) < SETTLED:
             break
-    return graph
+    sweep(nodes.sparkSession)
+    return _edges(written)
 
 
 def measured(edges: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -282,14 +313,15 @@ def measured(edges: DataFrame, nodes: DataFrame) -> DataFrame:
 
     def dots(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            sims = [float(np.frombuffer(x, np.float32) @ np.frombuffer(y, np.float32)) for x, y in zip(b["sv"], b["dv"], strict=True)]
+            sims = [float(vector(x) @ vector(y)) for x, y in zip(b["sv"], b["dv"], strict=True)]
             yield pd.DataFrame({"space": b["space"], "src": b["src"], "dst": b["dst"], "sim": sims})
 
     # each pair once, the smaller number first
     once = edges.select("space", F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).distinct()
     side = lambda c, vec: nodes.select("space", F.col("node").alias(c), F.col("vec").alias(vec))
     got = once.join(side("src", "sv"), ["space", "src"]).join(side("dst", "dv"), ["space", "dst"]).mapInPandas(dots, "space int, src bigint, dst bigint, sim double")
-    both = got.unionByName(got.select("space", F.col("dst").alias("src"), F.col("src").alias("dst"), "sim"))
+    way = lambda a, b: F.struct(F.col(a).alias("src"), F.col(b).alias("dst"), "sim")
+    both = got.select("space", F.inline(F.array(way("src", "dst"), way("dst", "src"))))
     return edges.select("space", "src", "dst").join(both, ["space", "src", "dst"])
 
 
@@ -360,7 +392,7 @@ def greedy_search(queries: DataFrame, graph: DataFrame, nodes: DataFrame, k: int
 
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            sims = [float(np.frombuffer(q, np.float32) @ np.frombuffer(v, np.float32)) for q, v in zip(b["qv"], b["vec"], strict=True)]
+            sims = [float(vector(q) @ vector(v)) for q, v in zip(b["qv"], b["vec"], strict=True)]
             yield pd.DataFrame({"space": b["space"], "query": b["query"], "node": b["node"], "sim": sims})
 
     def scored(pairs: DataFrame) -> DataFrame:

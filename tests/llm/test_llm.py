@@ -226,6 +226,17 @@ def test_hubs_meet_others_each_round(spark):
     assert recall >= 0.9, recall
 
 
+def test_vectors_are_packed(spark):
+    """Sparse vectors take little of the disk, and come back bit for bit."""
+    rng = np.random.default_rng(3)
+    for v in (np.zeros(256), rng.standard_normal(256), rng.standard_normal(7), np.arange(256) % 9 == 0):
+        v = v.astype(np.float32)
+        assert (neighbours.vector(neighbours.packed(v.tobytes())) == v).all()
+    m = (rng.random((50, 256)) < 0.1) * rng.choice([0.07, 0.14], (50, 256))
+    nodes, _, _ = neighbours.classes(vectors(spark, m))
+    assert nodes.selectExpr("max(length(vec)) n").first().n < 512
+
+
 def test_neighbours_edges(spark):
     assert neighbours.mutual_neighbours(vectors(spark, [])).count() == 0
     bad = vectors(spark, [None, [0.0, 0.0], [1.0, float("nan")], [1.0, 1.0], [2.0, 2.0], [1.0, 1.0], []], [1, 2, 3, 4, 5, 4, 9])
